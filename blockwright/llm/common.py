@@ -34,12 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: the lineage is cut, and a lost executor costs nothing already written."""
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: the lineage is cut, and a lost executor costs nothing already written.
+
+    release() deletes it unless it is lasting.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if not lasting:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

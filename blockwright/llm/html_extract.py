@@ -3,7 +3,7 @@
 Markup is stripped to lines, one for each block of the page; elements that are never an article's text (menus, forms,
 adverts, ...) leave blank lines. The text lengths of a sliding window of lines rise at a surge point and fall to
 nothing at a dive point; the lines between them are kept. Where a page declares its article, that element's lines count
-and all others are blank, so any length is a surge; elsewhere a surge needs SURGE characters.
+and all others are blank, so any length is a surge; elsewhere a surge needs SURGE characters and lines of links are blank.
 """
 
 from __future__ import annotations
@@ -62,33 +62,42 @@ def is_out(name: str, attributes: str) -> bool:
     return bool(pieces & WORDS) or found.get("role", "").lower() in ROLES
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """Lines (text, whether it stands in a declared article or main element), blank ones where an element was left out."""
-    lines: list[tuple[str, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool]]:
+    """Lines (text, whether it stands in a declared article or main element, whether it is mostly links), blank ones where an element was left out."""
+    lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
+    links = 0  # characters of parts in links
     open_: list[str] = []
     out_at = -1  # how many elements are open around the outermost one that is left out
     inside: list[int] = []  # the same of the articles that are open
 
     def flush() -> None:
+        nonlocal links
         text = " ".join("".join(parts).split())
-        parts.clear()
         if text:
-            lines.append((text, bool(inside)))
+            lines.append((text, bool(inside), 2 * links > len(text)))
+        parts.clear()
+        links = 0
+
+    def add(text: str) -> None:
+        nonlocal links
+        parts.append(html.unescape(text))
+        if "a" in open_:
+            links += len(parts[-1].strip())
 
     def close(to: int) -> None:
         nonlocal out_at
         del open_[to:]
         if 0 <= to <= out_at:
             out_at = -1
-            lines.extend([("", False)] * WINDOW)
+            lines.extend([("", False, False)] * WINDOW)
         while inside and inside[-1] >= to:
             inside.pop()
 
     last = 0
     for m in TOKEN.finditer(page):
         if out_at < 0 and m.start() > last:
-            parts.append(html.unescape(page[last : m.start()]))
+            add(page[last : m.start()])
         last = m.end()
         name = m["name"]
         if name is None:
@@ -120,15 +129,15 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             else:
                 close(len(open_))
     if out_at < 0:
-        parts.append(html.unescape(page[last:]))
+        add(page[last:])
         flush()
     return lines
 
 
-def kept(lines: list[tuple[str, bool]]) -> list[str]:
+def kept(lines: list[tuple[str, bool, bool]]) -> list[str]:
     """The texts between surge and dive points."""
-    declared = any(inside for text, inside in lines if text)
-    lengths = [len(text) if inside or not declared else 0 for text, inside in lines]
+    declared = any(inside for text, inside, _ in lines if text)
+    lengths = [len(text) if (inside if declared else not links) else 0 for text, inside, links in lines]
     need = 0 if declared else SURGE
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
     spans, begin = [], None

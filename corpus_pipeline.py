@@ -1,12 +1,90 @@
-"""A training corpus from `documents`: stages that read their predecessor's rows as Parquet."""
+"""A training corpus from `documents`: quality, exact and near duplicates, source mixing, packed sequences.
+
+Each stage is a function of (spark, docs, sf_dir). It gets what its predecessor kept, read again from Parquet, and all but
+the last return rows of `documents` unchanged, with the same columns. Stages read doc_id, text, source and lang; other
+columns only pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from blockwright.llm import exact_dedup, mixing, ngram_join, packing, quality, queries
+from blockwright.llm.common import release, sized, stored, table, whole_text
+
+#: Of the tokens that reach the mixing stage, the share that it draws.
+BUDGET = 0.8
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def begun(spark: SparkSession) -> None:
+    """Before a stage: its predecessor's result is on disk, so what that one left in the shared folder can go."""
+    release(spark)
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """docs but for the rows whose doc_id and key are in dropped (doc_id, key): of rows that share an id, only those meant go."""
+    gone = dropped.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    gone = stored(gone, "dropped")
+    return docs.join(sized(gone, 64), docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that nearest-neighbour voting scores below quality.GOOD."""
+    begun(spark)
+    score = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return docs.filter(score >= quality.GOOD)
+
+
+def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of equal texts, and one of rows that repeat both."""
+    begun(spark)
+    groups = stored(exact_dedup.exact_groups(*exact_dedup.halves(docs)), "kept")
+    digest = exact_dedup.digest_of(whole_text())
+    left = without(docs, groups.filter("not (doc_id <=> keep_id)").select("doc_id", F.col("digest").alias("key")), digest)
+    if groups.filter("not kept and doc_id <=> keep_id").isEmpty():
+        return left
+    return left.withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component of near duplicates (all of a component in which none has an id)."""
+    begun(spark)
+    dropped = ngram_join.near_groups(docs).filter("not (doc_id <=> component_id)")
+    return without(docs, dropped.select("doc_id", F.col("text_hash").alias("key")), F.xxhash64(whole_text()))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws documents by probabilities raked to source, language and topic targets."""
+    begun(spark)
+    return mixing.mix(docs, budget=BUDGET).filter("selected").select("d.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its place in a sequence of at most packing.CAPACITY tokens."""
+    begun(spark)
+    return packing.placed(packing.pack(docs, *queries.tokenizer_files()))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_quality),
+    ("exact_dedup", one_of_each_text),
+    ("ngram_join", one_of_near_copies),
+    ("mixing", mixed_sources),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: Votes, raking and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each over its predecessor's rows as written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name, lasting=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

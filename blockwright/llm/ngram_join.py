@@ -2,8 +2,8 @@
 
 A document's tokens are 64-bit hashes of its shingles. Its sketch has words, by the leading bits of a token's hash; each
 word is the XOR of its tokens. A token in one of two sets only changes one word, so the number of words in which two
-sketches differ is at most the symmetric difference, which for a Jaccard of T is at most (1-T)/(1+T) of the summed
-sizes. That is at most k = (1-T)/2T... of the smaller size; with sizes a <= b <= a/T it never exceeds a(1/T - 1).
+sketches differ is at most the symmetric difference. For a Jaccard of T that is at most (1-T)/(1+T) of the summed sizes,
+so with sizes a <= b <= a/T at most k = a(1/T - 1).
 
 Pigeonhole: of any order over all words, the first word that two sketches share is among the first k + 1 words of both,
 since the words before it differ and there are at most k of those. So each sketch gives its first k + 1 words as join
@@ -36,7 +36,7 @@ THRESHOLD = Fraction(3, 4)
 #: Sets below this size have a word for each token. Bands above are BAND times as wide; their sketch has half as many words as the band's largest set has tokens.
 SMALL, BAND = 64, 4
 #: A word in this share of a partition's documents counts as common and comes last; and in so many documents at least.
-COMMON_SHARE, COMMON_LEAST = 1 / 400, 8
+COMMON_SHARE, COMMON_LEAST = 1 / 2000, 4
 #: Common words kept, the most frequent ones; the order of words decides the cost, never the result.
 COMMON_MOST = 1 << 20
 #: Keys that one task of the join holds, on average, and the bytes of each: 5 of the key, 8 of the class.
@@ -48,15 +48,29 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PRIME = np.uint64(0x9E3779B185EBCA87)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
+_IN_WORD = np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)])
+#: Powers of PRIME and of its inverse modulo 2^64, as long as the longest text so far.
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-_hashes = _Hashes()
+def _grown(n: int) -> list[np.ndarray]:
+    while len(_powers[0]) < n:
+        for k, base in enumerate((int(PRIME), pow(int(PRIME), -1, 1 << 64))):
+            have = _powers[k]
+            _powers[k] = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
+    return _powers
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z in lower case: sums of random byte values by powers, and spans as differences of sums."""
+    b = np.frombuffer(text.translate(LOWER), np.uint8)
+    edges = np.flatnonzero(np.diff(_IN_WORD[b], prepend=False, append=False))
+    begin, end = edges[::2], edges[1::2]
+    powers, inverse = _grown(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * powers[: len(b)], out=sums[1:])
+    return mixed((sums[end] - sums[begin]) * inverse[begin])
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -66,15 +80,18 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def tokens(text: bytes, width: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; of fewer words than width, one of them all; of none, none."""
-    words = text.translate(LOWER).split()
-    if not words:
+    h = word_hashes(text)
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     out = np.full(n, min(len(h), width), np.uint64)
     for i in range(min(width, len(h))):
         out = out * PRIME + h[i : i + n]
-    return np.unique(mixed(out))
+    out = mixed(out)
+    out.sort()
+    fresh = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=fresh[1:])
+    return out[fresh]
 
 
 def class_of(found: np.ndarray) -> int:
@@ -83,8 +100,8 @@ def class_of(found: np.ndarray) -> int:
 
 
 def bits(found: np.ndarray) -> bytes:
-    """The parity sketch of one bit a token: as many bits as the next power of two above the set's size, 64 at least."""
-    size = max(64, 1 << int(len(found)).bit_length())
+    """The parity sketch of one bit a token: as many bits as the next power of two above twice the set's size, 64 at least."""
+    size = max(64, 2 << int(len(found)).bit_length())
     odd = np.bincount((mixed(found, 1) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -107,11 +124,12 @@ def sketch_words(found: np.ndarray, count: int, seed: int = 0) -> np.ndarray:
     """The words of a sketch as keys: the XOR of the tokens of each, mixed with its number and the band's."""
     if not count:
         return mixed(found, 2 + seed)
-    place = ((mixed(found, 3 + seed) >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(place, kind="stable")
-    at = np.flatnonzero(np.diff(place[order], prepend=-1))
-    words = np.bitwise_xor.reduceat(found[order], at)
-    return mixed(words * PRIME + place[order][at].astype(np.uint64) + np.uint64(count << 32), 4)
+    if seed:
+        found = np.sort(mixed(found, 3 + seed))
+    place = (found >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)  # ascending, as the tokens are
+    at = np.flatnonzero(np.diff(place, prepend=place[:1] + np.uint64(1)))
+    words = np.bitwise_xor.reduceat(found, at)
+    return mixed(words * PRIME + place[at] + np.uint64(count << 32), 4)
 
 
 def most_apart(n: int, threshold: Fraction = THRESHOLD) -> int:
@@ -150,7 +168,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def summaries(docs: DataFrame, threshold: Fraction, seed: int) -> DataFrame:
-    """A row for each document: doc_id, node (its class), n, bits, short (words that its sketch lacks); and rows (word, count) of words common in a partition."""
+    """A row for each document: doc_id, text_hash, node (its class), n, bits, short (words that its sketch lacks); and rows (word, count) of words common in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, documents, counts = [], 0, defaultdict(int)
@@ -182,16 +200,17 @@ def summaries(docs: DataFrame, threshold: Fraction, seed: int) -> DataFrame:
                 settle()
                 waiting = 0
             k = len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(short, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(short, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
         settle()
         least = max(COMMON_LEAST, documents * COMMON_SHARE)
         many = [(v, c) for v, c in counts.items() if c >= least]
         k = len(many)
         words = np.array([v for v, _ in many], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(words), pa.array([c for _, c in many], pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(words), pa.array([c for _, c in many], pa.int64())], names=names)
 
-    names = ["doc_id", "node", "n", "bits", "short", "word", "count"]
-    return _sets(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, node long, n int, bits binary, short int, word long, count long")
+    names = ["doc_id", "text_hash", "node", "n", "bits", "short", "word", "count"]
+    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).select("doc_id", F.col("text").cast("binary"), F.xxhash64("text").alias("text_hash"))
+    return texts.mapInArrow(run, "doc_id long, text_hash long, node long, n int, bits binary, short int, word long, count long")
 
 
 def key_blocks(docs: DataFrame, common: np.ndarray, buckets: int, threshold: Fraction, seed: int) -> DataFrame:
@@ -281,18 +300,25 @@ def runs(blocks: DataFrame, buckets: int) -> DataFrame:
     return found.dropDuplicates(["run", "chunk"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) of classes that link: sizes and bit sketches first, then the sets of those that are left."""
+def screened(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes, and then bit sketches, leave room for a link."""
+    t = threshold
+
+    def side(pairs: DataFrame, name: str, column: str) -> DataFrame:
+        return pairs.join(nodes.select(F.col("node").alias(name), F.col(column).alias(f"{column}_{name}")), name)
 
-    def side(name: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    sizes = side(side(pairs, "a", "n"), "b", "n").filter(F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator)
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([possible(n, x, m, y, threshold) for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)], pa.bool_())).select([0, 1])
 
-    columns = ["a", "b", "n_a", "bits_a", "n_b", "bits_b"]
-    left = stored(pairs.join(side("a"), "a").join(side("b"), "b").select(*columns).mapInArrow(screen, "a long, b long"), "pairs")
+    return side(side(sizes, "a", "bits"), "b", "bits").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(screen, "a long, b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) of classes that link, by their sets; only texts of classes in a pair are read for them."""
+    left = stored(pairs, "pairs")
     involved = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "involved")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,31 +339,106 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fra
     return stored(both.select("a", "b", "found_a", "found_b").mapInArrow(verify, "a long, b long"), "links")
 
 
-def across(found: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of classes that share a key and are in different components so far; chunks of long lists meet two by two."""
-    members = found.select("run", "chunk", F.explode("nodes").alias("node")).join(groups, "node", "left").select("run", "chunk", "node", F.coalesce("component", "node").alias("component"))
-    mixed_runs = members.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("chunk").alias("chunks")).filter("low <> high").select("run", "chunks")
-    mixed_members = members.join(mixed_runs, "run")
-    blocks = mixed_members.select("run", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), "chunks")).alias("other")).select(
-        "run", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.struct("node", "component", "chunk").alias("m")
-    )
-    lists = blocks.groupBy("run", "i", "j").agg(F.collect_list("m").alias("m"))
+def across(found: DataFrame, groups: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Screened pairs of classes that share a key and are in different components so far.
+
+    Lists are taken by their center, so that classes which share many keys meet once and not once a key; a center has no
+    more lists than keys. Of lists longer than CHUNK, chunks meet two by two. Lists of two are left out: their pair has
+    been compared.
+    """
+    to = groups.select("node", "component")
+    members = found.select("run", "chunk", F.explode("nodes").alias("node")).join(to, "node", "left").select("run", "chunk", F.coalesce("component", "node").alias("component"))
+    by_run = members.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("chunk").alias("chunks"), F.count("*").alias("n"))
+    other = F.explode(F.sequence(F.lit(0), "chunks")).alias("other")
+    lists = found.join(by_run.filter("low <> high and n > 2").select("run", "chunks"), "run").select("center", "run", "chunk", "nodes", other)
+    lists = stored(lists.select("center", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "run", "chunk", "nodes"), "lists")
+    sketches = nodes.join(to, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n", "bits")
+    meet = lists.select("center", "i", "j", F.explode("nodes").alias("node")).distinct().join(sketches, "node")
+    columns = ["center", "i", "j", "run", "chunk", "nodes", "component", "n", "bits"]
+    rows = lists.select(*columns[:6], *(F.lit(None).cast(t).alias(c) for c, t in (("component", "long"), ("n", "int"), ("bits", "binary"))))
+    rows = rows.unionByName(meet.select("center", "i", "j", F.lit(None).cast("long").alias("run"), F.lit(None).cast("int").alias("chunk"), F.array("node").alias("nodes"), "component", "n", "bits"))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, ([], [])
         for batch in batches:
-            for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                node, component, chunk = (np.array([m[k] for m in members], np.int64) for k in ("node", "component", "chunk"))
-                for at in np.flatnonzero(chunk == i):
-                    apart = (component != component[at]) & (chunk == j) & ((node > node[at]) | (i != j))
-                    if apart.any():
-                        pair = np.sort(np.stack([np.full(int(apart.sum()), node[at]), node[apart]]), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-
-    return lists.select("i", "j", "m").mapInArrow(cross, "a long, b long").distinct()
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != now:
+                    if now:
+                        yield from Meeting(*group, threshold).pairs()
+                    now, group = row[:3], ([], [])
+                group[row[3] is not None].append(row)
+        if now:
+            yield from Meeting(*group, threshold).pairs()
+
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.select(*columns).repartition(parts, "center", "i", "j").sortWithinPartitions("center", "i", "j")
+    return met.mapInArrow(cross, "a long, b long").distinct()
+
+
+class Meeting:
+    """Classes (rows of across() with sketches) and the lists, of one center, in which they come together."""
+
+    #: Classes up to which a table of all pairs marks who meets whom (16 MB); beyond, list by list.
+    TABLE = 4096
+
+    def __init__(self, classes: list[tuple], lists: list[tuple], threshold: Fraction):
+        self.t = threshold
+        rows = sorted((row[5][0], *row[6:]) for row in classes)
+        self.node, self.component, self.n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        self.bits = [np.frombuffer(r[3], np.uint8) for r in rows]
+        self.length = np.array([len(x) for x in self.bits], np.int64)
+        self.same: dict[int, np.ndarray] = {}
+        self.folded: dict[int, np.ndarray] = {}
+        self.place = np.zeros(len(rows), np.int64)
+        for size in set(self.length.tolist()):
+            at = np.flatnonzero(self.length == size)
+            self.place[at] = np.arange(len(at))
+            self.same[size] = np.stack([self.bits[k] for k in at])
+            self.folded[size] = self.same[size][:, : size // 2] ^ self.same[size][:, size // 2 :]
+        sides: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
+        for _, i, j, run, chunk, members, *_ in lists:
+            sides[run][0 if chunk == i else 1] = np.searchsorted(self.node, np.array(members, np.int64))
+        self.lists = [(s.get(0), s.get(1, s.get(0))) for s in sides.values()]
+
+    def pairs(self) -> Iterator[pa.RecordBatch]:
+        """The pairs that the screen passes, as batches (a, b)."""
+        for found in self._each():
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def _each(self) -> Iterator[np.ndarray]:
+        if len(self.node) <= self.TABLE:
+            meet = np.zeros((len(self.node), len(self.node)), bool)
+            for one, two in self.lists:
+                meet[np.ix_(one, two)] = True
+            meet |= meet.T
+            yield from (self._from(k, k + 1 + np.flatnonzero(meet[k, k + 1 :])) for k in range(len(self.node)))
+        else:
+            for one, two in self.lists:
+                yield from (self._from(k, two[two > k] if one is two else two) for k in one.tolist())
+
+    def _from(self, k: int, others: np.ndarray) -> np.ndarray:
+        p, q = self.t.numerator, self.t.denominator
+        n, m = self.n[k], self.n[others]
+        others = others[(self.component[others] != self.component[k]) & (np.minimum(n, m) * q >= np.maximum(n, m) * p)]
+        kept = []
+        size, mine = int(self.length[k]), self.bits[k]
+        for other in set(self.length[others].tolist()):
+            at = others[self.length[others] == other]
+            theirs, own = self.same[other][self.place[at]] if other <= size else self.folded[other][self.place[at]], mine
+            if other < size:
+                own = self.folded[size][self.place[k]]
+            if len(own) != theirs.shape[1]:  # sketches more than twice as long: sizes within 3/4 never have them
+                far = np.array([distance(self.bits[x].tobytes(), mine.tobytes()) for x in at])
+            else:
+                far = np.bitwise_count(theirs ^ own).sum(1).astype(np.int64)
+            kept.append(at[far * (p + q) <= (q - p) * (n + self.n[at])])
+        found = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        return np.sort(np.stack([np.full(len(found), self.node[k]), self.node[found]]), axis=0)
 
 
 def near_groups(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """A row for each document (doc_id, text): doc_id, n_shingles, links (of its set to other sets, as compared), component_id.
+    """A row for each document (doc_id, text): doc_id, text_hash (xxhash64 of the text), n_shingles, links (of its set to other sets, as compared), component_id.
 
     component_id is the smallest doc_id that links lead to, itself included. Null and empty texts have no shingles, link
     with nothing and are their own component. Null doc_ids count as larger than all others. Repeated rows give repeated
@@ -362,9 +463,9 @@ def near_groups(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / BUCKET_KEYS) + 1)
     found = stored(runs(key_blocks(firsts, common, buckets, threshold, seed), buckets), "runs")
     stars = found.select(F.col("center").alias("a"), F.explode("nodes").alias("b")).filter("a <> b").distinct()
-    links = verified(stars, nodes, docs, threshold)
+    links = verified(screened(stars, nodes, threshold), nodes, docs, threshold)
     groups = components(links)
-    more = verified(across(found, groups), nodes, docs, threshold)
+    more = verified(across(found, groups, nodes, threshold), nodes, docs, threshold)
     if not more.isEmpty():
         links = links.unionByName(more)
         groups = components(links)
@@ -373,6 +474,6 @@ def near_groups(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     lowest = of.groupBy("component").agg(F.min("least").alias("component_id"))
     known = of.join(lowest, "component").select("node", "component_id")
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    out = rows.select("doc_id", "node", "n").join(known.join(degrees, "node", "left"), "node", "left")
+    out = rows.select("doc_id", "text_hash", "node", "n").join(known.join(degrees, "node", "left"), "node", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), own.alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), own.alias("component_id"))

@@ -189,7 +189,7 @@ def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_ITEMS}, i AS (SELECT l_orderkey AS t, n - 1 AS idx, 'part ' || l_partkey AS a, l_quantity::BIGINT::VARCHAR AS q, l_shipdate::VARCHAR AS d FROM it)"
-    " SELECT t AS table_id, 'row' AS type, idx, a AS index_text, a || ' ' || q || ' ' || d AS text FROM i UNION ALL SELECT t, 'col', 0, 'Quantity', 'Quantity ' || string_agg(q, ' ' ORDER BY idx) FROM i GROUP BY t"
+    " SELECT t AS table_id, 'row' AS type, idx::BIGINT AS idx, a AS index_text, a || ' ' || q || ' ' || d AS text FROM i UNION ALL SELECT t, 'col', 0, 'Quantity', 'Quantity ' || string_agg(q, ' ' ORDER BY idx) FROM i GROUP BY t"
     " UNION ALL SELECT t, 'col', 1, 'Shipped', 'Shipped ' || string_agg(d, ' ' ORDER BY idx) FROM i GROUP BY t"
 )
 def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,7 +363,7 @@ def camel_case_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", scalars.make_header(F.col("name")).alias("header"))
 
 
-@query("SELECT * FROM (VALUES ('i.', 1), ('iv)', 4), ('(xii)', 12), ('1.2', 102), ('10.', 10), ('a)', 97), ('(b)', 98)) t(marker, ordinal)")
+@query("SELECT * FROM (VALUES ('i.', 1), ('iv)', 4), ('(xii)', 12), ('1.2', 102), ('10.', 10), ('a)', 97), ('(b)', 98::BIGINT)) t(marker, ordinal)")
 def roman_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     markers = spark.createDataFrame([(m,) for m in ("i.", "iv)", "(xii)", "1.2", "10.", "a)", "(b)")], "marker string")
     return markers.select("marker", scalars.marker_ordinal(F.col("marker")).alias("ordinal"))

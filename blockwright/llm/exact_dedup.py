@@ -12,7 +12,6 @@ No step holds more than one bucket in memory, and the number of buckets grows wi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,8 +44,7 @@ class FuseFilter:
         h = mixed(keys, seed)
         first = ((h >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64) * segment
         mask = np.uint64(segment - 1)
-        offsets = [(h >> np.uint64(shift) & mask).astype(np.int64) for shift in (0, 13, 26)]
-        offsets[2] = (mixed(h, 7) & mask).astype(np.int64)
+        offsets = [(x & mask).astype(np.int64) for x in (h, h >> np.uint64(13), mixed(h, 7))]
         places = np.stack([first + i * segment + offset for i, offset in enumerate(offsets)])
         return places, (mixed(h, 3) & np.uint64(255)).astype(np.uint8)
 
@@ -102,6 +100,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
+def digest_of(text: Column, bits: int = 256) -> Column:
+    """The first bits of the SHA-256 of a normalised text."""
+    return F.substring(F.unhex(F.sha2(normalised(text), 256)), 1, bits // 8)
+
+
 def digested(docs: DataFrame, bits: int = 256) -> DataFrame:
     """doc_id, norm (the normalised text; null counts as empty), digest (bits of SHA-256; tests shorten it to force collisions)."""
     norm = normalised(whole_text())
@@ -151,12 +154,14 @@ def exact_groups(snapshot: DataFrame, batch: DataFrame, bits: int = 256) -> Data
     """
     docs = snapshot.select("doc_id", "text", F.lit(True).alias("old")).unionByName(batch.select("doc_id", "text", F.lit(False).alias("old")))
     hashed = digested(docs.withColumn("doc_id", F.struct(F.col("old"), F.col("doc_id").alias("id"))), bits)
-    ids = stored(hashed.groupBy("digest", F.col("doc_id.old").alias("old"), F.col("doc_id.id").alias("doc_id")).agg(F.count("*").alias("copies")), "digests")
+    per_id = hashed.groupBy("digest", F.col("doc_id.id").alias("doc_id")).agg(F.count("*").alias("copies"), F.count_if("doc_id.old").alias("copies_old"))
+    ids = stored(per_id, "digests")
 
-    def grouped(old: bool) -> DataFrame:
-        return ids.filter(F.col("old") == old).groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    def grouped(n: Column) -> DataFrame:
+        return ids.filter(n > 0).groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum(n).alias("group_size"))
 
-    old, new = stored(grouped(True), "snapshot"), stored(grouped(False), "batch")
+    copies, copies_old = F.col("copies"), F.col("copies_old")
+    old, new = stored(grouped(copies_old), "snapshot"), stored(grouped(copies - copies_old), "batch")
     buckets = max(1, old.count() // BUCKET_ROWS)
     positives = screen(new, build_filters(old, buckets), buckets)
     hits = new.join(positives, "digest").join(old.select("digest", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size")), "digest")
@@ -175,8 +180,6 @@ def exact_groups(snapshot: DataFrame, batch: DataFrame, bits: int = 256) -> Data
         members = again.groupBy("digest", "norm", "doc_id").agg(F.count("*").alias("copies"))
         exact = members.join(by_text, ["digest", "norm"]).select(*out)
         rows = rows.join(clashing, "digest", "left_anti").select(*out).unionByName(exact)
-    else:
-        rows = rows.groupBy(*out[:3], "digest").agg(F.sum("copies").alias("copies")).select(*out)  # one doc_id may be in both halves
     place = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("place")
     return rows.select(*out, place).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("place") == 1)).alias("kept"), "digest")
 

@@ -64,15 +64,18 @@ def dictionary(phrases: DataFrame) -> DataFrame:
 def dictionary_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """doc_id, start, result and meta of each phrase in a text: the longest from the left that doesn't overlap the one before.
 
-    Texts meet the dictionary by a phrase's first token; the rest is compared on the spot, so only hits become rows.
+    A text's words meet the dictionary by a phrase's first token; each carries as many words as the longest phrase has,
+    so the rest is compared on the spot and no row holds a whole text.
     """
     words = dictionary(phrases).select(F.element_at("tokens", 1).alias("head"), "tokens", "meta")
+    longest_phrase = words.agg(F.coalesce(F.max(F.size("tokens")), F.lit(1))).first()[0]
     lists = words.groupBy("head").agg(F.collect_list(F.struct(F.size("tokens").alias("n"), "tokens", "meta")).alias("known"))
     texts = docs.select("doc_id", content_tokens(F.col("text")).alias("raw")).withColumn("t", F.transform("raw", phrase_token))
-    places = texts.select("doc_id", F.posexplode("t").alias("start", "head"), "t", "raw").join(bounded(lists, 1 << 10), "head")
-    fits = F.filter("known", lambda k: F.slice("t", F.col("start") + 1, k["n"]) == k["tokens"])
+    ahead = F.transform("t", lambda x, i: F.struct(i.alias("start"), x.alias("head"), F.slice("t", i + 1, F.lit(longest_phrase)).alias("t"), F.slice("raw", i + 1, F.lit(longest_phrase)).alias("raw")))
+    places = texts.select("doc_id", F.explode(ahead).alias("p")).select("doc_id", "p.*").join(bounded(lists, 1 << 10), "head")
+    fits = F.filter("known", lambda k: F.slice("t", F.lit(1), k["n"]) == k["tokens"])
     longest = places.withColumn("k", F.array_max(F.transform(fits, lambda k: F.struct(k["n"].alias("n"), k["tokens"].alias("tokens"), k["meta"].alias("meta"))))).filter(F.col("k").isNotNull())
-    hit = longest.select("doc_id", "start", F.col("k.n").alias("n"), F.array_join(F.slice("raw", F.col("start") + 1, F.col("k.n")), " ").alias("result"), F.col("k.meta").alias("meta"))
+    hit = longest.select("doc_id", "start", F.col("k.n").alias("n"), F.array_join(F.slice("raw", F.lit(1), F.col("k.n")), " ").alias("result"), F.col("k.meta").alias("meta"))
     hits = hit.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n", "result", "meta"))).alias("hits"))
     begin = F.struct(F.lit(0).alias("free"), F.slice("hits", 1, 0).alias("out"))
     greedy = F.aggregate("hits", begin, lambda s, h: F.when(h["start"] >= s["free"], F.struct((h["start"] + h["n"]).alias("free"), F.concat(s["out"], F.array(h)).alias("out"))).otherwise(s), lambda s: s["out"])

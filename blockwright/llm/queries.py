@@ -21,7 +21,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.assign(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "probability", "selected")
 
 

@@ -91,7 +91,7 @@ def centered(left: Column, width: Column, page_width: Column | float, tolerance:
 
 def style_map(style: Column) -> Column:
     """A css string as a map; parts without a colon are dropped, values may hold more colons."""
-    parts = F.filter(F.transform(F.split(F.coalesce(style, F.lit("")), ";"), F.trim), lambda p: p.contains(":"))
+    parts = F.filter(F.transform(F.split(F.coalesce(style, F.lit("")), ";"), lambda x: F.trim(x)), lambda p: p.contains(":"))
     key = F.transform(parts, lambda p: F.trim(F.substring_index(p, ":", 1)))
     return F.map_from_arrays(F.array_distinct(key), F.transform(F.array_distinct(key), lambda k: F.trim(F.regexp_replace(F.element_at(parts, F.array_position(key, k).cast("int")), "^[^:]*:", ""))))
 

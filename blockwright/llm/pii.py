@@ -35,8 +35,18 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": "son ley ton man ner ard", "cyrillic": "ов ев ин ский", "greek": "ος ης ας"}
 
+def _any_of(words: str) -> str:
+    """A pattern for any of the words, the shared first letter in front: most places fail on one character."""
+    by_first: dict[str, list[str]] = {}
+    for word in words.split():
+        by_first.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in by_first.items())
+
+
 _TITLE = "|".join(" ".join(TITLES.values()).split())
 _FIRST = "|".join(" ".join(FIRST.values()).split())
+_NAMED = _any_of(" ".join(TITLES.values()))
+_CALLED = _any_of(" ".join(FIRST.values()))
 #: Each type's pattern; earlier ones win where two begin at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
@@ -45,9 +55,11 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w+-])\d{4}(?:[\x20-]?\d{4}){2}[\x20-]?\d{1,7}(?![\w-])|(?<![\w+-])3[47]\d{2}[\x20-]?\d{6}[\x20-]?\d{5}(?![\w-])",
     "phone": r"(?<![\w+.])(?!\d{4}-\d{2}-\d{2})(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{1,5}\)[\x20.-]?)?\d{2,5}(?:[\x20./-]\d{2,5}){1,4}(?![\w]|[.-]\d)|(?<![\w+.])\+\d{9,14}(?!\w)|(?<![\w+.])\(\d{2,5}\)\x20?\d{6,9}(?!\w)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+)?|(?:{_FIRST})\x20\p{{Lu}}[\p{{L}}'-]+)(?!\p{{L}})",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{_NAMED})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+)?|(?:{_CALLED})\x20\p{{Lu}}[\p{{L}}'-]+)(?!\p{{L}})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every entity but a name has one of these; texts without any are only looked through for names.
+SIGNS = "[0-9@]"
 TYPES = list(PATTERNS)
 #: A phone number has that many digits; shorter matches are left alone.
 PHONE_DIGITS = 9
@@ -89,18 +101,27 @@ def script_of(word: Column) -> Column:
 
 
 def _characters(text: Column, key: str, salt: Column, skip: Column | int = 0) -> Column:
-    """Digits and letters replaced by keyed ones, after the first skip characters; a first digit that isn't 0 stays so."""
+    """Digits and letters replaced by keyed ones, after the first skip characters; a first digit that isn't 0 stays so.
+
+    Two hashes give 16 bits a character; the array of one row binds them, so they are made once and not for each.
+    """
+    stream = F.concat(*(F.sha2(F.concat_ws("\x1f", F.lit(key), salt, F.lit(half)), 512) for half in ("a", "b")))
 
-    def one(i: Column) -> Column:
-        c = text.substr(i, F.lit(1))
-        return (
-            F.when(i <= (F.lit(skip) if isinstance(skip, int) else skip), c)
-            .when(c.rlike("[0-9]"), F.when((c != "0") & (i == 1), keyed(key, 9, salt, i) + 1).otherwise(keyed(key, 10, salt, i)).cast("string"))
-            .when(c.rlike("[a-z]"), F.lit("abcdefghijklmnopqrstuvwxyz").substr((keyed(key, 26, salt, i) + 1).cast("int"), F.lit(1)))
-            .otherwise(c)
-        )
+    def whole(s: Column) -> Column:
+        def one(i: Column) -> Column:
+            c = s["text"].substr(i, F.lit(1))
+            drawn = F.conv(s["stream"].substr((i - 1) % 64 * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            return (
+                F.when(i <= s["skip"], c)
+                .when(c.rlike("[0-9]"), F.when((c != "0") & (i == 1), drawn % 9 + 1).otherwise(drawn % 10).cast("string"))
+                .when(c.rlike("[a-z]"), F.lit("abcdefghijklmnopqrstuvwxyz").substr(drawn % 26 + 1, F.lit(1)))
+                .otherwise(c)
+            )
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), "")
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s["text"]), F.lit(1))), one), "")
+
+    bound = F.struct(text.alias("text"), stream.alias("stream"), (F.lit(skip) if isinstance(skip, int) else skip).alias("skip"))
+    return F.get(F.transform(F.array(bound), whole), F.lit(0))
 
 
 def luhn(digits: Column) -> Column:
@@ -180,7 +201,7 @@ def _gender(words: Column) -> Column:
 
 def _checked(entities: DataFrame, key: str) -> DataFrame:
     """kind, norm and attempt of the entities (one row each) whose first surrogate would not do."""
-    entities = stored(entities, "entities")
+    entities = stored(entities.repartition("kind", "norm"), "entities")
     first = entities.select("kind", "norm", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("norm"), F.lit(0), key).alias("by"))
     tried = stored(first, "tried")
     for attempt in range(1, ATTEMPTS + 1):
@@ -202,12 +223,16 @@ def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     All other text stays as it is. Null texts count as empty. Repeated rows give repeated rows with the same surrogates;
     an empty table gives none; other columns are not read.
     """
-    text = whole_text()
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("mentions"))
-    kinds = rows.select("doc_id", "text", "mentions", F.transform("mentions", type_of).alias("kinds"))
-
-    mentions = kinds.filter(F.size("mentions") > 0).select("doc_id", F.explode(F.arrays_zip("mentions", "kinds")).alias("m")).select("doc_id", F.col("m.kinds").alias("kind"), F.col("m.mentions").alias("mention")).filter("kind is not null")
-    found = stored(mentions.select("doc_id", "kind", normal(F.col("kind"), F.col("mention")).alias("norm")).distinct(), "mentions")
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    worth = F.col("text").rlike(SIGNS) | F.col("text").rlike(PATTERNS["name"])
+    none = F.array().cast("array<string>")
+    rows = rows.select("doc_id", "text", F.when(worth, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).otherwise(none).alias("mentions"))
+    typed = F.transform("mentions", lambda m: F.struct(m.alias("mention"), type_of(m).alias("kind")))
+    normed = F.transform("typed", lambda m: F.struct(m["mention"].alias("mention"), m["kind"].alias("kind"), normal(m["kind"], m["mention"]).alias("norm")))
+    kinds = rows.select("doc_id", "text", typed.alias("typed")).select("doc_id", "text", normed.alias("ms"))
+
+    mentions = kinds.select("doc_id", F.explode_outer("ms").alias("m")).select("doc_id", "m.kind", "m.norm").filter("kind is not null")
+    found = stored(mentions.distinct(), "mentions")
     late = stored(_checked(found.select("kind", "norm").distinct(), key), "late")
 
     label = F.concat_ws("\x1e", "kind", "norm")
@@ -215,16 +240,14 @@ def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
         joined = kinds.withColumn("late", F.create_map().cast("map<string,int>"))
     else:
         by_doc = stored(found.join(late, ["kind", "norm"]).groupBy(F.col("doc_id").alias("late_id")).agg(F.map_from_entries(F.collect_set(F.struct(label, "attempt"))).alias("late")), "late")
-        joined = kinds.join(sized(by_doc, 200), F.col("doc_id").eqNullSafe(F.col("late_id")), "left").select("doc_id", "text", "mentions", "kinds", F.coalesce("late", F.create_map().cast("map<string,int>")).alias("late"))
-
-    def written(mention: Column, kind: Column) -> Column:
-        norm = normal(kind, mention)
-        attempt = F.coalesce(F.try_element_at("late", F.concat_ws("\x1e", kind, norm)), F.lit(0))
-        return F.when(kind.isNull(), mention).otherwise(rendered(kind, mention, surrogate(kind, norm, attempt, key), key))
+        joined = kinds.join(sized(by_doc, 200), F.col("doc_id").eqNullSafe(F.col("late_id")), "left").select("doc_id", "text", "ms", F.coalesce("late", F.create_map().cast("map<string,int>")).alias("late"))
 
-    new = F.zip_with("mentions", "kinds", written)
+    attempt = lambda m: F.coalesce(F.try_element_at("late", F.concat_ws("\x1e", m["kind"], m["norm"])), F.lit(0))
+    tried = F.transform("ms", lambda m: F.struct(m["mention"].alias("mention"), m["kind"].alias("kind"), m["norm"].alias("norm"), attempt(m).alias("attempt")))
+    by = F.transform(tried, lambda m: F.struct(m["mention"].alias("mention"), m["kind"].alias("kind"), F.when(m["kind"].isNotNull(), surrogate(m["kind"], m["norm"], m["attempt"], key)).alias("by")))
+    new = F.transform(by, lambda m: F.when(m["kind"].isNull(), m["mention"]).otherwise(rendered(m["kind"], m["mention"], m["by"], key)))
     pieces = F.split("text", ENTITY, -1)
     merged = F.array_join(F.zip_with(pieces, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    counts = [F.size(F.filter("kinds", lambda k: k == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in TYPES]
-    n = F.size(F.filter("kinds", lambda k: k.isNotNull())).cast("long").alias("n_entities")
-    return joined.select("doc_id", F.when(F.size("mentions") > 0, merged).otherwise(F.col("text")).alias("text"), n, *counts)
+    counts = [F.size(F.filter("ms", lambda m: m["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in TYPES]
+    n = F.size(F.filter("ms", lambda m: m["kind"].isNotNull())).cast("long").alias("n_entities")
+    return joined.select("doc_id", F.when(F.size("ms") > 0, merged).otherwise(F.col("text")).alias("text"), n, *counts)

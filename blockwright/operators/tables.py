@@ -139,6 +139,41 @@ def grid(boxes: DataFrame, keys: Sequence[str], row: str = "row_idx", text: str
     return inside.groupBy(*keys, row, "span_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", F.col(text).alias("t")))), lambda x: x["t"]), " ").alias("cell"))
 
 
+def positioned_table(cells: DataFrame, keys: Sequence[str] = ("doc_id", "table_idx"), first_rows: int = 5) -> DataFrame:
+    """Positioned cells (keys, row_idx, left, right, text) to rows: keys, row_idx, cell_values, col_spans, is_header, is_row_group.
+
+    The header is the first row with at most one column fewer than the widest of the first rows. Its cells are the
+    columns, each reaching to the middle of the gap to the next; other cells belong to the column that they overlap
+    most, and a wide one also spans those that lie wholly below it. A row of one cell over several columns is a group.
+    """
+    row = [*keys, "row_idx"]
+    per_row = column_spans(cells, row).groupBy(*row).agg(F.count("*").alias("n_cols"))
+    place = Window.partitionBy(*keys).orderBy("row_idx")
+    ranked = per_row.withColumn("__n", F.row_number().over(place)).withColumn("__most", F.max(F.when(F.col("__n") <= first_rows, F.col("n_cols"))).over(Window.partitionBy(*keys)))
+    heads = ranked.filter(F.col("n_cols") >= F.col("__most") - 1).groupBy(*keys).agg(F.min("row_idx").alias("header_row"), F.min_by("n_cols", "row_idx").alias("n_head"))
+    over = column_spans(cells.join(heads, list(keys)).filter(F.col("row_idx") == F.col("header_row")).select(*keys, "left", "right"), keys)
+    order = Window.partitionBy(*keys).orderBy("span_left")
+    edges = over.select(
+        *keys,
+        "span_idx",
+        F.coalesce((F.lag("span_right").over(order) + F.col("span_left")) / 2, F.lit(float("-inf"))).alias("from"),
+        F.coalesce((F.lead("span_left").over(order) + F.col("span_right")) / 2, F.lit(float("inf"))).alias("to"),
+    )
+    columns = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("span_idx", "from", "to"))).alias("columns"))  # as many as a table has columns
+    shared = lambda s: F.least(F.col("right"), s["to"]) - F.greatest(F.col("left"), s["from"])
+    best = F.array_max(F.transform("columns", lambda s: F.struct(shared(s).alias("shared"), (-s["span_idx"]).alias("minus"))))
+    below = F.size(F.filter("columns", lambda s: (s["from"] >= F.col("left")) & (s["to"] <= F.col("right"))))
+    placed = cells.join(columns, list(keys)).withColumn("__best", best).withColumn("__below", below)
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("left", "text"))), lambda x: x["text"])
+    grouped = placed.withColumn("span_idx", -F.col("__best.minus")).groupBy(*row, "span_idx").agg(F.array_join(texts, " ").alias("cell"), F.max(F.greatest("__below", F.lit(1))).alias("span"))
+    by_row = grouped.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("span_idx", F.struct("cell", "span")))).alias("m"), F.count("*").alias("n"))
+    out = by_row.join(columns, list(keys)).join(heads, list(keys))
+    values = F.transform("columns", lambda s: F.coalesce(F.try_element_at("m", s["span_idx"])["cell"], F.lit("")))
+    spans = F.transform("columns", lambda s: F.coalesce(F.try_element_at("m", s["span_idx"])["span"], F.lit(1)))
+    header = (F.col("row_idx") <= F.col("header_row")) & (F.col("n_head") > 1)
+    return out.select(*row, values.alias("cell_values"), spans.cast("array<int>").alias("col_spans"), header.alias("is_header"), (~header & (F.col("n") == 1) & (F.size("columns") > 1)).alias("is_row_group"))
+
+
 def html_table(cells: Column) -> Column:
     """Rows of cells as an HTML table."""
     rows = F.transform(cells, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>")))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars, strings
 from ..functions.sentences import sentences as split
-from ..operators import blocks, layout, lines, matching, render, tables
+from ..operators import blocks, indent, layout, lines, matching, merging, render, tables
 from ..sources import html, markdown, rows, xml
 from . import line_sql
 from .tables import table
@@ -339,6 +339,52 @@ def header_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.header_rank(heads).select("doc_id", "block_idx", F.col("level").cast("long"))
 
 
+@query()
+def organised_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = layout.layout_blocks(_layout(spark, sf_dir)).withColumn("page_width", F.lit(600.0))
+    return merging.organise(made)
+
+
+@query()
+def header_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = layout.layout_blocks(_layout(spark, sf_dir)).withColumn("page_width", F.lit(600.0))
+    return merging.numbered_levels(made).select("doc_id", "block_idx", "prefix", "number_part", "level")
+
+
+@query()
+def layout_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.titles(_layout(spark, sf_dir))
+
+
+_RULES = "s AS (SELECT l_orderkey % 500 AS doc_id, (l_partkey % 300)::DOUBLE AS b, (l_partkey % 300)::DOUBLE + l_quantity::DOUBLE AS e, (l_suppkey % 40)::DOUBLE AS y FROM lineitem)"
+
+
+@query(
+    f"WITH {_RULES}, m AS (SELECT *, max(e) OVER (PARTITION BY doc_id, y ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),"
+    " r AS (SELECT *, sum(CASE WHEN reach IS NULL OR b > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, y ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS run FROM m)"
+    " SELECT doc_id, y, min(b) AS x_begin, max(e) AS x_end FROM r GROUP BY doc_id, y, run"
+)
+def ruled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = (F.col("l_partkey") % 300).cast("double")
+    y = (F.col("l_suppkey") % 40).cast("double")
+    shapes = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("doc_id"), F.lit(0).alias("page_idx"), F.lit("line").alias("kind"), x.alias("x1"), y.alias("y1"), (x + F.col("l_quantity").cast("double")).alias("x2"), y.alias("y2"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+    return merging.ruled_lines(shapes).select("doc_id", F.col("at").alias("y"), F.col("begin").alias("x_begin"), F.col("end").alias("x_end"))
+
+
+@query()
+def indent_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = layout.layout_blocks(_layout(spark, sf_dir)).withColumn("page_width", F.lit(600.0))
+    return indent.indent_levels(made).select("doc_id", "block_idx", "block_type", "level")
+
+
+@query()
+def positioned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's items as positioned cells: three columns of texts under a header row."""
+    rows_ = _order_tables(spark, sf_dir).select(F.col("table_id").alias("doc_id"), F.lit(0).alias("table_idx"), "row_idx", F.posexplode("cell_values").alias("c", "text"))
+    cells = rows_.filter("text <> ''").select("doc_id", "table_idx", "row_idx", "text", (F.col("c") * 150.0 + F.length("text") % 3).alias("left"), (F.col("c") * 150.0 + 60 + F.length("text") * 2).alias("right"))
+    return tables.positioned_table(cells)
+
+
 # ---- scalars -------------------------------------------------------------------------------------------------------------
 
 

@@ -77,3 +77,25 @@ def test_levels_by_prefix(spark):
 def test_joined_texts(spark):
     row = spark.range(1).select(merging.joined_texts(F.array(F.lit("see ("), F.lit("a"), F.lit(") and"), F.lit("more"), F.lit("."))).alias("t")).first()
     assert row.t == "see (a) and more."
+
+
+def test_stack_of_looks(spark):
+    from blockwright.operators import indent
+
+    rows = [(0, "header", "TITLE", 16.0), (0, "header", "Part one", 14.0), (0, "para", "text of it.", 10.0), (0, "list_item", "a) first", 10.0), (0, "list_item", "i) deeper", 10.0), (0, "list_item", "b) second", 10.0), (0, "header", "Section", 12.0), (0, "para", "more.", 10.0), (0, "header", "Part two", 14.0), (0, "table_row", "x 1", 10.0), (0, "header", "NEXT", 16.0)]
+    df = blocks(spark, [(p, k, t, 10.0 * i, 72.0, 100.0, size) for i, (p, k, t, size) in enumerate(rows)])
+    got = [r.level for r in indent.indent_levels(df).orderBy("block_idx").collect()]
+    assert got == [0, 1, 2, 3, 4, 3, 2, 3, 1, 2, 0]
+    one = blocks(spark, [(0, "header", "Only", 0.0, 72.0, 100.0, 16.0), (0, "para", "a.", 10.0, 72.0, 100.0, 10.0), (0, "list_item", "a) b", 20.0, 72.0, 100.0, 10.0)])
+    assert [r.level for r in indent.without_lonely_tops(indent.indent_levels(one)).orderBy("block_idx").collect()] == [0, 0, 1]
+
+
+def test_positioned_table(spark):
+    from blockwright.operators import tables
+
+    cells = [(0, 0.0, 40.0, "Name"), (0, 100.0, 150.0, "Y1"), (0, 200.0, 250.0, "Y2"), (1, 0.0, 120.0, "Group of things"), (2, 0.0, 30.0, "Cash"), (2, 110.0, 140.0, "5"), (2, 210.0, 230.0, "6"), (3, 0.0, 30.0, "Debt"), (3, 205.0, 240.0, "7"), (3, 242.0, 249.0, "%")]
+    df = spark.createDataFrame([(1, 0, *c) for c in cells], "doc_id int, table_idx int, row_idx int, left double, right double, text string")
+    got = {r.row_idx: r for r in tables.positioned_table(df).collect()}
+    assert got[0].cell_values == ["Name", "Y1", "Y2"] and got[0].is_header and not got[0].is_row_group
+    assert got[1].cell_values[0] == "Group of things" and got[1].is_row_group
+    assert got[2].cell_values == ["Cash", "5", "6"] and got[3].cell_values == ["Debt", "", "7 %"]

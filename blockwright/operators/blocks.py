@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.strings import connected
 from .features import with_features
-from .lines import kept_in_order
+from .lines import exploded
 
 _LEADING = "�\\*,.?•➢ƒ–'\"—"
 
@@ -26,7 +26,7 @@ def clean_lines(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
     header_block_idx is the last header block so far (a header's own), -1 if there is none; as in the reference
     behaviour, the last block does not count as a header for itself, and loses a bullet before it.
     """
-    lines = kept_in_order(docs, keys, text, xml).select(*keys, F.posexplode("lines").alias("line_no", "line"))
+    lines = exploded(docs, keys, text, xml)
     columns = ["line_no", "text", "line_type", "incomplete_line", "continuing_line", "ends_with_period", "is_list_or_row"]
     return join_lines(with_features(lines).select(*keys, *columns), keys)
 

@@ -17,7 +17,7 @@ def clean_line(line: Column) -> Column:
 
 def split_lines(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, line_no and line of every line of every text; narrow, no shuffle."""
-    return docs.select(*keys, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "raw")).select(*keys, "line_no", clean_line(F.col("raw")).alias("line"))
+    return docs.select(*keys, F.posexplode_outer(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "raw")).select(*keys, "line_no", clean_line(F.col("raw")).alias("line"))
 
 
 def kept_lines(lines: DataFrame, keys: Sequence[str] = ("doc_id",), xml: bool = False) -> DataFrame:
@@ -27,6 +27,14 @@ def kept_lines(lines: DataFrame, keys: Sequence[str] = ("doc_id",), xml: bool =
     return long.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", "__bare")
 
 
+def exploded(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", xml: bool = False) -> DataFrame:
+    """keys, line_no (among the lines that stay) and line.
+
+    The outer form, since Spark puts a filter on the array's size below the plain one, and so makes the array twice.
+    """
+    return kept_in_order(docs, keys, text, xml).select(*keys, F.posexplode_outer("lines").alias("line_no", "line")).filter("line is not null")
+
+
 def kept_in_order(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", xml: bool = False) -> DataFrame:
     """The same lines straight from the texts, without a shuffle: an array for each document, reduced and then exploded.
 

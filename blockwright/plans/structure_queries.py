@@ -40,7 +40,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _blocks(spark, sf_dir).select("doc_id", "block_idx", split(F.col("block_text")).alias("s"))
-    return said.select("doc_id", "block_idx", F.posexplode("s").alias("sent_idx", "sentence"))
+    return said.select("doc_id", "block_idx", F.posexplode_outer("s").alias("sent_idx", "sentence")).filter("sentence is not null")
 
 
 @query(

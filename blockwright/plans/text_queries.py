@@ -14,7 +14,7 @@ FLAGS = ["numbered_line", "is_zipcode_or_po", "is_list_item", "is_header", "is_t
 
 
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.kept_in_order(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode("lines").alias("line_no", "line"))
+    kept = lines.exploded(table(spark, sf_dir, "documents"))
     return features.line_features(kept)
 
 
@@ -36,7 +36,7 @@ def line_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_type_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.kept_in_order(table(spark, sf_dir, "documents"), keys=("doc_id", "lang")).select("lang", F.explode("lines").alias("line"))
+    kept = lines.exploded(table(spark, sf_dir, "documents"), keys=("doc_id", "lang"))
     typed = features.line_features(kept)
     return typed.groupBy("lang", "line_type").agg(F.count("*").alias("n_lines"), F.sum("word_count").alias("n_words"))
 
@@ -76,7 +76,7 @@ def line_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_noun_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.kept_in_order(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode("lines").alias("line_no", "line"))
+    kept = lines.exploded(table(spark, sf_dir, "documents"))
     return features.line_features(kept, chunks=True).select("doc_id", "line_no", "noun_chunks", "quoted_words")
 
 

@@ -41,6 +41,8 @@ COMMON_SHARE, COMMON_LEAST = 1 / 2000, 4
 COMMON_MOST = 1 << 20
 #: Keys that one task of the join holds, on average, and the bytes of each: 5 of the key, 8 of the class.
 BUCKET_KEYS = 1 << 20
+#: Words that a Python worker holds at a time while it reads documents.
+HELD = 1 << 20
 #: Classes in a row of those that share a key.
 CHUNK = 1024
 
@@ -171,13 +173,15 @@ def summaries(docs: DataFrame, threshold: Fraction, seed: int) -> DataFrame:
     """A row for each document: doc_id, text_hash, node (its class), n, bits, short (words that its sketch lacks); and rows (word, count) of words common in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, documents, counts = [], 0, defaultdict(int)
+        pending, documents = [], 0
+        seen, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def settle() -> None:
+            nonlocal seen, counts
             if pending:
                 values, n = np.unique(np.concatenate(pending), return_counts=True)
-                for v, c in zip(values[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-                    counts[v] += c
+                both, at = np.unique(np.concatenate([seen, values[n > 1]]), return_inverse=True)
+                seen, counts = both, np.bincount(at, np.concatenate([counts, n[n > 1]]), len(both)).astype(np.int64)
                 pending.clear()
 
         waiting = 0
@@ -196,17 +200,16 @@ def summaries(docs: DataFrame, threshold: Fraction, seed: int) -> DataFrame:
                     waiting += len(words)
                 short.append(lacks)
                 documents += 1
-            if waiting > 2_000_000:
+            if waiting > HELD:
                 settle()
                 waiting = 0
             k = len(nodes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(short, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
         settle()
         least = max(COMMON_LEAST, documents * COMMON_SHARE)
-        many = [(v, c) for v, c in counts.items() if c >= least]
-        k = len(many)
-        words = np.array([v for v, _ in many], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(words), pa.array([c for _, c in many], pa.int64())], names=names)
+        many = counts >= least
+        k, words = int(many.sum()), seen[many].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(words), pa.array(counts[many], pa.int64())], names=names)
 
     names = ["doc_id", "text_hash", "node", "n", "bits", "short", "word", "count"]
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).select("doc_id", F.col("text").cast("binary"), F.xxhash64("text").alias("text_hash"))
@@ -240,7 +243,7 @@ def key_blocks(docs: DataFrame, common: np.ndarray, buckets: int, threshold: Fra
                     held.append(keys(found, common, threshold, seed))
                     owners.append(class_of(found))
                     waiting += len(held[-1])
-            if waiting > 4_000_000:
+            if waiting > HELD:
                 yield packed()
                 waiting = 0
         if held:

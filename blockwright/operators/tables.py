@@ -75,17 +75,17 @@ def column_names(rows: DataFrame, key: str = "table_id") -> DataFrame:
     return joined.select(key, "col_idx", F.when(F.col("name") == "", F.concat(F.lit("_UNKNOWN_COLUMN_"), unknown.cast("string"), F.lit("_"))).otherwise(F.col("name")).alias("name"))
 
 
-def index_choice(rows: DataFrame, key: str = "table_id") -> DataFrame:
+def index_choice(rows: DataFrame, key: str = "table_id", names: DataFrame | None = None) -> DataFrame:
     """key and index_col (0 the first, -1 the last, null none): by unnamed headers, numbers in either end, and years."""
-    names = column_names(rows, key)
-    body = cells_long(rows, key).filter("not is_header and not is_row_group")
+    names = column_names(rows, key) if names is None else names
+    body = rows.filter("not is_header and not is_row_group").select(key, F.size("cell_values").alias("w"), F.get("cell_values", F.lit(0)).alias("a"), F.element_at("cell_values", -1).alias("z"))
     last = names.groupBy(key).agg(F.max("col_idx").alias("last"), F.max_by("name", "col_idx").alias("last_name"), F.min_by("name", "col_idx").alias("first_name"))
-    number = F.regexp_replace(F.regexp_replace("value", "N/A", ""), r"[$€,%()/]", "").try_cast("double")
-    ends = body.join(last, key).withColumn("x", number)
+    number = lambda c: F.regexp_replace(F.regexp_replace(c, "N/A", ""), r"[$€,%()/]", "").try_cast("double")
+    ends = body.join(last, key).select(key, "last", "first_name", "last_name", number("a").alias("x"), F.when(F.col("w") == F.col("last") + 1, number("z")).alias("y"))
     stats = ends.groupBy(key, "last", "first_name", "last_name").agg(
-        F.count_if((F.col("col_idx") == 0) & F.col("x").isNotNull()).alias("n_first"),
-        F.count_if((F.col("col_idx") == F.col("last")) & F.col("x").isNotNull()).alias("n_last"),
-        F.coalesce(F.bool_and(F.when((F.col("col_idx") == 0) & F.col("x").isNotNull(), F.col("x").between(1900, 2500))), F.lit(True)).alias("years"),
+        F.count("x").alias("n_first"),
+        F.count("y").alias("n_last"),
+        F.coalesce(F.bool_and(F.col("x").between(1900, 2500)), F.lit(True)).alias("years"),
     )
     unnamed = F.col("first_name").contains("_UNKNOWN_") & F.col("last_name").contains("_UNKNOWN_")
     possible = (F.col("n_first") == 0) | F.col("years")
@@ -100,7 +100,8 @@ def index_choice(rows: DataFrame, key: str = "table_id") -> DataFrame:
 
 def table_records(rows: DataFrame, key: str = "table_id") -> DataFrame:
     """Search records of each table: key, type (row, col, index), idx, index_text and text; three groupings of the same cells."""
-    names, choice = column_names(rows, key), index_choice(rows, key)
+    names = column_names(rows, key)
+    choice = index_choice(rows, key, names)
     order = Window.partitionBy(key).orderBy("row_idx")
     body_rows = rows.filter("not is_header").withColumn("group", F.last(F.when(F.col("is_row_group"), F.trim(F.array_join("cell_values", " "))), ignorenulls=True).over(order)).filter("not is_row_group")
     grouped = body_rows.groupBy(key).agg(F.size(F.collect_set(F.coalesce("group", F.lit("_UNKNOWN_INDEX_")))).alias("groups"))

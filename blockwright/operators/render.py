@@ -11,11 +11,14 @@ from pyspark.sql.window import Window
 from ..functions.sentences import sentences
 
 SCALE = 1.2
+# Class names in rendered blocks.
+TITLE_CLASS, HEADER_CLASS, BODY_CLASS, LIST_CLASS, ROW_CLASS = "nlm-text-title", "nlm-text-header", "nlm-text-body", "nlm-list-item", "nlm-table-row"
+SENTENCE_MARK, BLOCK_MARK, FULL_ROW = "nlm_sent_", "nlm_block_", "nlm_full_row"
 # The styles of formats without styles of their own, by class; their levels are their places.
 STYLES = {
-    "nlm-text-title": ("Roboto, Georgia, serif", "bold", 14.0, "500", "left", "left"),
-    "nlm-text-header": ("Roboto, Georgia, serif", "normal", 12.0, "600", "left", "left"),
-    "nlm-text-body": ("Roboto, Georgia, serif", "normal", 10.0, "400", "left", "left"),
+    TITLE_CLASS: ("Roboto, Georgia, serif", "bold", 14.0, "500", "left", "left"),
+    HEADER_CLASS: ("Roboto, Georgia, serif", "normal", 12.0, "600", "left", "left"),
+    BODY_CLASS: ("Roboto, Georgia, serif", "normal", 10.0, "400", "left", "left"),
 }
 TABLE_COLUMNS = {
     "page_idx": "int",
@@ -42,7 +45,7 @@ def complete(blocks: DataFrame) -> DataFrame:
             out = out.withColumn(name, F.lit({"page_idx": 0, "level": 0, "header_text": ""}.get(name)).cast(kind) if name in ("page_idx", "level", "header_text") else F.lit(None).cast(kind))
     for name in ("is_header_group", "is_header", "is_row_group", "is_table_start", "is_table_end"):
         out = out.withColumn(name, F.coalesce(name, F.lit(False)))
-    default = F.when(F.col("block_type") == "header", "nlm-text-header").when(F.col("block_type") == "list_item", "nlm-list-item").when(F.col("block_type") == "table_row", "nlm-table-row").otherwise("nlm-text-body")
+    default = F.when(F.col("block_type") == "header", HEADER_CLASS).when(F.col("block_type") == "list_item", LIST_CLASS).when(F.col("block_type") == "table_row", ROW_CLASS).otherwise(BODY_CLASS)
     out = out.withColumn("block_class", F.coalesce("block_class", default))
     return out if "block_sents" in out.columns else out.withColumn("block_sents", sentences(F.col("block_text")))
 
@@ -106,11 +109,11 @@ def _css() -> str:
     rules = "".join(
         f".{name} {{\nfont-family: {s[0]};font-style: {s[1]};font-size: {s[2] * SCALE}px;font-weight: {s[3]};margin-left: {level * 20}px;text-transform: {s[4]};text-align: {s[5]}\n}}\n" for level, (name, s) in enumerate(STYLES.items())
     )
-    return f"<style>\n{rules}table {{border-collapse: collapse; margin-top: 10px}}table, th, td {{border: 1px solid lightgray;padding: 5px;}}th {{background: #337ab773}}li {{padding-left: 30px; list-style: none; margin-top: 10px}}li::first-letter {{color: #5656a3}}h4 {{color: #337ab7}}.nlm_full_row {{background: #dfe5e7; font-weight: 600; color: #5656a3}}</style>"
+    return f"<style>\n{rules}table {{border-collapse: collapse; margin-top: 10px}}table, th, td {{border: 1px solid lightgray;padding: 5px;}}th {{background: #337ab773}}li {{padding-left: 30px; list-style: none; margin-top: 10px}}li::first-letter {{color: #5656a3}}h4 {{color: #337ab7}}.{FULL_ROW} {{background: #dfe5e7; font-weight: 600; color: #5656a3}}</style>"
 
 
 def render_html(blocks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keys and html: h4, p, li and table elements in order; sentences are numbered through a document (nlm_sent_n), a table row counts as one."""
+    """keys and html: h4, p, li and table elements in order; sentences are numbered through a document, a table row counts as one."""
     rows = with_tables(complete(blocks), keys)
     w = Window.partitionBy(*keys).orderBy("block_idx")
     nested = ~F.col("in_table") & F.col("block_type").isin("para", "list_item", "numbered_list_item")
@@ -119,11 +122,11 @@ def render_html(blocks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFra
     opens = nested | F.col("is_table_start")
     rows = rows.withColumn("nest", F.coalesce(F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     margin = F.format_string("style='margin-left: %dpx;' page_idx=%d", F.col("level") * 20, F.col("page_idx"))
-    attributes = F.concat(margin, F.lit(' class="'), F.col("block_class"), F.lit(" nlm_sent_"), F.col("sent").cast("string"), F.lit('"'))
+    attributes = F.concat(margin, F.lit(' class="'), F.col("block_class"), F.lit(f" {SENTENCE_MARK}"), F.col("sent").cast("string"), F.lit('"'))
     tag = F.when(F.col("block_type") == "list_item", "li").otherwise("p")
-    one = F.concat(F.lit("<"), tag, F.lit(" "), margin, F.lit(' class="'), F.col("block_class"), F.lit(" nlm_sent_"), F.col("sent").cast("string"), F.lit('">'), F.get("block_sents", F.lit(0)), F.lit("</"), tag, F.lit(">"))
-    spans = F.array_join(F.transform("block_sents", lambda s, i: F.concat(F.lit('<span class="nlm_sent_'), (F.col("sent") + i).cast("string"), F.lit('">'), s, F.lit(" </span>"))), "")
-    many = F.concat(F.lit(" <"), tag, F.lit(" "), margin, F.lit(' class="'), F.col("block_class"), F.lit(" nlm_block_"), F.col("nest").cast("string"), F.lit('">'), spans, F.lit("</"), tag, F.lit(">"))
+    one = F.concat(F.lit("<"), tag, F.lit(" "), margin, F.lit(' class="'), F.col("block_class"), F.lit(f" {SENTENCE_MARK}"), F.col("sent").cast("string"), F.lit('">'), F.get("block_sents", F.lit(0)), F.lit("</"), tag, F.lit(">"))
+    spans = F.array_join(F.transform("block_sents", lambda s, i: F.concat(F.lit(f'<span class="{SENTENCE_MARK}'), (F.col("sent") + i).cast("string"), F.lit('">'), s, F.lit(" </span>"))), "")
+    many = F.concat(F.lit(" <"), tag, F.lit(" "), margin, F.lit(' class="'), F.col("block_class"), F.lit(f" {BLOCK_MARK}"), F.col("nest").cast("string"), F.lit('">'), spans, F.lit("</"), tag, F.lit(">"))
     cells = F.coalesce("cell_values", F.array("block_text"))
     cell = F.transform(
         cells,
@@ -131,7 +134,7 @@ def render_html(blocks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFra
         .when(F.col("is_header"), F.concat(F.lit("<th "), margin, F.lit(">"), v, F.lit("</th>")))
         .otherwise(F.concat(F.lit("<td "), margin, F.lit(">"), v, F.lit("</td>"))),
     )
-    full = F.concat(F.lit("<td "), margin, F.lit(" class='nlm_full_row' colspan="), F.coalesce(F.col("col_span"), F.lit(1)).cast("string"), F.lit(">"), F.get(cells, F.lit(0)), F.lit("</td>"))
+    full = F.concat(F.lit("<td "), margin, F.lit(f" class='{FULL_ROW}' colspan="), F.coalesce(F.col("col_span"), F.lit(1)).cast("string"), F.lit(">"), F.get(cells, F.lit(0)), F.lit("</td>"))
     head = F.concat(F.lit("<table "), attributes, F.format_string(' page_idx="%d" top="%s" left="%s" name="%s"><tbody>', F.col("page_idx"), F.coalesce(F.col("box.top").cast("string"), F.lit("0")), F.coalesce(F.col("box.left").cast("string"), F.lit("0")), F.col("header_text")))
     row = F.concat(F.when(F.col("is_table_start"), head).otherwise(""), F.lit("<tr "), attributes, F.lit(">"), F.when(F.col("is_row_group"), full).otherwise(F.array_join(cell, "")), F.lit("</tr>"), F.when(F.col("is_table_end"), "</tbody></table>").otherwise(""))
     piece = (

@@ -175,7 +175,7 @@ def positioned_table(cells: DataFrame, keys: Sequence[str] = ("doc_id", "table_i
     return out.select(*row, values.alias("cell_values"), spans.cast("array<int>").alias("col_spans"), header.alias("is_header"), (~header & (F.col("n") == 1) & (F.size("columns") > 1)).alias("is_row_group"))
 
 
-def html_table(cells: Column) -> Column:
-    """Rows of cells as an HTML table."""
+def html_table(cells: Column, css_class: str = "content_table") -> Column:
+    """Rows of cells as an HTML table of a class."""
     rows = F.transform(cells, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>")))
-    return F.concat(F.lit("<table class='nlm_content_table'>"), F.array_join(rows, ""), F.lit("</table>"))
+    return F.concat(F.lit(f"<table class='{css_class}'>"), F.array_join(rows, ""), F.lit("</table>"))

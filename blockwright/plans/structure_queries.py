@@ -130,7 +130,7 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{_BLOCKS} SELECT doc_id, block_idx, CASE WHEN block_type IN ('header', 'list_item') THEN block_type ELSE 'para' END AS tag, CASE block_type WHEN 'header' THEN 'nlm-text-header' WHEN 'list_item' THEN 'nlm-list-item' WHEN 'table_row' THEN 'nlm-table-row' ELSE 'nlm-text-body' END AS block_class,"
+    f"{_BLOCKS} SELECT doc_id, block_idx, CASE WHEN block_type IN ('header', 'list_item') THEN block_type ELSE 'para' END AS tag, CASE block_type WHEN 'header' THEN '{render.HEADER_CLASS}' WHEN 'list_item' THEN '{render.LIST_CLASS}' WHEN 'table_row' THEN '{render.ROW_CLASS}' ELSE '{render.BODY_CLASS}' END AS block_class,"
     " 0 AS level, 0 AS page_idx FROM blocks WHERE block_text <> ''"
 )
 def render_json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ EQUAL = [
     ("Skadden, Arps, Slate, Meagher & Flom LLP", "noun_chunks", ["Skadden Arps Slate Meagher & Flom LLP"]),
     ("There are 25 florrs in 150 Broadway and they are all oversold", "noun_chunks", ["150 Broadway"]),
     ("Series Seed 1 Preferred Stock, par value $0.00001 per share", "noun_chunks", ["Series Seed 1 Preferred Stock"]),
-    ('This company ("NLMatics") is refered as NLMatics', "quoted_words", ["NLMatics"]),
+    ('This company ("DataCo") is refered as DataCo', "quoted_words", ["DataCo"]),
     ("Delta Airline 'DAL' went up 7.5% today \"Nov.4\"", "quoted_words", ["DAL", "Nov.4"]),
 ]
 

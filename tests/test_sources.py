@@ -153,6 +153,7 @@ def test_rows(spark):
 def test_mixed_types_and_rendering(spark):
     import json
 
+    from blockwright.operators import render
     from blockwright.sources import dispatch
 
     docs = spark.createDataFrame([("t", "text/plain", "PROJECT OVERVIEW\nThis project started out really well. It goes on."), ("h", "text/html", PAGE), ("m", "text/markdown", MARKDOWN), ("x", "application/xml", XML), ("o", "application/msword", "<p>From another format.</p>"), ("n", None, None)], "doc_id string, mime string, text string")
@@ -165,6 +166,6 @@ def test_mixed_types_and_rendering(spark):
     assert len(tables) == 1 and [r["type"] for r in tables[0]["table_rows"]] == ["table_header", "table_data_row"]
     assert tables[0]["table_rows"][0]["cells"][2] == {"cell_value": "H2", "col_span": 2} and tables[0]["name"] == "D"
     page = got["t"].html
-    assert page.startswith("<!DOCTYPE html><html><head><style>") and "<h4 style='margin-left: 0px;' page_idx=0 class=\"nlm-text-header nlm_sent_0\"> PROJECT OVERVIEW </h4>" in page
-    assert '<span class="nlm_sent_1">This project started out really well. </span><span class="nlm_sent_2">It goes on. </span>' in page
+    assert page.startswith("<!DOCTYPE html><html><head><style>") and "<h4 style='margin-left: 0px;' page_idx=0 class=\"" + f'{render.HEADER_CLASS} {render.SENTENCE_MARK}0"> PROJECT OVERVIEW </h4>' in page
+    assert f'<span class="{render.SENTENCE_MARK}1">This project started out really well. </span><span class="{render.SENTENCE_MARK}2">It goes on. </span>' in page
     assert got["h"].html.count("<tr ") == 2 and got["h"].html.count("</tbody></table>") == 1 and "colspan=2>H2</th>" in got["h"].html

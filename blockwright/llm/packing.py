@@ -11,7 +11,7 @@ import base64
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np

@@ -52,9 +52,10 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w+-])\d{4}(?:[\x20-]?\d{4}){2}[\x20-]?\d{1,7}(?![\w-])|(?<![\w+-])3[47]\d{2}[\x20-]?\d{6}[\x20-]?\d{5}(?![\w-])",
-    "phone": r"(?<![\w+.])(?!\d{4}-\d{2}-\d{2})(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{1,5}\)[\x20.-]?)?\d{2,5}(?:[\x20./-]\d{2,5}){1,4}(?![\w]|[.-]\d)|(?<![\w+.])\+\d{9,14}(?!\w)|(?<![\w+.])\(\d{2,5}\)\x20?\d{6,9}(?!\w)",
+    "card": r"(?<![\w+-])(?:[3-6]\d{3}(?:[\x20-]\d{4}){2}[\x20-]\d{1,7}|3[47]\d{2}[\x20-]\d{6}[\x20-]\d{5}|\d{13,19})(?![\w-])",
+    "phone": r"(?<![\w+.])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,5}\)[\x20.-]?)?\d{1,5}(?:[\x20./-]?\d{2,5}){1,5}|\(\d{2,5}\)[\x20.-]?\d{3,5}(?:[\x20.-]?\d{2,5}){0,3}|\d{3}([\x20.-])\d{3}\1\d{4}|0\d{1,5}[\x20/-]\d{2,8}(?:[\x20-]\d{2,5}){0,3})(?!\w|[.-]\d)",
     "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{_NAMED})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+)?|(?:{_CALLED})\x20\p{{Lu}}[\p{{L}}'-]+)(?!\p{{L}})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -79,7 +80,7 @@ def pick(words: str, at: Callable[[int], Column]) -> Column:
 def type_of(mention: Column) -> Column:
     """The type of a match; null where it is left alone (too few digits for a phone number)."""
     out = F.when(mention.contains("@"), "email")
-    for kind in ("iban", "ip", "ssn", "card"):
+    for kind in ("iban", "ip", "ipv6", "ssn", "card"):
         out = out.when(mention.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     digits = F.length(F.regexp_replace(mention, r"\D", ""))
     return out.when(mention.rlike(r"^[+(\d]"), F.when(digits >= PHONE_DIGITS, "phone")).otherwise("name")
@@ -91,7 +92,7 @@ def normal(kind: Column, mention: Column) -> Column:
         F.when(kind == "name", F.lower(F.element_at(F.split(mention, " "), -1)))
         .when(kind == "email", F.lower(mention))
         .when(kind == "phone", F.regexp_replace(mention, r"[^0-9+]", ""))
-        .when(kind == "ip", mention)
+        .when(kind.isin("ip", "ipv6"), F.lower(mention))
         .otherwise(F.lower(F.regexp_replace(mention, r"[^A-Za-z0-9]", "")))
     )
 
@@ -100,8 +101,8 @@ def script_of(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _characters(text: Column, key: str, salt: Column, skip: Column | int = 0) -> Column:
-    """Digits and letters replaced by keyed ones, after the first skip characters; a first digit that isn't 0 stays so.
+def _characters(text: Column, key: str, salt: Column, skip: Column | int = 0, letters: int = 26) -> Column:
+    """Digits and letters replaced by keyed ones (the first so many letters), after the first skip characters; a first digit that isn't 0 stays so.
 
     Two hashes give 16 bits a character; the array of one row binds them, so they are made once and not for each.
     """
@@ -114,7 +115,7 @@ def _characters(text: Column, key: str, salt: Column, skip: Column | int = 0) ->
             return (
                 F.when(i <= s["skip"], c)
                 .when(c.rlike("[0-9]"), F.when((c != "0") & (i == 1), drawn % 9 + 1).otherwise(drawn % 10).cast("string"))
-                .when(c.rlike("[a-z]"), F.lit("abcdefghijklmnopqrstuvwxyz").substr(drawn % 26 + 1, F.lit(1)))
+                .when(c.rlike("[a-z]"), F.lit("abcdefghijklmnopqrstuvwxyz").substr(drawn % letters + 1, F.lit(1)))
                 .otherwise(c)
             )
 
@@ -159,7 +160,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         parts = [pick(SYLLABLES[script], lambda n, i=i: keyed(key, n, salt, str(i))) for i in range(3)]
         made = F.concat(*parts, pick(ENDINGS[script], lambda n: keyed(key, n, salt, "ending")))
         surname = F.when(script_of(norm) == script, F.concat(made, F.when(attempt > 20, parts[0]).otherwise(""))).otherwise(surname)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", surname).otherwise(_characters(norm, key, salt))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", surname).when(kind == "ipv6", _characters(norm, key, salt, letters=6)).otherwise(_characters(norm, key, salt))
 
 
 def rendered(kind: Column, mention: Column, by: Column, key: str) -> Column:
@@ -172,7 +173,7 @@ def rendered(kind: Column, mention: Column, by: Column, key: str) -> Column:
     def step(i: Column) -> Column:
         c = mention.substr(i, F.lit(1))
         k = F.length(F.regexp_replace(mention.substr(F.lit(1), i), r"[^A-Za-z0-9+]", ""))
-        return F.when(kind.isin("email", "ip"), cased(c, by.substr(i, F.lit(1)))).when(c.rlike("[A-Za-z0-9+]"), cased(c, by.substr(k, F.lit(1)))).otherwise(c)
+        return F.when(kind.isin("email", "ip", "ipv6"), cased(c, by.substr(i, F.lit(1)))).when(c.rlike("[A-Za-z0-9+]"), cased(c, by.substr(k, F.lit(1)))).otherwise(c)
 
     signs = F.array_join(F.transform(F.sequence(F.lit(1), F.length(plain) + (F.length(mention) - F.length(plain))), step), "")
     words = F.split(mention, " ")
@@ -201,8 +202,10 @@ def _gender(words: Column) -> Column:
 
 def _checked(entities: DataFrame, key: str) -> DataFrame:
     """kind, norm and attempt of the entities (one row each) whose first surrogate would not do."""
-    entities = stored(entities.repartition("kind", "norm"), "entities")
-    first = entities.select("kind", "norm", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("norm"), F.lit(0), key).alias("by"))
+    entities = stored(entities, "entities")
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entities.repartition(parts, "norm")  # few bytes but many hashes: left to itself Spark would put them in one task
+    first = dealt.select("kind", "norm", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("norm"), F.lit(0), key).alias("by"))
     tried = stored(first, "tried")
     for attempt in range(1, ATTEMPTS + 1):
         taken = entities.select("kind", F.col("norm").alias("by"))

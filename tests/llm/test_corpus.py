@@ -81,7 +81,8 @@ PRIVATE = [
     "Mail a.b-9@Mail9.Example.com or call +1 (555) 123-4567, card 4111 1111 1111 1111, ip 10.0.12.255.",
     "Again A.B-9@mail9.example.com and 4111111111111111; ssn 123-45-6789, IBAN DE89 3704 0044 0532 0130 00",
     "Mr. John Smith met Mrs Smith, Иван Петров, Νίκος Παππάς and Dr Müller.",
-    "Clean: 2024-01-15 10:30, v2.0.0, 1,234,567.89, chapter 12, Released 1999-2004.",
+    "Clean: 2024-01-15 10:30, v2.0.0, 1,234,567.89, chapter 12, Released 1999-2004, 2019 2020 2021 2022 2023 and 12 345 678 901.",
+    "Call 555-123-4567 or 030/1234567 or (0171) 234 5678 or +4930123456; host 2001:0db8:85a3:0000:0000:8a2e:0370:7334, card 5500-0000-0000-0004.",
 ]
 
 
@@ -100,7 +101,10 @@ def test_surrogates(spark):
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4},", a) and re.search(r"ip \d\d\.[1-9]\.\d\d\.\d{3}\.", a) and re.search(r"ssn \d{3}-\d\d-\d{4}, IBAN DE\d\d( \d{4}){4} \d\d$", b)
     first, surname, same, ivan, nikos, doctor = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs (\w+), (\w+ \w+), (\w+ \w+) and Dr (\w+)\.", c).groups()
     assert surname == same and first in pii.FIRST["latin_m"].split() and ivan.split()[0] in pii.FIRST["cyrillic_m"].split() and nikos.split()[0] in pii.FIRST["greek_m"].split()
-    for r in rows[4:]:
+    other = got[4].text
+    assert not re.search("4567|1234567|234 5678|123456|85a3|5500", other) and got[4].n_phone == 4 and got[4].n_ipv6 == 1 and got[4].n_card == 1
+    assert re.fullmatch(r"Call \d{3}-\d{3}-\d{4} or 0?\d{2,3}/\d{7} or \(\d{4}\) \d{3} \d{4} or \+4\d{9}; host ([0-9a-f]{4}:){7}[0-9a-f]{4}, card \d{4}-\d{4}-\d{4}-\d{4}\.", other), other
+    for r in rows[5:]:
         if r[0] is not None:
             assert got[r[0]].text == (r[1] or "")
     assert pii.replace_entities(cases.empty(spark)).count() == 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import marker_ordinal
-from .features import line_features
+from .features import SENTENCE_END, line_features
 
 # Margins as shares of the page height, gaps as multiples of the space width or the usual line gap.
 HEADER_MARGIN, FOOTER_MARGIN = 0.18, 0.1
@@ -176,18 +176,47 @@ def reading_runs(blocks: DataFrame, keys: Sequence[str] = ("doc_id", "page_idx")
     return runs.withColumn("ratio", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
-def reading_order(blocks: DataFrame, keys: Sequence[str] = ("doc_id", "page_idx")) -> DataFrame:
-    """Blocks with order: as they come, but for pages of exactly two runs that overlap in x, which are merged by the block's place from above.
+def reading_order(blocks: DataFrame, keys: Sequence[str] = ("doc_id", "page_idx"), small: float = 0.2) -> DataFrame:
+    """Blocks with order. On a page of several runs:
+
+    - Runs with at least the small share of blocks that lie side by side are columns, read from the left; blocks of
+      smaller runs go into the column that they overlap most, by their top.
+    - Exactly two runs that overlap in x are merged by the blocks' place from above.
+    - Otherwise blocks stay as they come.
 
     Overlapping tops aren't an order among three blocks, so the key is the top in steps of the tolerance, then the left edge.
     """
     runs = reading_runs(blocks, keys)
-    page = runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.max("left").alias("l"), F.min("right").alias("r"))
-    merge = (F.col("runs") == 2) & (F.col("l") < F.col("r"))
-    first = F.when(merge, F.floor(F.col("top") / TOP_TOLERANCE)).otherwise(0)
-    second = F.when(merge, F.col("left")).otherwise(0.0)
+    large = runs.filter(F.col("ratio") >= small)
+    order = Window.partitionBy(*keys).orderBy("left", "right")
+    reach = F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    split = large.withColumn("__new", F.when(reach.isNull() | (F.col("left") >= reach), 1).otherwise(0))
+    numbered = split.withColumn("column", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    columns = numbered.groupBy(*keys, "column").agg(F.min("left").alias("from"), F.max("right").alias("to"))
+    lists = columns.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("column", "from", "to"))).alias("columns"))  # a few a page
+    page = runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.max("left").alias("l"), F.min("right").alias("r")).join(lists, list(keys), "left")
     out = blocks.join(page, list(keys))
-    return out.withColumn("order", F.row_number().over(Window.partitionBy(*keys).orderBy(first, second, "block_idx")) - 1).drop("runs", "l", "r")
+    right = F.col("left") + F.col("width")
+    best = F.array_max(F.transform("columns", lambda c: F.struct((F.least(right, c["to"]) - F.greatest(F.col("left"), c["from"])).alias("shared"), (-c["column"]).alias("minus"))))
+    side = (F.size("columns") > 1) & (F.col("runs") > 1)
+    merge = ~side & (F.col("runs") == 2) & (F.col("l") < F.col("r"))
+    column = F.when(side, -best["minus"]).otherwise(0)
+    step = F.when(side | merge, F.floor(F.col("top") / TOP_TOLERANCE)).otherwise(0)
+    left = F.when(side | merge, F.col("left")).otherwise(0.0)
+    placed = out.withColumn("__c", column).withColumn("__s", step).withColumn("__l", left)
+    return placed.withColumn("order", F.row_number().over(Window.partitionBy(*keys).orderBy("__c", "__s", "__l", "block_idx")) - 1).drop("runs", "l", "r", "columns", "__c", "__s", "__l")
+
+
+def font_headers(blocks: DataFrame, stats: DataFrame, keys: Sequence[str] = ("doc_id",), words: int = 16) -> DataFrame:
+    """Blocks in which short paragraphs and list items in a header style are headers, unless one of that style ends a sentence (then the style is no header's)."""
+    roles = style_roles(stats, keys).select(*keys, *STYLE, "role")
+    out = blocks.join(roles, [*keys, *STYLE], "left")
+    text = F.col("block_type").isin("para", "list_item")
+    style = Window.partitionBy(*keys, *STYLE)
+    spoiled = F.max(text & F.col("block_text").rlike(SENTENCE_END) & ~F.col("block_text").endswith(":")).over(style)
+    short = F.size(F.split(F.trim("block_text"), r"\s+")) < words
+    kind = F.when(text & (F.col("role") == "header") & short & ~F.coalesce(spoiled, F.lit(False)), "header").otherwise(F.col("block_type"))
+    return out.withColumn("block_type", kind).drop("role")
 
 
 def header_rank(headers: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

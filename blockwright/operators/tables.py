@@ -175,6 +175,18 @@ def positioned_table(cells: DataFrame, keys: Sequence[str] = ("doc_id", "table_i
     return out.select(*row, values.alias("cell_values"), spans.cast("array<int>").alias("col_spans"), header.alias("is_header"), (~header & (F.col("n") == 1) & (F.size("columns") > 1)).alias("is_row_group"))
 
 
+def merge_wrapped_rows(rows: DataFrame, key: Sequence[str] = ("doc_id", "table_idx")) -> DataFrame:
+    """Rows (row_idx, cell_values, is_header) of two-column tables with an empty first cell go on in the row above; has_merged_cells marks rows made of several."""
+    w = Window.partitionBy(*key).orderBy("row_idx")
+    wrapped = (F.size("cell_values") == 2) & (F.get("cell_values", F.lit(0)) == "") & ~F.col("is_header") & ~F.coalesce(F.lag("is_header").over(w), F.lit(True))
+    out = rows.withColumn("__on", wrapped).withColumn("__run", F.sum(F.when(F.col("__on"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("row_idx", F.element_at("cell_values", -1).alias("v")))), lambda x: x["v"])
+    grouped = out.groupBy(*key, "__run").agg(F.min("row_idx").alias("row_idx"), F.min_by("cell_values", "row_idx").alias("cells"), F.min_by("is_header", "row_idx").alias("is_header"), parts.alias("parts"))
+    merged = F.size("parts") > 1
+    values = F.when(merged, F.array(F.get("cells", F.lit(0)), F.array_join("parts", " "))).otherwise(F.col("cells"))
+    return grouped.select(*key, "row_idx", values.alias("cell_values"), "is_header", merged.alias("has_merged_cells"))
+
+
 def html_table(cells: Column, css_class: str = "content_table") -> Column:
     """Rows of cells as an HTML table of a class."""
     rows = F.transform(cells, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>")))

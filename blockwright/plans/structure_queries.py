@@ -341,8 +341,9 @@ def header_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def organised_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = layout.layout_blocks(_layout(spark, sf_dir)).withColumn("page_width", F.lit(600.0))
-    return merging.organise(made)
+    lines_ = _layout(spark, sf_dir)
+    made = layout.layout_blocks(lines_).withColumn("page_width", F.lit(600.0))
+    return merging.organise(layout.font_headers(made, layout.style_stats(lines_)))
 
 
 @query()

@@ -99,3 +99,34 @@ def test_positioned_table(spark):
     assert got[0].cell_values == ["Name", "Y1", "Y2"] and got[0].is_header and not got[0].is_row_group
     assert got[1].cell_values[0] == "Group of things" and got[1].is_row_group
     assert got[2].cell_values == ["Cash", "5", "6"] and got[3].cell_values == ["Debt", "", "7 %"]
+
+
+def test_sections_and_special_lists(spark):
+    df = blocks(spark, [(0, "para", "Section 2.1 Use of Funds. The money is spent.", 0.0, 72.0, 400.0, 10.0), (0, "para", "Section 5 was read.", 20.0, 72.0, 400.0, 10.0), (0, "list_item", "3.2. Terms: these hold.", 40.0, 72.0, 400.0, 10.0)])
+    got = merging.split_sections(df)
+    assert texts(got) == [("header", "Section 2.1 Use of Funds."), ("para", "The money is spent."), ("para", "Section 5 was read."), ("header", "3.2. Terms:"), ("para", "these hold.")]
+    assert got.columns == df.columns
+    rows = [("table_row", "GOLD BANK SILVER BANK", ["GOLD BANK", "SILVER BANK"], 12.0, 600), ("table_row", "IRON BANK", ["IRON BANK"], 12.0, 600), ("para", "Text.", None, 10.0, 400), ("table_row", "Cash 5", ["Cash", "5"], 10.0, 400)]
+    names = spark.createDataFrame([(1, 0, i, *r) for i, r in enumerate(rows)], "doc_id int, page_idx int, block_idx int, block_type string, block_text string, cell_values array<string>, font_size double, font_weight int")
+    assert texts(merging.special_lists(names)) == [("list_item", "GOLD BANK"), ("list_item", "SILVER BANK"), ("list_item", "IRON BANK"), ("para", "Text."), ("table_row", "Cash 5")]
+
+
+def test_wrapped_rows_and_font_headers(spark):
+    from blockwright.operators import layout, tables
+
+    rows = [(0, ["Term", "Meaning"], True), (1, ["Act", "the law"], False), (2, ["", "of 1934"], False), (3, ["Bank", "a bank"], False)]
+    df = spark.createDataFrame([(1, 0, *r) for r in rows], "doc_id int, table_idx int, row_idx int, cell_values array<string>, is_header boolean")
+    got = [(r.cell_values, r.has_merged_cells) for r in tables.merge_wrapped_rows(df).orderBy("row_idx").collect()]
+    assert got == [(["Term", "Meaning"], False), (["Act", "the law of 1934"], True), (["Bank", "a bank"], False)]
+    made = blocks(spark, [(0, "para", "what it is", 0.0, 72.0, 100.0, 14.0), (0, "para", "normal text here.", 20.0, 72.0, 400.0, 10.0), (0, "para", "big but said.", 40.0, 72.0, 400.0, 16.0)])
+    stats = spark.createDataFrame([(1, "T", 14.0, 400, "normal", 1), (1, "T", 10.0, 400, "normal", 9), (1, "T", 16.0, 400, "normal", 1)], "doc_id int, font_family string, font_size double, font_weight int, font_style string, n_lines long")
+    assert texts(layout.font_headers(made, stats)) == [("header", "what it is"), ("para", "normal text here."), ("para", "big but said.")]
+
+
+def test_columns_side_by_side(spark):
+    from blockwright.operators import layout
+
+    rows = [(0, 0.0, 0.0), (1, 20.0, 0.0), (2, 40.0, 0.0), (3, 0.0, 300.0), (4, 20.0, 300.0), (5, 40.0, 300.0), (6, 10.0, 5.0)]
+    df = spark.createDataFrame([(1, 0, i, top, left, 250.0) for i, top, left in rows], "doc_id int, page_idx int, block_idx int, top double, left double, width double")
+    got = {r.block_idx: r.order for r in layout.reading_order(df).collect()}
+    assert [got[i] for i in (0, 6, 1, 2, 3, 4, 5)] == [0, 1, 2, 3, 4, 5, 6]

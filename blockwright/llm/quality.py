@@ -1,7 +1,7 @@
 """Text quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are its byte trigrams and, for each word, its shape and whether it repeats the word before it, all
-hashed to a fixed number of columns. A singular value decomposition of the weighted term counts of a bounded sample of
+A text's terms are its byte trigrams and, for each word, its shape and whether it repeats the word before it (capitals
+aside), all hashed to a fixed number of columns. A singular value decomposition of the weighted term counts of a bounded sample of
 labelled texts gives the space. The sample's vectors are broadcast (their number is a parameter, so is their size);
 every document's exact cosine to all of them is a blocked matrix product, and its nearest neighbours vote with weights
 that rise with the cosine.
@@ -9,18 +9,17 @@ that rise with the cosine.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, whole_text
+from .ngram_join import word_hashes
 
 #: Labelled rows that the space is fitted on, at most half of them of either label, and dimensions of the space.
 SAMPLE, DIMENSIONS = 3000, 48
@@ -34,23 +33,26 @@ COLUMNS = TRIGRAMS + 2 * SHAPES + 16
 #: Documents of one matrix product.
 BLOCK = 256
 
-_RUNS = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^Aa0])\1+"), rb"\1"))
+#: Bytes by class: white space 0, capitals 1, small letters (and all beyond ASCII) 2, digits 3, others themselves.
+_CLASS = np.array([0 if c in b" \t\n\x0b\x0c\r" else 1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 or c >= 128 else 3 if 48 <= c <= 57 else c for c in range(256)], np.uint8)
+#: Runs of one class that make a word's shape.
+RUNS = 8
+_WEIGHTS = np.random.default_rng(7).integers(1, 1 << 62, RUNS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
-class _Words(dict):
-    """A word's 56-bit hash and, in the low byte, its shape: runs of a class as one letter."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        shape = word[:64]
-        for pattern, by in _RUNS:
-            shape = pattern.sub(by, shape)
-        value = self[word] = (xxhash.xxh3_64_intdigest(word) & ~255) | (xxhash.xxh3_64_intdigest(shape[:8]) & 255)
-        return value
-
-
-_words = _Words()
+def shapes(b: np.ndarray) -> np.ndarray:
+    """The shape of each word of a text's bytes, below SHAPES: its first runs of one class, hashed."""
+    kind = _CLASS[b]
+    at = np.flatnonzero(np.diff(kind, prepend=np.uint8(0)) if len(kind) else kind)  # where a run begins (a leading space has none)
+    at = at if len(kind) and kind[0] == 0 else np.union1d(at, [0])
+    run = kind[at]
+    first = (run != 0) & (np.concatenate([[0], run[:-1]]) == 0)
+    word = np.flatnonzero(first)
+    inside = np.flatnonzero(run != 0)
+    place = inside - np.repeat(word, np.diff(np.append(np.searchsorted(inside, word), len(inside))))
+    value = np.where(place < RUNS, run[inside].astype(np.uint64) * _WEIGHTS[np.minimum(place, RUNS - 1)], np.uint64(0))
+    total = np.add.reduceat(value, np.searchsorted(inside, word)) * np.uint64(0x9E3779B97F4A7C15)
+    return (total >> np.uint64(56)).astype(np.int64)
 
 
 def terms(text: bytes) -> np.ndarray:
@@ -60,10 +62,9 @@ def terms(text: bytes) -> np.ndarray:
     if len(b) >= 3:
         h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA6B) + b[2:]) * np.uint32(0xC2B2AE35)
         out[:TRIGRAMS] = np.sqrt(np.bincount(h >> np.uint32(22), minlength=TRIGRAMS))
-    words = text.split()
-    if words:
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-        shape = (h & np.uint64(255)).astype(np.int64)
+    h = word_hashes(text)
+    if len(h):
+        shape = shapes(np.frombuffer(text, np.uint8))
         same = h[1:] == h[:-1]
         out[TRIGRAMS : TRIGRAMS + SHAPES] = np.sqrt(np.bincount(shape, minlength=SHAPES))
         out[TRIGRAMS + SHAPES : TRIGRAMS + 2 * SHAPES] = np.sqrt(np.bincount(shape[1:][same], minlength=SHAPES))

@@ -25,16 +25,28 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 
-def check_duplicates(vectors: DataFrame, settings: DataFrame, threshold: float = 0.9) -> DataFrame:
+def check_duplicates(vectors: DataFrame, settings: DataFrame, threshold: float = 0.9, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per vector (vec_id, level, embedding): its most similar setting of its level (setting_id, level, embedding, ignore_all_after), and whether the score is above the threshold.
 
-    Settings come as one array a level, so a vector stays one row; without a setting of its level it has none.
+    Settings whose counted numbers fit into most_bytes are broadcast as one array a level, so a vector stays one row.
+    More of them are joined by level row by row and reduced by partial maxima, in blocks of settings so that no level's
+    list is in one task. A vector without a setting of its level has none.
     """
-    lists = settings.groupBy("level").agg(F.sort_array(F.collect_list(F.struct("setting_id", "embedding", "ignore_all_after"))).alias("settings"))
-    scored = vectors.join(bounded(lists, 1 << 16), "level", "left").withColumn("scores", F.transform("settings", lambda s: F.struct(dot(s["embedding"], F.col("embedding")).alias("score"), (-s["setting_id"]).alias("minus"), s["ignore_all_after"].alias("after"))))
-    best = F.array_max("scores")  # the highest score, then the smallest id
+    size = settings.agg(F.coalesce(F.sum(F.size("embedding") * 8 + 32), F.lit(0))).first()[0]
+    score = lambda s: F.struct(dot(s["embedding"], F.col("embedding")).alias("score"), (-s["setting_id"]).alias("minus"), s["ignore_all_after"].alias("after"))
+    one = F.struct("setting_id", "embedding", "ignore_all_after")
+    if size <= most_bytes:
+        lists = settings.groupBy("level").agg(F.sort_array(F.collect_list(one)).alias("settings"))
+        scored = vectors.join(F.broadcast(lists), "level", "left").select("vec_id", "level", F.array_max(F.transform("settings", score)).alias("best"))
+    else:
+        blocks = 64
+        spread = settings.select("level", F.pmod(F.hash("setting_id"), F.lit(blocks)).alias("__block"), one.alias("s"))
+        asked = vectors.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = asked.join(spread, ["level", "__block"]).select("vec_id", "level", score(F.col("s")).alias("x"))
+        scored = vectors.select("vec_id", "level").join(met.groupBy("vec_id", "level").agg(F.max("x").alias("best")), ["vec_id", "level"], "left")
+    best = F.col("best")  # the highest score, then the smallest id
     hit = F.coalesce(best["score"] > threshold, F.lit(False))
-    return scored.select("vec_id", "level", (-best["minus"]).alias("setting_id"), best["score"].alias("score"), hit.alias("is_duplicated"), (hit & best["after"]).alias("ignore_all_after"))
+    return scored.select("vec_id", "level", (-best["minus"]).alias("setting_id"), best["score"].alias("score"), hit.alias("is_duplicated"), F.coalesce(hit & best["after"], F.lit(False)).alias("ignore_all_after"))
 
 
 def by_document(report: DataFrame) -> DataFrame:

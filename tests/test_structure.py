@@ -67,6 +67,8 @@ def test_duplicates_by_level(spark):
     got = {r.vec_id: r for r in matching.check_duplicates(vectors, settings).collect()}
     assert {k: r.is_duplicated for k, r in got.items()} == {1: True, 2: False, 3: False, 4: False}  # 0.9 itself is not above
     assert got[1].ignore_all_after and got[2].setting_id == 11 and got[3].setting_id is None
+    row_by_row = matching.check_duplicates(vectors, settings, most_bytes=0).collect()
+    assert sorted(map(tuple, row_by_row), key=repr) == sorted(map(tuple, got.values()), key=repr)
 
 
 def plain_hits(text, phrases):

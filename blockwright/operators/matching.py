@@ -8,14 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon
 
-#: A side is broadcast only if its counted rows, at this many bytes each, stay below the limit.
+#: A side is broadcast only if its bytes, as summed up before, stay below the limit.
 BROADCAST_BYTES = 32 << 20
 
 
-def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -80,11 +76,11 @@ def dictionary_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     so the rest is compared on the spot and no row holds a whole text.
     """
     words = dictionary(phrases).select(F.element_at("tokens", 1).alias("head"), "tokens", "meta")
-    longest_phrase = words.agg(F.coalesce(F.max(F.size("tokens")), F.lit(1))).first()[0]
+    longest_phrase, size = words.agg(F.coalesce(F.max(F.size("tokens")), F.lit(1)), F.coalesce(F.sum(F.aggregate("tokens", F.lit(0), lambda n, t: n + F.octet_length(t) + 16) + F.size("meta") * 8 + 64), F.lit(0))).first()
     lists = words.groupBy("head").agg(F.collect_list(F.struct(F.size("tokens").alias("n"), "tokens", "meta")).alias("known"))
     texts = docs.select("doc_id", content_tokens(F.col("text")).alias("raw")).withColumn("t", F.transform("raw", phrase_token))
     ahead = F.transform("t", lambda x, i: F.struct(i.alias("start"), x.alias("head"), F.slice("t", i + 1, F.lit(longest_phrase)).alias("t"), F.slice("raw", i + 1, F.lit(longest_phrase)).alias("raw")))
-    places = texts.select("doc_id", F.explode(ahead).alias("p")).select("doc_id", "p.*").join(bounded(lists, 1 << 10), "head")
+    places = texts.select("doc_id", F.explode(ahead).alias("p")).select("doc_id", "p.*").join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "head")
     fits = F.filter("known", lambda k: F.slice("t", F.lit(1), k["n"]) == k["tokens"])
     longest = places.withColumn("k", F.array_max(F.transform(fits, lambda k: F.struct(k["n"].alias("n"), k["tokens"].alias("tokens"), k["meta"].alias("meta"))))).filter(F.col("k").isNotNull())
     hit = longest.select("doc_id", "start", F.col("k.n").alias("n"), F.array_join(F.slice("raw", F.lit(1), F.col("k.n")), " ").alias("result"), F.col("k.meta").alias("meta"))

@@ -35,7 +35,7 @@ def check_duplicates(vectors: DataFrame, settings: DataFrame, threshold: float =
         lists = settings.groupBy("level").agg(F.sort_array(F.collect_list(one)).alias("settings"))
         scored = vectors.join(F.broadcast(lists), "level", "left").select("vec_id", "level", F.array_max(F.transform("settings", score)).alias("best"))
     else:
-        blocks = 64
+        blocks = min(64, -(-size // max(most_bytes, 1)))  # each vector goes to all of them
         spread = settings.select("level", F.pmod(F.hash("setting_id"), F.lit(blocks)).alias("__block"), one.alias("s"))
         asked = vectors.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         met = asked.join(spread, ["level", "__block"]).select("vec_id", "level", score(F.col("s")).alias("x"))

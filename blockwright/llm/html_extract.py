@@ -31,7 +31,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners cookie cookies consent gdpr notice notices alert sidebar sidebars comment comments commentlist disqus reply replies respond menu menus nav navbar"
-    " navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended promo promotion sponsor sponsored newsletter subscribe subscription signup popup modal overlay widget widgets toolbar pagination pager copyright login".split()
+    " navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended promo promotion sponsor sponsored newsletter subscribe subscription signup popup modal overlay widget widgets toolbar pagination pager copyright login"
+    " adsense adslot adbox adunit adcontainer adwrapper disclaimer".split()
 )
 NEVER_OUT = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 #: An open p ends where one of these begins.

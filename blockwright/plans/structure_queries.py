@@ -398,7 +398,7 @@ _UP, _LOW = line_sql.UPPER, line_sql.quoted(r"^[^\p{Lu}\p{Lt}]*\p{Ll}[^\p{Lu}\p{
 
 
 @query(
-    f"SELECT word, CASE WHEN regexp_matches(word, {_UP}) OR regexp_matches(word, {_LOW}) THEN word WHEN regexp_matches(word, '^\\p{{Lu}}\\p{{Ll}}') THEN upper(word[1]) || lower(word[2:]) WHEN regexp_matches(word, '^\\p{{Lu}}') THEN upper(word) ELSE lower(word) END AS fixed"
+    f"SELECT word, CASE WHEN regexp_matches(word, {_UP}) OR regexp_matches(word, {_LOW}) THEN word WHEN regexp_matches(word, '^\\p{{Lu}}\\p{{Ll}}') THEN upper(word[1]) || lower(word[2:]) WHEN regexp_matches(word, '^\\p{{Lu}}') THEN upper(replace(word, 'ß', 'SS')) ELSE lower(word) END AS fixed"
     " FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents) WHERE length(word) > 1"
 )
 def mixed_case_fix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Main text of HTML pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one for each block of the page; elements that are never an article's text (menus, forms,
-adverts, ...) leave blank lines. The text lengths of a sliding window of lines rise at a surge point and fall to
-nothing at a dive point; the lines between them are kept. Where a page declares its article, that element's lines count
-and all others are blank, so any length is a surge; elsewhere a surge needs SURGE characters and lines of links are blank.
+adverts, ...) leave blank lines, as do lines of links. The text lengths of a sliding window of lines rise above SURGE at
+a surge point and fall to nothing at a dive point; the lines between them are kept. A declared article is checked
+against them: all its lines are the main text if at least half of what was found stands in it, else it is ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, whole_text
 
-#: Lines in a window, and the characters in it from which text begins where no article is declared.
+#: Lines in a window, and the characters in it beyond which text begins.
 WINDOW = 3
 SURGE = 86
 
@@ -135,31 +135,39 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return lines
 
 
-def kept(lines: list[tuple[str, bool, bool]]) -> list[str]:
-    """The texts between surge and dive points."""
-    declared = any(inside for text, inside, _ in lines if text)
-    lengths = [len(text) if (inside if declared else not links) else 0 for text, inside, links in lines]
-    need = 0 if declared else SURGE
+def between(lengths: list[int]) -> list[int]:
+    """The places of text between surge and dive points."""
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    spans, begin = [], None
+    found, within = [], False
     for i, total in enumerate(sums):
-        if begin is None and lengths[i] and total > need:
+        within = (within or total > SURGE) if lengths[i] else within and total > 0
+        if within and lengths[i]:
+            found.append(i)
+    return found
+
+
+def longest_run(lengths: list[int]) -> list[int]:
+    runs, begin = [], None
+    for i, n in enumerate([*lengths, 0]):
+        if n and begin is None:
             begin = i
-        if begin is not None and not lengths[i] and (not total or not declared):
-            spans.append((begin, i))
+        elif not n and begin is not None:
+            runs.append((begin, i))
             begin = None
-    if begin is not None:
-        spans.append((begin, len(sums)))
-    if not spans and any(lengths):  # no surge: the longest run of lines
-        runs, begin = [], None
-        for i, n in enumerate([*lengths, 0]):
-            if n and begin is None:
-                begin = i
-            elif not n and begin is not None:
-                runs.append((begin, i))
-                begin = None
-        spans = [max(runs, key=lambda r: (sum(lengths[r[0] : r[1]]), -r[0]))]
-    return [lines[i][0] for a, b in spans for i in range(a, b) if lengths[i]]
+    return list(range(*max(runs, key=lambda r: (sum(lengths[r[0] : r[1]]), -r[0])))) if runs else []
+
+
+def kept(lines: list[tuple[str, bool, bool]]) -> list[str]:
+    """The texts between surge and dive points, or all of the declared element if it holds at least half of them."""
+    lengths = [0 if links else len(text) for text, _, links in lines]
+    declared = [i for i, (text, inside, _) in enumerate(lines) if text and inside]
+    found = between(lengths)
+    if found:
+        agrees = 2 * sum(lengths[i] for i in found if lines[i][1]) >= sum(lengths[i] for i in found)
+    else:  # no surge: the longest run of lines
+        found = longest_run(lengths)
+        agrees = sum(len(lines[i][0]) for i in declared) >= sum(lengths[i] for i in found if not lines[i][1])
+    return [lines[i][0] for i in (declared if declared and agrees else found)]
 
 
 def main_text(page: str) -> str:

@@ -70,6 +70,17 @@ def test_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+LONG = " ".join(["A sentence of the main text, which stands for many more."] * 4)
+
+
+def test_declared_articles_are_checked_against_the_distribution():
+    teasers = "<article class='teaser'><p>First teaser</p></article><article class='teaser'><p>Second teaser</p></article>"
+    menu = "<ul>" + "<li><a href='/'>A link</a></li>" * 4 + "</ul>"
+    assert html_extract.main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div>{menu}{teasers}") == f"{LONG} {LONG}"
+    assert html_extract.main_text(f"<div>A line outside</div><article><h1>Title</h1><p>{LONG}</p></article>") == f"Title {LONG}"
+    assert html_extract.main_text("<p>Outside</p><article><p>Short</p><p><a>and a link</a></p></article>") == "Short and a link"
+
+
 def test_prefix_hashes_answer_spans_and_extensions():
     a, b = fingerprints.PrefixHash("the same é😀 text, the same"), fingerprints.PrefixHash("xx the same é😀 texts")
     assert fingerprints.equal_spans(a, 0, b, 3, 16) and not fingerprints.equal_spans(a, 0, b, 2, 3)

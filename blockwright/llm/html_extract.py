@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +35,14 @@ WORDS = frozenset(
     " navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended promo promotion sponsor sponsored newsletter subscribe subscription signup popup modal overlay widget widgets toolbar pagination pager copyright login"
     " adsense adslot adbox adunit adcontainer adwrapper disclaimer".split()
 )
+#: Words that stand beside those in a class or id that names one thing, as in site-footer or comment-list.
+BESIDE = frozenset(
+    "site page main top bottom left right upper lower primary secondary global mobile desktop sticky fixed inner outer area box bar block section list link links item items post posts article articles"
+    " story stories button buttons icon icons title form body text slot unit space zone wrap wrapper container count mini first last js".split()
+)
+#: An element with one of these is no article's wrapper, however much of the page it holds.
+NEVER_TEXT = frozenset("ad ads advert adverts advertisement advertising adsense adslot adbox adunit cookie cookies consent gdpr comment comments commentlist disqus reply replies respond copyright disclaimer".split())
+OF_ARTICLES = frozenset("comment comments reply replies ad advert advertisement sponsored promo".split())
 NEVER_OUT = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 #: An open p ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -48,35 +57,65 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def is_out(name: str, attributes: str) -> bool:
+class Line(NamedTuple):
+    """A line, or (text None) the end of an element that may be left out."""
+
+    text: str | None
+    declared: int  # how many elements of within are open around the outermost article or main, -1 outside of any
+    links: bool  # mostly links
+    within: tuple[int, ...]  # the elements that may be left out around it
+
+
+BLANK = Line("", -1, False, ())
+
+
+def names(found: dict[str, str], words: frozenset[str]) -> set[str]:
+    """Those of the words that a class or id consists of, as a whole."""
+    out: set[str] = set()
+    for token in (found.get("class", "") + " " + found.get("id", "")).split():
+        pieces = {p.lower() for p in PIECES.findall(token)}
+        if pieces <= words | BESIDE:
+            out |= pieces & words
+    return out
+
+
+#: What is_out() says: no, unless it is around the text, unless it is around a declared article, yes.
+IN, WRAPPER, HOLDER, OUTSIDE = range(4)
+
+
+def is_out(name: str, attributes: str) -> int:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form, reader comment or hidden."""
     if name in OUT:
-        return True
+        return WRAPPER if name in ("form", "fieldset") else OUTSIDE
     if not attributes or name in NEVER_OUT:
-        return False
+        return IN
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    pieces = {p.lower() for p in PIECES.findall(found.get("class", "") + " " + found.get("id", ""))}
+        return OUTSIDE
     if name == "article":
-        return bool(pieces & {"comment", "comments", "reply", "replies", "ad", "advert", "advertisement", "sponsored", "promo"})
-    return bool(pieces & WORDS) or found.get("role", "").lower() in ROLES
+        return OUTSIDE if names(found, OF_ARTICLES) else IN
+    words = names(found, WORDS)
+    return HOLDER if words & NEVER_TEXT else WRAPPER if words or found.get("role", "").lower() in ROLES else IN
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """Lines (text, whether it stands in a declared article or main element, whether it is mostly links), blank ones where an element was left out."""
-    lines: list[tuple[str, bool, bool]] = []
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page, blank ones where an element was left out."""
+    lines: list[Line] = []
     parts: list[str] = []
     links = 0  # characters of parts in links
     open_: list[str] = []
     out_at = -1  # how many elements are open around the outermost one that is left out
     inside: list[int] = []  # the same of the articles that are open
+    declared = -1
+    within: tuple[int, ...] = ()
+    maybe: list[int] = []  # the same of the elements of within
+    grades: list[int] = []  # of all elements that may be left out
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, bool(inside), 2 * links > len(text)))
+            lines.append(Line(text, declared, 2 * links > len(text), within))
         parts.clear()
         links = 0
 
@@ -87,13 +126,20 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             links += len(parts[-1].strip())
 
     def close(to: int) -> None:
-        nonlocal out_at
+        nonlocal out_at, declared, within
+        if maybe and maybe[-1] >= to:
+            flush()
         del open_[to:]
         if 0 <= to <= out_at:
             out_at = -1
-            lines.extend([("", False, False)] * WINDOW)
+            lines.extend([BLANK] * WINDOW)
+        while maybe and maybe[-1] >= to:
+            maybe.pop()
+            lines.extend([Line(None, -1, False, within)] * WINDOW)
+            within = within[:-1]
         while inside and inside[-1] >= to:
             inside.pop()
+        declared = declared if inside else -1
 
     last = 0
     for m in TOKEN.finditer(page):
@@ -120,11 +166,18 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                 close(len(open_) - 1 - open_[::-1].index("p"))
             elif name == "li" and "li" in open_ and not {"ul", "ol"} & set(open_[len(open_) - open_[::-1].index("li") :]):
                 close(len(open_) - 1 - open_[::-1].index("li"))
-            if out_at < 0 and is_out(name, m["attributes"]):
+            grade = is_out(name, m["attributes"]) if out_at < 0 else IN
+            if grade:
                 flush()
+            if grade == OUTSIDE:
                 out_at = len(open_)
+            elif grade:
+                maybe.append(len(open_))
+                within += (len(grades),)
+                grades.append(grade)
             elif out_at < 0 and name in ("article", "main"):
                 inside.append(len(open_))
+                declared = len(within) if declared < 0 else declared
             if not m["attributes"].endswith("/"):
                 open_.append(name)
             else:
@@ -132,7 +185,43 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     if out_at < 0:
         add(page[last:])
         flush()
-    return lines
+    return left(lines, grades) if grades else lines
+
+
+def left(lines: list[Line], grades: list[int]) -> list[Line]:
+    """The lines without the elements that may be left out.
+
+    One stays if it is around at least half of the text of declared articles, or (a WRAPPER) has most of the page's text
+    that isn't links while nothing is declared outside of it.
+    """
+    text, around, inner = ([0] * len(grades) for _ in range(3))
+    all_text = all_declared = own = 0
+    for line in lines:
+        if line.text:
+            n = 0 if line.links else len(line.text)
+            all_text += n
+            for k, e in enumerate(line.within):
+                text[e] += n
+                if line.declared >= 0:
+                    inner[e] += len(line.text)
+                    around[e] += len(line.text) if k < line.declared else 0
+            if line.declared >= 0:
+                all_declared += len(line.text)
+                own += len(line.text) if len(line.within) == line.declared else 0  # not in an element within the article
+    dropped = set()
+    for e, grade in enumerate(grades):
+        most_declared = around[e] and 2 * around[e] >= own
+        most_text = grade == WRAPPER and 2 * text[e] > all_text and inner[e] == all_declared
+        if not most_declared and not most_text:
+            dropped.add(e)
+    out = []
+    for line in lines:
+        gone = not dropped.isdisjoint(line.within)
+        if line.text is None:
+            out.extend([BLANK] * gone)
+        elif not gone:
+            out.append(line)
+    return out
 
 
 def between(lengths: list[int]) -> list[int]:
@@ -157,17 +246,17 @@ def longest_run(lengths: list[int]) -> list[int]:
     return list(range(*max(runs, key=lambda r: (sum(lengths[r[0] : r[1]]), -r[0])))) if runs else []
 
 
-def kept(lines: list[tuple[str, bool, bool]]) -> list[str]:
+def kept(lines: list[Line]) -> list[str]:
     """The texts between surge and dive points, or all of the declared element if it holds at least half of them."""
-    lengths = [0 if links else len(text) for text, _, links in lines]
-    declared = [i for i, (text, inside, _) in enumerate(lines) if text and inside]
+    lengths = [0 if line.links else len(line.text) for line in lines]
+    inside = [i for i, line in enumerate(lines) if line.text and line.declared >= 0]
     found = between(lengths)
     if found:
-        agrees = 2 * sum(lengths[i] for i in found if lines[i][1]) >= sum(lengths[i] for i in found)
+        agrees = 2 * sum(lengths[i] for i in found if lines[i].declared >= 0) >= sum(lengths[i] for i in found)
     else:  # no surge: the longest run of lines
         found = longest_run(lengths)
-        agrees = sum(len(lines[i][0]) for i in declared) >= sum(lengths[i] for i in found if not lines[i][1])
-    return [lines[i][0] for i in (declared if declared and agrees else found)]
+        agrees = sum(len(lines[i].text) for i in inside) >= sum(lengths[i] for i in found if lines[i].declared < 0)
+    return [lines[i].text for i in (inside if inside and agrees else found)]
 
 
 def main_text(page: str) -> str:

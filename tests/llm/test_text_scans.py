@@ -81,6 +81,18 @@ def test_declared_articles_are_checked_against_the_distribution():
     assert html_extract.main_text("<p>Outside</p><article><p>Short</p><p><a>and a link</a></p></article>") == "Short and a link"
 
 
+def test_wrappers_named_after_what_they_hold_stay():
+    for attributes in ("class='has-sidebar'", "id='content-with-sidebar'", "class='elementor-widget-container'", "class='widget'", "id=sidebar"):
+        for name in ("article", "div"):
+            page = f"<body><div {attributes}><{name}><h1>Title</h1><p>{LONG}</p></{name}></div><div>Short</div></body>"
+            assert html_extract.main_text(page) == f"Title {LONG}" + " Short" * (name == "div"), page
+    assert html_extract.main_text(f"<form id='aspnetForm'><p>{LONG}</p></form>") == LONG
+    assert html_extract.main_text(f"<article><p>Short</p><div class='ad-box'>{LONG}</div><section class='widget'>{LONG}</section></article>") == "Short"
+    for name in ("related-posts", "site-footer", "cookieNotice", "comment-list", "social"):
+        assert html_extract.main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='{name}'>{LONG}</div>") == f"{LONG} {LONG}", name
+    assert html_extract.main_text(f"<div><p>{LONG}</p></div><div id='comments'><p>{LONG}</p><p>{LONG}</p></div>") == LONG
+
+
 def test_prefix_hashes_answer_spans_and_extensions():
     a, b = fingerprints.PrefixHash("the same é😀 text, the same"), fingerprints.PrefixHash("xx the same é😀 texts")
     assert fingerprints.equal_spans(a, 0, b, 3, 16) and not fingerprints.equal_spans(a, 0, b, 2, 3)

@@ -3,7 +3,8 @@
 Markup is stripped to lines, one for each block of the page; elements that are never an article's text (menus, forms,
 adverts, ...) leave blank lines, as do lines of links. The text lengths of a sliding window of lines rise above SURGE at
 a surge point and fall to nothing at a dive point; the lines between them are kept. A declared article is checked
-against them: all its lines are the main text if at least half of what was found stands in it, else it is ignored.
+against them: all its lines are the main text if at least half of what was found stands in it, else it is ignored and
+the other text in the containers of the lines that were found is kept, too.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ BESIDE = frozenset(
 NEVER_TEXT = frozenset("ad ads advert adverts advertisement advertising adsense adslot adbox adunit cookie cookies consent gdpr comment comments commentlist disqus reply replies respond copyright disclaimer".split())
 OF_ARTICLES = frozenset("comment comments reply replies ad advert advertisement sponsored promo".split())
 NEVER_OUT = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+#: Containers of paragraphs and other blocks.
+HOLDERS = frozenset("article body div main section td".split())
 #: An open p ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
@@ -64,6 +67,9 @@ class Line(NamedTuple):
     declared: int  # how many elements of within are open around the outermost article or main, -1 outside of any
     links: bool  # mostly links
     within: tuple[int, ...]  # the elements that may be left out around it
+    block: int = 0  # the element that holds the line, and the container around that, by the order in which they begin
+    around: int = 0
+    kind: str = "p"  # of the block
 
 
 BLANK = Line("", -1, False, ())
@@ -104,6 +110,8 @@ def lines_of(page: str) -> list[Line]:
     parts: list[str] = []
     links = 0  # characters of parts in links
     open_: list[str] = []
+    begun: list[int] = []  # the numbers of the open elements
+    count = 0
     out_at = -1  # how many elements are open around the outermost one that is left out
     inside: list[int] = []  # the same of the articles that are open
     declared = -1
@@ -115,7 +123,14 @@ def lines_of(page: str) -> list[Line]:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            lines.append(Line(text, declared, 2 * links > len(text), within))
+            at = len(open_) - 1
+            while at >= 0 and open_[at] in INLINE:
+                at -= 1
+            up = at - 1
+            while up >= 0 and open_[up] not in HOLDERS:
+                up -= 1
+            around = 0 if up < 0 or open_[up] == "body" else begun[up]
+            lines.append(Line(text, declared, 2 * links > len(text), within, begun[at] if at >= 0 else 0, around, open_[at] if at >= 0 else "body"))
         parts.clear()
         links = 0
 
@@ -129,7 +144,7 @@ def lines_of(page: str) -> list[Line]:
         nonlocal out_at, declared, within
         if maybe and maybe[-1] >= to:
             flush()
-        del open_[to:]
+        del open_[to:], begun[to:]
         if 0 <= to <= out_at:
             out_at = -1
             lines.extend([BLANK] * WINDOW)
@@ -179,7 +194,9 @@ def lines_of(page: str) -> list[Line]:
                 inside.append(len(open_))
                 declared = len(within) if declared < 0 else declared
             if not m["attributes"].endswith("/"):
+                count += 1
                 open_.append(name)
+                begun.append(0 if name == "body" else count)
             else:
                 close(len(open_))
     if out_at < 0:
@@ -235,6 +252,26 @@ def between(lengths: list[int]) -> list[int]:
     return found
 
 
+def containers(lines: list[Line], found: list[int]) -> list[int]:
+    """The places found and those of other text that stands in the same containers.
+
+    A line that a div, section or the like holds itself is in that one, and in the next one around where more lines
+    found are set in the same way; other blocks are in the next one around them.
+    """
+    alike: dict[int, set[int]] = {}
+    for i in found:
+        if lines[i].kind in HOLDERS:
+            alike.setdefault(lines[i].around, set()).add(lines[i].block)
+
+    def of(line: Line) -> set[int]:
+        if line.kind not in HOLDERS:
+            return {line.around}
+        return {line.block, line.around} if line.around and (line.kind == "td" or len(alike.get(line.around, ())) > 1) else {line.block}
+
+    own = set().union(*(of(lines[i]) for i in found))
+    return [i for i, line in enumerate(lines) if line.text and not line.links and not own.isdisjoint(of(line))]
+
+
 def longest_run(lengths: list[int]) -> list[int]:
     runs, begin = [], None
     for i, n in enumerate([*lengths, 0]):
@@ -247,12 +284,13 @@ def longest_run(lengths: list[int]) -> list[int]:
 
 
 def kept(lines: list[Line]) -> list[str]:
-    """The texts between surge and dive points, or all of the declared element if it holds at least half of them."""
+    """The texts between surge and dive points and in their containers, or all of the declared element if it holds at least half of those between."""
     lengths = [0 if line.links else len(line.text) for line in lines]
     inside = [i for i, line in enumerate(lines) if line.text and line.declared >= 0]
     found = between(lengths)
     if found:
         agrees = 2 * sum(lengths[i] for i in found if lines[i].declared >= 0) >= sum(lengths[i] for i in found)
+        found = found if inside and agrees else sorted({*found, *containers(lines, found)})
     else:  # no surge: the longest run of lines
         found = longest_run(lengths)
         agrees = sum(len(lines[i].text) for i in inside) >= sum(lengths[i] for i in found if lines[i].declared < 0)

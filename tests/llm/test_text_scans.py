@@ -93,6 +93,17 @@ def test_wrappers_named_after_what_they_hold_stay():
     assert html_extract.main_text(f"<div><p>{LONG}</p></div><div id='comments'><p>{LONG}</p><p>{LONG}</p></div>") == LONG
 
 
+def test_short_lines_behind_an_inline_element_stay():
+    for between in ("<div class='ad'>Buy</div>", "<form>f</form>", "<p>See <a href='/'>a line that is mostly a link</a></p>", "<aside>a</aside><p><a>b</a></p>"):
+        for begin, end in (("<div>", "</div>"), ("<section><div>", "</div></section>"), ("", "")):
+            page = f"<body>{begin}<h1>Title</h1>{between}<p>{LONG}</p>{between}<p>Short closing paragraph.</p><ul><li>Last</ul>{end}<div>Copyright</div></body>"
+            got = html_extract.main_text(page)
+            assert got.replace(" Copyright", "") == f"Title {LONG} Short closing paragraph. Last", page
+    ad = "<div class='ad'>Buy</div>"
+    assert html_extract.main_text(f"<div><div>{LONG}</div><div>{LONG}</div>{ad}<div>Short.</div></div>{ad}<div>Outside</div>") == f"{LONG} {LONG} Short."
+    assert html_extract.main_text(f"<div>{LONG}<br>{ad}Short.</div>{ad}<div>Outside</div>") == f"{LONG} Short."
+
+
 def test_prefix_hashes_answer_spans_and_extensions():
     a, b = fingerprints.PrefixHash("the same é😀 text, the same"), fingerprints.PrefixHash("xx the same é😀 texts")
     assert fingerprints.equal_spans(a, 0, b, 3, 16) and not fingerprints.equal_spans(a, 0, b, 2, 3)

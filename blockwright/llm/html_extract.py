@@ -25,10 +25,12 @@ WINDOW = 3
 SURGE = 86
 
 # Element names and words of HTML.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "video", "audio", "canvas")
+RAW = ("script", "style", "textarea")
+#: Left out if they have an end tag of their own; what follows an unclosed one is text of the page.
+MEDIA = frozenset("noscript template iframe svg math object video audio canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT = frozenset("head title nav header footer aside form menu dialog button select fieldset".split())
-IN_HEAD = frozenset("base link meta title".split())
+IN_HEAD = frozenset("base link meta title noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WORDS = frozenset(
@@ -52,6 +54,7 @@ ENDS_P = frozenset("address article aside blockquote center details div dl field
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?:" + "|".join(RAW) + r")(?:\s[^>]*)?/>(?=(?:[^<]|<(?!/?(?:" + "|".join(RAW) + r")\b))*(?:<(?:" + "|".join(RAW) + r")\b|\Z))"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
@@ -116,6 +119,7 @@ def lines_of(page: str) -> list[Line]:
     inside: list[int] = []  # the same of the articles that are open
     declared = -1
     within: tuple[int, ...] = ()
+    media: list[tuple[int, int, list[str], int]] = []  # the same of open MEDIA, and lines, parts and links before
     maybe: list[int] = []  # the same of the elements of within
     grades: list[int] = []  # of all elements that may be left out
 
@@ -140,8 +144,8 @@ def lines_of(page: str) -> list[Line]:
         if "a" in open_:
             links += len(parts[-1].strip())
 
-    def close(to: int) -> None:
-        nonlocal out_at, declared, within
+    def close(to: int, ended: bool = False) -> None:
+        nonlocal out_at, declared, within, links
         if maybe and maybe[-1] >= to:
             flush()
         del open_[to:], begun[to:]
@@ -155,6 +159,12 @@ def lines_of(page: str) -> list[Line]:
         while inside and inside[-1] >= to:
             inside.pop()
         declared = declared if inside else -1
+        while media and media[-1][0] >= to:
+            at, n, before, linked = media.pop()
+            if ended and at == to:
+                del lines[n:]
+                parts[:] = [*before, " "]
+                links = linked
 
     last = 0
     for m in TOKEN.finditer(page):
@@ -167,12 +177,14 @@ def lines_of(page: str) -> list[Line]:
                 parts.append(" ")
             continue
         name = name.lower()
-        if out_at < 0 and name not in INLINE:
+        if out_at < 0 and name in MEDIA:
+            parts.append(" ")
+        elif out_at < 0 and name not in INLINE:
             flush()
         if m["end"]:
             for at in range(len(open_) - 1, -1, -1):
                 if open_[at] == name:
-                    close(at)
+                    close(at, True)
                     break
         elif name not in VOID:
             if open_ and open_[-1] == "head" and name not in IN_HEAD:
@@ -181,7 +193,7 @@ def lines_of(page: str) -> list[Line]:
                 close(len(open_) - 1 - open_[::-1].index("p"))
             elif name == "li" and "li" in open_ and not {"ul", "ol"} & set(open_[len(open_) - open_[::-1].index("li") :]):
                 close(len(open_) - 1 - open_[::-1].index("li"))
-            grade = is_out(name, m["attributes"]) if out_at < 0 else IN
+            grade = is_out(name, m["attributes"]) if out_at < 0 and name not in MEDIA else IN
             if grade:
                 flush()
             if grade == OUTSIDE:
@@ -193,6 +205,8 @@ def lines_of(page: str) -> list[Line]:
             elif out_at < 0 and name in ("article", "main"):
                 inside.append(len(open_))
                 declared = len(within) if declared < 0 else declared
+            if out_at < 0 and name in MEDIA:
+                media.append((len(open_), len(lines), parts.copy(), links))
             if not m["attributes"].endswith("/"):
                 count += 1
                 open_.append(name)

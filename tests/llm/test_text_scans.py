@@ -104,6 +104,17 @@ def test_short_lines_behind_an_inline_element_stay():
     assert html_extract.main_text(f"<div>{LONG}<br>{ad}Short.</div>{ad}<div>Outside</div>") == f"{LONG} Short."
 
 
+def test_media_without_an_end_tag_cut_nothing():
+    for name in ("svg class='icon'/", "svg/", "math/", "iframe src='x'/", "object data='x'", "video src='x'", "audio", "canvas id=c", "iframe", "noscript", "script src='x'/", "svg aria-hidden='true'"):
+        page = f"<article><p>One <{name}> two</p><p>Three</p></article><footer>f</footer>"
+        assert html_extract.main_text(page) == "One two Three", page
+        assert html_extract.main_text(page + "<p><svg><text>x</text></svg><video>x</video><canvas></canvas><script>x</script></p>") == "One two Three", page
+    for inner in ("x", "<p>x</p>", "<title>x</title><g id='menu'/>", "<form>x</form><div class='ad'>x</div>", "<object>x<embed></object>"):
+        for name in ("svg", "object", "video", "noscript", "iframe"):
+            assert html_extract.main_text(f"<article><p>One <{name} aria-hidden='true'>{inner}</{name}> two<p>Three</article>") == "One two Three", (name, inner)
+    assert html_extract.main_text("<head><noscript><style>s</style></noscript><title>T</title></head><p>One<script type='a'/> var x; </script></p>") == "One"
+
+
 def test_prefix_hashes_answer_spans_and_extensions():
     a, b = fingerprints.PrefixHash("the same é😀 text, the same"), fingerprints.PrefixHash("xx the same é😀 texts")
     assert fingerprints.equal_spans(a, 0, b, 3, 16) and not fingerprints.equal_spans(a, 0, b, 2, 3)

@@ -2,9 +2,11 @@
 
 One regular expression finds all entities; each has a type and a normal form (what stays when it is written another
 way). A surrogate is a keyed function of type, normal form and attempt: the same entity gets the same surrogate in every
-document, and a surname on its own the same as after a first name. Two checks over all documents keep entities apart:
-no two have one surrogate, and no surrogate is an entity that occurs. Those that fail try again with the next attempt.
-Few ever do, so texts are never shuffled for the lookup unless those few outgrow a broadcast. DataFrame functions only.
+document, and a surname on its own the same as after a first name. A full name (gender, script, first name, surname) is
+an entity of its own, which gives the first name. Two checks over all documents keep entities apart: no two have one
+surrogate, and no surrogate is an entity that occurs (of a full name: its surname isn't one; its first name changes).
+Those that fail try again with the next attempt, first names beyond the listed ones if need be. Texts are not shuffled
+for the lookup unless those that failed outgrow a broadcast. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ SYLLABLES = {
     "greek": "βα γα δα θα κα λα μα να πα ρα σα τα φα χα βο γο δο θο κο λο μο νο πο ρο",
 }
 ENDINGS = {"latin": "son ley ton man ner ard", "cyrillic": "ов ев ин ский", "greek": "ος ης ας"}
+FIRST_ENDINGS = {"latin_m": "n s rd l", "latin_f": "a na lia ssa", "cyrillic_m": "н р й", "cyrillic_f": "на ра я", "greek_m": "ος ης", "greek_f": "α η"}
+#: Attempts that take a first name from the lists; later ones make one of syllables.
+LISTED = 2
 
 def _any_of(words: str) -> str:
     """A pattern for any of the words, the shared first letter in front: most places fail on one character."""
@@ -64,6 +69,9 @@ SIGNS = "[0-9@]"
 TYPES = list(PATTERNS)
 #: A phone number has that many digits; shorter matches are left alone.
 PHONE_DIGITS = 9
+#: The kind of entity that a full name is, beside the types, and what its parts are joined by.
+FULL = "full"
+PART = "\x1f"
 
 
 def keyed(key: str, n: int | Column, *parts: Column | str) -> Column:
@@ -163,7 +171,29 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", surname).when(kind == "ipv6", _characters(norm, key, salt, letters=6)).otherwise(_characters(norm, key, salt))
 
 
-def rendered(kind: Column, mention: Column, by: Column, key: str) -> Column:
+def full_name(kind: Column, mention: Column) -> Column:
+    """Gender, script, first name and surname of a name that has a first name; else null."""
+    words = F.split(mention, " ")
+    first = F.get(words, F.size(words) - 2)
+    titled = (F.size(words) == 2) & F.regexp_replace(first, r"\.$", "").isin(_TITLE.split("|"))
+    return F.when((kind == "name") & ~titled, F.concat_ws(PART, _gender(words), script_of(first), F.lower(first), F.lower(F.element_at(words, -1))))
+
+
+def first_surrogate(full: Column, attempt: Column, key: str) -> Column:
+    """Another first name of the gender and script, beside the surname that is to be replaced."""
+    parts = F.split(full, PART)
+    out = F.lit(None).cast("string")
+    for name, listed in FIRST.items():
+        script, gender = name.split("_")
+        others = F.filter(F.array(*(F.lit(x.lower()) for x in listed.split())), lambda x: x != parts[2])
+        chosen = F.element_at(others, (keyed(key, F.size(others), "first", full, attempt) + 1).cast("int"))
+        syllables = [pick(SYLLABLES[script], lambda n, i=i: keyed(key, n, "first", full, attempt, str(i))) for i in range(3)]
+        made = F.concat(*syllables, F.when(attempt > 20, syllables[0]).otherwise(""), pick(FIRST_ENDINGS[name], lambda n: keyed(key, n, "first", full, attempt, "ending")))
+        out = F.when((parts[0] == gender) & (parts[1] == script), F.when(attempt < LISTED, chosen).otherwise(made)).otherwise(out)
+    return F.concat_ws(PART, out, parts[3])
+
+
+def rendered(kind: Column, mention: Column, by: Column, first: Column, key: str) -> Column:
     """A surrogate written as the mention is: its case, signs and spaces; a name's title stays, its first name changes within gender and script."""
     plain = F.when(kind == "email", mention).otherwise(F.regexp_replace(mention, r"[^A-Za-z0-9+]", ""))
 
@@ -177,16 +207,10 @@ def rendered(kind: Column, mention: Column, by: Column, key: str) -> Column:
 
     signs = F.array_join(F.transform(F.sequence(F.lit(1), F.length(plain) + (F.length(mention) - F.length(plain))), step), "")
     words = F.split(mention, " ")
-    gender = _gender(words)
 
     def word(w: Column, i: Column) -> Column:
-        script = script_of(w)
-        first = F.lit(None).cast("string")
-        for name, listed in FIRST.items():
-            s, g = name.split("_")
-            first = F.when((script == s) & (gender == g), pick(listed, lambda n, w=w: keyed(key, n, "first", F.lower(w)))).otherwise(first)
         last = F.when(w == F.upper(w), F.upper(by)).otherwise(F.initcap(by))
-        return F.when(i == F.size(words) - 1, last).when((i == 0) & F.regexp_replace(w, r"\.$", "").isin(_TITLE.split("|")), w).otherwise(F.coalesce(first, w))
+        return F.when(i == F.size(words) - 1, last).when((i == 0) & F.regexp_replace(w, r"\.$", "").isin(_TITLE.split("|")), w).otherwise(F.initcap(F.substring_index(first, PART, 1)))
 
     return F.when(kind == "name", F.array_join(F.transform(words, word), " ")).otherwise(signs)
 
@@ -201,22 +225,30 @@ def _gender(words: Column) -> Column:
 
 
 def _checked(entities: DataFrame, key: str) -> DataFrame:
-    """kind, norm and attempt of the entities (one row each) whose first surrogate would not do."""
+    """kind, norm and attempt of the entities (one row each) whose first surrogate would not do.
+
+    Full names' surrogates are compared beside the surname that is to be replaced, since no two surnames have one surrogate.
+    """
+
+    def surrogates(rows: DataFrame, attempt: int) -> DataFrame:
+        kind, norm, n = F.col("kind"), F.col("norm"), F.lit(attempt)
+        by = F.when(kind == FULL, first_surrogate(norm, n, key)).otherwise(surrogate(kind, norm, n, key))
+        return rows.select("kind", "norm", n.alias("attempt"), by.alias("by"))
+
     entities = stored(entities, "entities")
     parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = entities.repartition(parts, "norm")  # few bytes but many hashes: left to itself Spark would put them in one task
-    first = dealt.select("kind", "norm", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("norm"), F.lit(0), key).alias("by"))
-    tried = stored(first, "tried")
+    tried = stored(surrogates(dealt, 0), "tried")
     for attempt in range(1, ATTEMPTS + 1):
         taken = entities.select("kind", F.col("norm").alias("by"))
         owner = tried.groupBy("kind", "by").agg(F.min(F.struct(-F.col("attempt"), F.col("norm"))).alias("owner"), F.count("*").alias("n"))
         many = tried.join(owner.filter("n > 1"), ["kind", "by"]).filter(F.struct(-F.col("attempt"), F.col("norm")) != F.col("owner")).select("kind", "norm")
         real = tried.join(taken, ["kind", "by"], "left_semi").select("kind", "norm")
-        again = stored(many.unionByName(real).distinct(), "again")
+        same = tried.filter((F.col("kind") == FULL) & F.col("norm").endswith(F.concat(F.lit(PART), "by"))).select("kind", "norm")
+        again = stored(many.unionByName(real).unionByName(same).distinct(), "again")
         if again.isEmpty():
             return tried.filter("attempt > 0").select("kind", "norm", "attempt")
-        next_ = again.select("kind", "norm", F.lit(attempt).alias("attempt"), surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key).alias("by"))
-        tried = stored(tried.join(again, ["kind", "norm"], "left_anti").unionByName(next_), "tried")
+        tried = stored(tried.join(again, ["kind", "norm"], "left_anti").unionByName(surrogates(again, attempt)), "tried")
     raise ValueError(f"surrogates still collide after {ATTEMPTS} attempts: too many entities for their format")
 
 
@@ -231,10 +263,11 @@ def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     none = F.array().cast("array<string>")
     rows = rows.select("doc_id", "text", F.when(worth, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).otherwise(none).alias("mentions"))
     typed = F.transform("mentions", lambda m: F.struct(m.alias("mention"), type_of(m).alias("kind")))
-    normed = F.transform("typed", lambda m: F.struct(m["mention"].alias("mention"), m["kind"].alias("kind"), normal(m["kind"], m["mention"]).alias("norm")))
+    normed = F.transform("typed", lambda m: F.struct(m["mention"].alias("mention"), m["kind"].alias("kind"), normal(m["kind"], m["mention"]).alias("norm"), full_name(m["kind"], m["mention"]).alias("full")))
     kinds = rows.select("doc_id", "text", typed.alias("typed")).select("doc_id", "text", normed.alias("ms"))
 
-    mentions = kinds.select("doc_id", F.explode_outer("ms").alias("m")).select("doc_id", "m.kind", "m.norm").filter("kind is not null")
+    each = F.transform("ms", lambda m: F.array(F.struct(m["kind"].alias("kind"), m["norm"].alias("norm")), F.struct(F.lit(FULL).alias("kind"), m["full"].alias("norm"))))
+    mentions = kinds.select("doc_id", F.explode(F.flatten(each)).alias("m")).select("doc_id", "m.kind", "m.norm").filter("kind is not null and norm is not null")
     found = stored(mentions.distinct(), "mentions")
     late = stored(_checked(found.select("kind", "norm").distinct(), key), "late")
 
@@ -243,12 +276,14 @@ def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
         joined = kinds.withColumn("late", F.create_map().cast("map<string,int>"))
     else:
         by_doc = stored(found.join(late, ["kind", "norm"]).groupBy(F.col("doc_id").alias("late_id")).agg(F.map_from_entries(F.collect_set(F.struct(label, "attempt"))).alias("late")), "late")
-        joined = kinds.join(sized(by_doc, 200), F.col("doc_id").eqNullSafe(F.col("late_id")), "left").select("doc_id", "text", "ms", F.coalesce("late", F.create_map().cast("map<string,int>")).alias("late"))
-
-    attempt = lambda m: F.coalesce(F.try_element_at("late", F.concat_ws("\x1e", m["kind"], m["norm"])), F.lit(0))
-    tried = F.transform("ms", lambda m: F.struct(m["mention"].alias("mention"), m["kind"].alias("kind"), m["norm"].alias("norm"), attempt(m).alias("attempt")))
-    by = F.transform(tried, lambda m: F.struct(m["mention"].alias("mention"), m["kind"].alias("kind"), F.when(m["kind"].isNotNull(), surrogate(m["kind"], m["norm"], m["attempt"], key)).alias("by")))
-    new = F.transform(by, lambda m: F.when(m["kind"].isNull(), m["mention"]).otherwise(rendered(m["kind"], m["mention"], m["by"], key)))
+        entries = by_doc.agg(F.coalesce(F.sum(F.size("late") + 1), F.lit(0))).first()[0]
+        joined = kinds.join(sized(by_doc, 100, entries), F.col("doc_id").eqNullSafe(F.col("late_id")), "left").select("doc_id", "text", "ms", F.coalesce("late", F.create_map().cast("map<string,int>")).alias("late"))
+
+    attempt = lambda kind, norm: F.coalesce(F.try_element_at("late", F.concat_ws("\x1e", kind, norm)), F.lit(0))
+    tried = F.transform("ms", lambda m: F.struct(m["mention"].alias("mention"), m["kind"].alias("kind"), m["norm"].alias("norm"), m["full"].alias("full"), attempt(m["kind"], m["norm"]).alias("attempt"), attempt(F.lit(FULL), m["full"]).alias("full_attempt")))
+    first = lambda m: F.when(m["full"].isNotNull(), first_surrogate(m["full"], m["full_attempt"], key))
+    by = F.transform(tried, lambda m: F.struct(m["mention"].alias("mention"), m["kind"].alias("kind"), F.when(m["kind"].isNotNull(), surrogate(m["kind"], m["norm"], m["attempt"], key)).alias("by"), first(m).alias("first")))
+    new = F.transform(by, lambda m: F.when(m["kind"].isNull(), m["mention"]).otherwise(rendered(m["kind"], m["mention"], m["by"], m["first"], key)))
     pieces = F.split("text", ENTITY, -1)
     merged = F.array_join(F.zip_with(pieces, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     counts = [F.size(F.filter("ms", lambda m: m["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in TYPES]

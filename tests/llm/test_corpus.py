@@ -126,6 +126,17 @@ def test_surrogates_stay_distinct_where_formats_are_small(spark):
     assert all(x == y for x, y in got) and len({x for x, _ in got}) == len(ips) and not {x for x, _ in got} & set(ips)
 
 
+def test_full_names_stay_distinct(spark):
+    firsts = pii.FIRST["latin_m"].split() + [f"{a}{b}" for a in ("Al", "Bo", "Cy") for b in ("bert", "ton", "rus", "man")]
+    names = [f"{first} {last}" for last in ("Smith", "Jones") for first in firsts] + [f"{first} Петров" for first in pii.FIRST["cyrillic_f"].split()]
+    rows = [(i, f"Mr {n} and Mr {n.split()[1]}" if i < 2 * len(firsts) else f"Mrs {n} and Mrs {n.split()[1]}", *[None] * 7) for i, n in enumerate(names)] + [(900 + i, f"{n} again", *[None] * 7) for i, n in enumerate(names) if n.split()[0] in pii.FIRST["latin_m"].split()]
+    got = {r.doc_id: r.text for r in pii.replace_entities(cases.frame(spark, rows)).collect()}
+    by = [re.fullmatch(r"Mr?s? (\w+ (\w+)) and Mr?s? \2", got[i])[1] for i in range(len(names))]
+    assert len(set(by)) == len(names) and not set(by) & set(names)
+    assert all(x.split()[0] != n.split()[0] for x, n in zip(by, names)) and len({x.split()[1] for x in by}) == 3
+    assert all(got[900 + i] == f"{by[i]} again" for i in range(len(names)) if 900 + i in got)
+
+
 def test_packing_is_an_exact_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -10,6 +10,8 @@ from ..functions import lexicon
 
 #: A side is broadcast only if its bytes, as summed up before, stay below the limit.
 BROADCAST_BYTES = 32 << 20
+#: Openings of phrases (their first two tokens) up to which words of a text are looked up in a set of them first.
+OPENINGS = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,13 +75,19 @@ def dictionary_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """doc_id, start, result and meta of each phrase in a text: the longest from the left that doesn't overlap the one before.
 
     A text's words meet the dictionary by a phrase's first token; each carries as many words as the longest phrase has,
-    so the rest is compared on the spot and no row holds a whole text.
+    so the rest is compared on the spot and no row holds a whole text. Of a dictionary with few openings, only words that
+    begin with one of them get so far.
     """
     words = dictionary(phrases).select(F.element_at("tokens", 1).alias("head"), "tokens", "meta")
     longest_phrase, size = words.agg(F.coalesce(F.max(F.size("tokens")), F.lit(1)), F.coalesce(F.sum(F.aggregate("tokens", F.lit(0), lambda n, t: n + F.octet_length(t) + 16) + F.size("meta") * 8 + 64), F.lit(0))).first()
     lists = words.groupBy("head").agg(F.collect_list(F.struct(F.size("tokens").alias("n"), "tokens", "meta")).alias("known"))
     texts = docs.select("doc_id", content_tokens(F.col("text")).alias("raw")).withColumn("t", F.transform("raw", phrase_token))
-    ahead = F.transform("t", lambda x, i: F.struct(i.alias("start"), x.alias("head"), F.slice("t", i + 1, F.lit(longest_phrase)).alias("t"), F.slice("raw", i + 1, F.lit(longest_phrase)).alias("raw")))
+    opening = lambda x, i: F.concat_ws(" ", x, F.get("t", i + 1))
+    openings = [r[0] for r in words.select(F.concat_ws(" ", F.slice("tokens", 1, 2))).distinct().limit(OPENINGS + 1).collect()]
+    begins = F.transform("t", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    if len(openings) <= OPENINGS:
+        begins = F.filter(begins, lambda p: p["x"].isin(openings) | opening(p["x"], p["i"]).isin(openings))
+    ahead = F.transform(begins, lambda p: (lambda x, i: F.struct(i.alias("start"), x.alias("head"), F.slice("t", i + 1, F.lit(longest_phrase)).alias("t"), F.slice("raw", i + 1, F.lit(longest_phrase)).alias("raw")))(p["x"], p["i"]))
     places = texts.select("doc_id", F.explode(ahead).alias("p")).select("doc_id", "p.*").join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "head")
     fits = F.filter("known", lambda k: F.slice("t", F.lit(1), k["n"]) == k["tokens"])
     longest = places.withColumn("k", F.array_max(F.transform(fits, lambda k: F.struct(k["n"].alias("n"), k["tokens"].alias("tokens"), k["meta"].alias("meta"))))).filter(F.col("k").isNotNull())

@@ -243,8 +243,11 @@ def similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five content words of each benchmark passage as phrases, in all documents."""
-    phrases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(matching.content_tokens(F.col("text")), 1, 5), " ").alias("phrase"))
+    """The content words of each benchmark passage, whole and each five in a row, as phrases in all documents."""
+    passages = table(spark, sf_dir, "benchmark").select("item_id", matching.content_tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    fives = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 4, F.lit(1))), lambda i: F.slice("t", i, F.lit(5)))
+    every = passages.select("item_id", F.explode(F.array_distinct(F.concat(F.array("t"), fives))).alias("t"))
+    phrases = every.select(F.col("item_id").alias("phrase_id"), F.array_join("t", " ").alias("phrase"))
     return matching.dictionary_hits(table(spark, sf_dir, "documents"), phrases)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from blockwright.functions import scalars, segment
 from blockwright.operators import layout, matching, tables
+from blockwright.plans import structure_queries
 
 
 @pytest.mark.parametrize(
@@ -97,6 +98,26 @@ def test_dictionary_hits_are_the_longest_from_the_left(spark):
     assert sorted((r.doc_id, r.start, r.result, r.meta) for r in got.collect()) == want
 
 
+def test_dictionary_hits_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi") for b in ("ra", "tu", "ve")] + ["the", "of"]
+    passages = [" ".join(rng.choices(words, k=k)) for k in (30, 18, 9, 5, 3)] + [None, ""]
+    whole = [w.split() for w in passages if w]
+    docs = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(40)] + passages
+    docs += [" ".join(["Zulu", *w[k:], "zulu", *w[:-1]]) for w in whole for k in (1, 4)] + [" ".join(["zulu", "zulu", *w[2:]]) for w in whole]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    known = {}
+    for item, text in enumerate(passages):
+        tokens = [w for w in (text or "").split() if w not in ("the", "of")]
+        for phrase in {tuple(tokens), *(tuple(tokens[i : i + 5]) for i in range(len(tokens) - 4))} - {()}:
+            known.setdefault(phrase, []).append(item)
+    want = sorted((d, *h) for d, t in enumerate(docs) for h in plain_hits(t, known))
+    assert {len(h[2].split()) for h in want} > {5} and any(len(h[2].split()) > 5 for h in want)
+    got = structure_queries.dictionary_hits(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.start, r.result, r.meta) for r in got) == want
+
+
 def _page_lines():
     rows = []
     for page in range(4):

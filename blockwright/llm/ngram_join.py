@@ -12,8 +12,10 @@ and sizes that can have partners in the next band give keys there too. Pairs tha
 sketch of one bit a token (XOR-folded to the smaller one's length; its Hamming distance is a lower bound, too) and then
 verified on the sets.
 
-Equal sets are one class throughout. Candidates are never all pairs of those that share a key: first each is compared
-to the smallest of them, then only those whose components still differ are compared to each other.
+Equal sets are one class throughout; a class is known by a 64-bit hash, and where a second one tells two sets with the
+same number apart, they get numbers of their own. Candidates are never all pairs of those that share a key: first each
+is compared to the smallest of them, then only those whose components still differ are compared to each other. A key
+that very many classes have is dealt over several tasks, and so are the classes around one center.
 """
 
 from __future__ import annotations
@@ -23,17 +25,20 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_batches, sized, stored, whole_text
 from .graph import components
 
 WORDS = 5
 THRESHOLD = Fraction(3, 4)
-#: Sets below this size have a word for each token. Bands above are BAND times as wide; their sketch has half as many words as the band's largest set has tokens.
+#: Sets below this size have a word for each token. Bands above are BAND times as wide; their sketch has three quarters as
+#: many words as the band's largest set has tokens. Fewer words than the pigeonhole needs are then ten deviations away.
 SMALL, BAND = 64, 4
 #: A word in this share of a partition's documents counts as common and comes last; and in so many documents at least.
 COMMON_SHARE, COMMON_LEAST = 1 / 2000, 4
@@ -45,6 +50,10 @@ BUCKET_KEYS = 1 << 20
 HELD = 1 << 20
 #: Classes in a row of those that share a key.
 CHUNK = 1024
+#: Classes around one center that are compared in one task; more are dealt in blocks, two by two.
+BLOCK = 512
+#: Powers that a worker keeps; those of longer texts are made for them and dropped.
+KEPT = 1 << 20
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -52,16 +61,18 @@ PRIME = np.uint64(0x9E3779B185EBCA87)
 
 _BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
 _IN_WORD = np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)])
-#: Powers of PRIME and of its inverse modulo 2^64, as long as the longest text so far.
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _grown(n: int) -> list[np.ndarray]:
-    while len(_powers[0]) < n:
-        for k, base in enumerate((int(PRIME), pow(int(PRIME), -1, 1 << 64))):
-            have = _powers[k]
-            _powers[k] = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    return _powers
+    """The powers of PRIME and of its inverse modulo 2^64, n at least."""
+    global _powers
+    now = _powers
+    while len(now[0]) < n:
+        now = [np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))]) for base, have in zip((int(PRIME), pow(int(PRIME), -1, 1 << 64)), now, strict=True)]
+    if len(now[0]) <= KEPT:
+        _powers = now
+    return now
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -101,6 +112,23 @@ def class_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
 
 
+class Classes:
+    """Numbers of sets: class_of(), or for a number that several sets have one of both their hashes. mask shortens the first (tests force collisions)."""
+
+    def __init__(self, shared: frozenset[int] = frozenset(), mask: int = -1):
+        self.shared, self.mask = shared, mask
+
+    def check(self, found: np.ndarray) -> int:
+        return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes(), 1)).view(np.int64))
+
+    def own(self, number: int, check: int) -> int:
+        return int(np.uint64(xxhash.xxh3_64_intdigest(b"%d %d" % (number, check))).view(np.int64))
+
+    def __call__(self, found: np.ndarray) -> int:
+        number = class_of(found) & self.mask
+        return self.own(number, self.check(found)) if number in self.shared else number
+
+
 def bits(found: np.ndarray) -> bytes:
     """The parity sketch of one bit a token: as many bits as the next power of two above twice the set's size, 64 at least."""
     size = max(64, 2 << int(len(found)).bit_length())
@@ -118,8 +146,8 @@ def bands(n: int, threshold: Fraction = THRESHOLD) -> list[int]:
     """The numbers of words of the sketches that a set of this size needs: 0 is a word for each token."""
     top, count = SMALL, 0
     while n >= top:
-        top, count = top * BAND, top * BAND // 2
-    return [count] if n < top * threshold else [count, top * BAND // 2]
+        top, count = top * BAND, top * BAND * 3 // 4
+    return [count] if n < top * threshold else [count, top * BAND * 3 // 4]
 
 
 def sketch_words(found: np.ndarray, count: int, seed: int = 0) -> np.ndarray:
@@ -169,8 +197,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", whole_text().cast("binary").alias("text"))
 
 
-def summaries(docs: DataFrame, threshold: Fraction, seed: int) -> DataFrame:
-    """A row for each document: doc_id, text_hash, node (its class), n, bits, short (words that its sketch lacks); and rows (word, count) of words common in a partition."""
+def summaries(docs: DataFrame, threshold: Fraction, seed: int, classes: Classes) -> DataFrame:
+    """A row for each document: doc_id, text_hash, node (its class), check (another hash of its set), n, bits, short (words that its sketch lacks); and rows (word, count) of words common in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, documents = [], 0
@@ -186,11 +214,12 @@ def summaries(docs: DataFrame, threshold: Fraction, seed: int) -> DataFrame:
 
         waiting = 0
         for batch in batches:
-            nodes, sizes, parity, short = [], [], [], []
+            nodes, checks, sizes, parity, short = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = tokens(text)
                 sizes.append(len(found))
-                nodes.append(class_of(found))
+                nodes.append(classes(found))
+                checks.append(classes.check(found))
                 parity.append(bits(found))
                 lacks = 0
                 for count in bands(len(found), threshold) if len(found) else []:
@@ -204,20 +233,25 @@ def summaries(docs: DataFrame, threshold: Fraction, seed: int) -> DataFrame:
                 settle()
                 waiting = 0
             k = len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(short, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(short, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
         settle()
         least = max(COMMON_LEAST, documents * COMMON_SHARE)
         many = counts >= least
         k, words = int(many.sum()), seen[many].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(words), pa.array(counts[many], pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(words), pa.array(counts[many], pa.int64())], names=names)
 
-    names = ["doc_id", "text_hash", "node", "n", "bits", "short", "word", "count"]
+    names = ["doc_id", "text_hash", "node", "check", "n", "bits", "short", "word", "count"]
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).select("doc_id", F.col("text").cast("binary"), F.xxhash64("text").alias("text_hash"))
-    return texts.mapInArrow(run, "doc_id long, text_hash long, node long, n int, bits binary, short int, word long, count long")
+    return texts.mapInArrow(run, "doc_id long, text_hash long, node long, check long, n int, bits binary, short int, word long, count long")
 
 
-def key_blocks(docs: DataFrame, common: np.ndarray, buckets: int, threshold: Fraction, seed: int) -> DataFrame:
-    """The keys of all sets, packed: bucket, block (13 bytes a key: its low 40 bits, the class)."""
+def key_blocks(docs: DataFrame, common: np.ndarray, heavy: dict[int, int], buckets: int, threshold: Fraction, seed: int, classes: Classes) -> DataFrame:
+    """The keys of all sets, packed: bucket, block (13 bytes a key: its low 40 bits, the class).
+
+    A heavy key's classes are dealt over as many buckets as heavy says, numbered from buckets on.
+    """
+    weighty = np.sort(np.array(list(heavy), np.uint64))
+    shares = np.array([heavy[int(w)] for w in weighty], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -229,6 +263,11 @@ def key_blocks(docs: DataFrame, common: np.ndarray, buckets: int, threshold: Fra
             rows["key"] = np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").ravel()
             rows["node"] = np.repeat(np.array(owners, np.int64), [len(w) for w in held])
             to = ((words >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            if len(weighty):
+                at = np.minimum(np.searchsorted(weighty, words), len(weighty) - 1)
+                is_heavy = weighty[at] == words
+                spread = mixed(rows["node"].astype(np.uint64), 5) % shares[at]
+                to = np.where(is_heavy, buckets + ((words >> np.uint64(40)) + spread * PRIME) % np.uint64(buckets), to).astype(np.int32)
             order = np.argsort(to, kind="stable")
             rows, ends = rows[order], np.flatnonzero(np.diff(to[order], append=-1)) + 1
             held.clear()
@@ -241,7 +280,7 @@ def key_blocks(docs: DataFrame, common: np.ndarray, buckets: int, threshold: Fra
                 found = tokens(text)
                 if len(found):
                     held.append(keys(found, common, threshold, seed))
-                    owners.append(class_of(found))
+                    owners.append(classes(found))
                     waiting += len(held[-1])
             if waiting > HELD:
                 yield packed()
@@ -252,55 +291,75 @@ def key_blocks(docs: DataFrame, common: np.ndarray, buckets: int, threshold: Fra
     return _sets(docs).mapInArrow(run, "bucket int, block binary")
 
 
+def _by_key(bucket: list[bytes], alone: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """The distinct classes, ascending, of each key of a bucket that has several (alone: or one)."""
+    rows = np.frombuffer(b"".join(bucket), [("key", "V5"), ("node", "<i8")])
+    wide = np.zeros((len(rows), 8), np.uint8)
+    wide[:, :5] = rows["key"].copy().view(np.uint8).reshape(-1, 5)
+    key, node = wide.view(np.uint64).ravel(), rows["node"]
+    order = np.argsort(key, kind="stable")
+    key, node = key[order], node[order]
+    if not alone:
+        again = np.zeros(len(key) + 1, bool)
+        again[1:-1] = key[1:] == key[:-1]
+        mine = again[:-1] | again[1:]  # keys that come once can't join
+        key, node = key[mine], node[mine]
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node = key[fresh], node[fresh]
+    begins = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1))) if len(key) else np.zeros(0, np.int64)
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], strict=False):
+        if alone or b - a > 1:
+            yield int(key[a]), node[a:b]
+
+
 def runs(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Classes that share a key: run (a number of the whole list), chunk, center (its smallest class), nodes (CHUNK at most). Equal lists count once."""
+    """Classes that share a key: run (a number of the whole list), chunk, center (its smallest class), nodes (CHUNK at most). Equal lists count once.
+
+    A heavy key's list comes in as many parts as it has buckets; its chunks are numbered and its center is found over
+    all parts afterwards.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(bucket: list[bytes]) -> Iterator[tuple]:
-            rows = np.frombuffer(b"".join(bucket), [("key", "V5"), ("node", "<i8")])
-            wide = np.zeros((len(rows), 8), np.uint8)
-            wide[:, :5] = rows["key"].copy().view(np.uint8).reshape(-1, 5)
-            key, node = wide.view(np.uint64).ravel(), rows["node"]
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            again = np.zeros(len(key) + 1, bool)
-            again[1:-1] = key[1:] == key[:-1]
-            mine = again[:-1] | again[1:]  # keys that come once can't join
-            key, node = key[mine], node[order][mine]
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[fresh], node[fresh]
-            begins = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1))) if len(key) else []
-            seen = set()
-            for a, b in zip(begins, [*begins[1:], len(key)], strict=False):
-                if b - a > 1:
-                    number = class_of(node[a:b])
-                    if number not in seen:
-                        seen.add(number)
-                        yield from ((number, i, int(node[a]), node[at : min(at + CHUNK, b)].tolist()) for i, at in enumerate(range(a, b, CHUNK)))
+        def one(number: int, bucket: list[bytes]) -> Iterator[tuple]:
+            heavy, seen = number >= buckets, set()
+            for key, nodes in _by_key(bucket, heavy):
+                run = key if heavy else class_of(nodes)
+                if heavy or run not in seen:
+                    seen.add(run)
+                    yield from ((heavy, run, i, int(nodes[0]), nodes[at : at + CHUNK].tolist()) for i, at in enumerate(range(0, len(nodes), CHUNK)))
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, types, strict=True)], names=["run", "chunk", "center", "nodes"])
+            types = (pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)], names=["heavy", "run", "chunk", "center", "nodes"])
 
         now, held, rows = None, [], []
         for batch in batches:
             for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != now:
-                    rows += one(held) if held else ()
+                    rows += one(now, held) if held else ()
                     now, held = bucket, []
                     if len(rows) > 2000:
                         yield out(rows)
                         rows = []
                 held.append(block)
-        rows += one(held) if held else ()
+        rows += one(now, held) if held else ()
         yield out(rows)
 
     dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(find, "run long, chunk int, center long, nodes array<long>")
-    return found.dropDuplicates(["run", "chunk"])
+    return dealt.mapInArrow(find, "heavy boolean, run long, chunk int, center long, nodes array<long>")
+
+
+def whole_runs(parts: DataFrame) -> DataFrame:
+    """The parts of runs() as run, chunk, center, nodes; a heavy key's as one list. Its windows see a number a chunk, not the classes."""
+    light = parts.filter("not heavy").drop("heavy").dropDuplicates(["run", "chunk", "center"])
+    heavy = parts.filter("heavy").withColumn("first", F.get("nodes", F.lit(0)))
+    one = Window.partitionBy("run")
+    placed = heavy.select("run", "first").withColumn("chunk", (F.row_number().over(one.orderBy("first")) - 1).cast("int")).withColumn("center", F.min("first").over(one))
+    several = placed.withColumn("chunks", F.count("*").over(one))
+    return light.unionByName(heavy.select("run", "first", "nodes").join(several, ["run", "first"]).filter("chunks > 1 or size(nodes) > 1").select("run", "chunk", "center", "nodes"))
 
 
 def screened(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
@@ -319,7 +378,7 @@ def screened(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFra
     return side(side(sizes, "a", "bits"), "b", "bits").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(screen, "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fraction, classes: Classes) -> DataFrame:
     """The pairs (a, b) of classes that link, by their sets; only texts of classes in a pair are read for them."""
     left = stored(pairs, "pairs")
     involved = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "involved")
@@ -327,7 +386,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fra
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [tokens(text) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array([classes(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "found"])
 
     wanted = involved.select("doc_id").distinct()
     texts = docs.join(sized(wanted, 16), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
@@ -355,38 +414,53 @@ def across(found: DataFrame, groups: DataFrame, nodes: DataFrame, threshold: Fra
     other = F.explode(F.sequence(F.lit(0), "chunks")).alias("other")
     lists = found.join(by_run.filter("low <> high and n > 2").select("run", "chunks"), "run").select("center", "run", "chunk", "nodes", other)
     lists = stored(lists.select("center", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "run", "chunk", "nodes"), "lists")
+    where = ["center", "i", "j"]
+    around = lists.select(*where, F.explode("nodes").alias("node")).distinct().groupBy(*where).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = lists.join(sized(stored(around, "around"), 32), where, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    ends = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = F.flatten(F.transform(ends, lambda p: F.transform(ends, lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    two = F.filter(pairs, lambda x: (F.col("i") < F.col("j")) | (x["p"] <= x["q"]))  # blocks that meet
+    dealt = dealt.select(*where, "run", "chunk", "nodes", "blocks", F.explode(two).alias("x")).select(*where, "x.p", "x.q", "run", "chunk", "nodes", "blocks")
+    of = lambda block: F.filter("nodes", lambda n: F.pmod(F.xxhash64(n), F.col("blocks")) == block)
+    one_side = F.array(F.struct(F.lit(0).alias("side"), of(F.col("p")).alias("nodes")))
+    both_sides = F.array(F.struct(F.lit(0).alias("side"), of(F.col("p")).alias("nodes")), F.struct(F.lit(1).alias("side"), of(F.col("q")).alias("nodes")))
+    sides = F.when((F.col("i") == F.col("j")) & (F.col("p") == F.col("q")), one_side).when(F.col("i") == F.col("j"), both_sides).when(F.col("chunk") == F.col("i"), one_side).otherwise(F.slice(both_sides, 2, 1))
+    where = ["center", "i", "j", "p", "q"]
+    dealt = dealt.select(*where, "run", F.explode(sides).alias("s")).select(*where, "run", "s.side", "s.nodes").filter("size(nodes) > 0")
+    dealt = stored(dealt, "lists")
     sketches = nodes.join(to, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n", "bits")
-    meet = lists.select("center", "i", "j", F.explode("nodes").alias("node")).distinct().join(sketches, "node")
-    columns = ["center", "i", "j", "run", "chunk", "nodes", "component", "n", "bits"]
-    rows = lists.select(*columns[:6], *(F.lit(None).cast(t).alias(c) for c, t in (("component", "long"), ("n", "int"), ("bits", "binary"))))
-    rows = rows.unionByName(meet.select("center", "i", "j", F.lit(None).cast("long").alias("run"), F.lit(None).cast("int").alias("chunk"), F.array("node").alias("nodes"), "component", "n", "bits"))
+    meet = dealt.select(*where, F.explode("nodes").alias("node")).distinct().join(sketches, "node")
+    columns = [*where, "run", "side", "nodes", "component", "n", "bits"]
+    rows = dealt.select(*columns[:8], *(F.lit(None).cast(t).alias(c) for c, t in (("component", "long"), ("n", "int"), ("bits", "binary"))))
+    rows = rows.unionByName(meet.select(*where, F.lit(None).cast("long").alias("run"), F.lit(None).cast("int").alias("side"), F.array("node").alias("nodes"), "component", "n", "bits"))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, ([], [])
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != now:
+                if row[:5] != now:
                     if now:
                         yield from Meeting(*group, threshold).pairs()
-                    now, group = row[:3], ([], [])
-                group[row[3] is not None].append(row)
+                    now, group = row[:5], ([], [])
+                group[row[5] is not None].append(row)
         if now:
             yield from Meeting(*group, threshold).pairs()
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.select(*columns).repartition(parts, "center", "i", "j").sortWithinPartitions("center", "i", "j")
+    met = rows.select(*columns).repartition(parts, *where).sortWithinPartitions(*where)
     return met.mapInArrow(cross, "a long, b long").distinct()
 
 
 class Meeting:
-    """Classes (rows of across() with sketches) and the lists, of one center, in which they come together."""
+    """Classes (rows of across() with sketches) and the lists, of one center, in which they come together.
 
-    #: Classes up to which a table of all pairs marks who meets whom (16 MB); beyond, list by list.
-    TABLE = 4096
+    There are at most a few BLOCKs of classes, so a table of all pairs marks who meets whom: within a list that has one
+    side, between the sides of one that has two.
+    """
 
     def __init__(self, classes: list[tuple], lists: list[tuple], threshold: Fraction):
         self.t = threshold
-        rows = sorted((row[5][0], *row[6:]) for row in classes)
+        rows = sorted((row[7][0], *row[8:]) for row in classes)
         self.node, self.component, self.n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         self.bits = [np.frombuffer(r[3], np.uint8) for r in rows]
         self.length = np.array([len(x) for x in self.bits], np.int64)
@@ -399,27 +473,23 @@ class Meeting:
             self.same[size] = np.stack([self.bits[k] for k in at])
             self.folded[size] = self.same[size][:, : size // 2] ^ self.same[size][:, size // 2 :]
         sides: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
-        for _, i, j, run, chunk, members, *_ in lists:
-            sides[run][0 if chunk == i else 1] = np.searchsorted(self.node, np.array(members, np.int64))
-        self.lists = [(s.get(0), s.get(1, s.get(0))) for s in sides.values()]
+        within = False
+        for _, i, j, p, q, run, side, members, *_ in lists:
+            within = i == j and p == q
+            sides[run][side] = np.searchsorted(self.node, np.array(members, np.int64))
+        self.lists = [(s[0], s[0]) if within else (s[0], s[1]) for s in sides.values() if within or len(s) == 2]
 
     def pairs(self) -> Iterator[pa.RecordBatch]:
         """The pairs that the screen passes, as batches (a, b)."""
-        for found in self._each():
+        meet = np.zeros((len(self.node), len(self.node)), bool)
+        for one, two in self.lists:
+            meet[np.ix_(one, two)] = True
+        meet |= meet.T
+        for k in range(len(self.node)):
+            found = self._from(k, k + 1 + np.flatnonzero(meet[k, k + 1 :]))
             if len(found[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
-    def _each(self) -> Iterator[np.ndarray]:
-        if len(self.node) <= self.TABLE:
-            meet = np.zeros((len(self.node), len(self.node)), bool)
-            for one, two in self.lists:
-                meet[np.ix_(one, two)] = True
-            meet |= meet.T
-            yield from (self._from(k, k + 1 + np.flatnonzero(meet[k, k + 1 :])) for k in range(len(self.node)))
-        else:
-            for one, two in self.lists:
-                yield from (self._from(k, two[two > k] if one is two else two) for k in one.tolist())
-
     def _from(self, k: int, others: np.ndarray) -> np.ndarray:
         p, q = self.t.numerator, self.t.denominator
         n, m = self.n[k], self.n[others]
@@ -440,35 +510,46 @@ class Meeting:
         return np.sort(np.stack([np.full(len(found), self.node[k]), self.node[found]]), axis=0)
 
 
-def near_groups(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """A row for each document (doc_id, text): doc_id, text_hash (xxhash64 of the text), n_shingles, links (of its set to other sets, as compared), component_id.
+def near_groups(docs: DataFrame, threshold: Fraction = THRESHOLD, bucket_keys: int = BUCKET_KEYS, mask: int = -1) -> DataFrame:
+    """A row for each document (doc_id, text): doc_id, text_hash (xxhash64 of the text), n_shingles, links_compared, component_id.
 
-    component_id is the smallest doc_id that links lead to, itself included. Null and empty texts have no shingles, link
-    with nothing and are their own component. Null doc_ids count as larger than all others. Repeated rows give repeated
-    rows in one component; an empty table gives none; other columns are not read.
+    component_id is the smallest doc_id that links lead to, itself included. links_compared counts the links of a set
+    that were looked at: two sets that others have already joined are not compared. Null and empty texts have no
+    shingles, link with nothing and are their own component. Null doc_ids count as larger than all others. Repeated rows
+    give repeated rows in one component; a long text takes some 60 bytes a character while it is worked on; an empty
+    table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
-    docs, seed = docs.select("doc_id", "text"), 0
+    arrow_batches(spark)
+    docs, seed, classes = docs.select("doc_id", "text"), 0, Classes(mask=mask)
     while True:
-        seen = stored(summaries(docs, threshold, seed), "summaries")
+        seen = stored(summaries(docs, threshold, seed, classes), "summaries")
         rows = seen.filter("node is not null")
         if rows.filter("short > 0").isEmpty():
             break
         seed += 1  # a sketch has fewer words than the pigeonhole needs: other places for the tokens
-    common = seen.filter("word is not null").groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_MOST).select("word").toArrow()
-    common = np.sort(common.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    numbers = rows.filter("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    shared = [r["node"] for r in numbers.filter("low <> high").select("node").collect()]  # two sets with one number: one in 2^64 pairs
+    if shared:
+        classes = Classes(frozenset(shared), mask)
+        own = F.pandas_udf(lambda node, check: pd.Series([classes.own(a, b) if a in classes.shared else a for a, b in zip(node.tolist(), check.tolist(), strict=True)], dtype="int64"), "long")
+        rows = stored(rows.withColumn("node", own("node", "check")), "summaries")
+    words = seen.filter("word is not null").groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_MOST).toArrow()
+    common = words.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    counts = words.column("n").to_numpy()
+    heavy = {int(w): int(-(-n // bucket_keys)) for w, n in zip(common[counts > bucket_keys], counts[counts > bucket_keys], strict=True)}
+    common = np.sort(common)
     nodes = stored(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     copies = rows.filter("n > 0").select("doc_id").distinct().join(nodes.select("doc_id"), "doc_id", "left_anti")
     firsts = docs.join(sized(copies, 16), "doc_id", "left_anti")
 
     total = nodes.agg(F.coalesce(F.sum(F.col("n") * float(1 / threshold - 1) * 1.2 + 1), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / BUCKET_KEYS) + 1)
-    found = stored(runs(key_blocks(firsts, common, buckets, threshold, seed), buckets), "runs")
+    found = stored(whole_runs(stored(runs(key_blocks(firsts, common, heavy, buckets, threshold, seed, classes), buckets), "parts")), "runs")
     stars = found.select(F.col("center").alias("a"), F.explode("nodes").alias("b")).filter("a <> b").distinct()
-    links = verified(screened(stars, nodes, threshold), nodes, docs, threshold)
+    links = verified(screened(stars, nodes, threshold), nodes, docs, threshold, classes)
     groups = components(links)
-    more = verified(across(found, groups, nodes, threshold), nodes, docs, threshold)
+    more = verified(across(found, groups, nodes, threshold), nodes, docs, threshold, classes)
     if not more.isEmpty():
         links = links.unionByName(more)
         groups = components(links)
@@ -479,4 +560,4 @@ def near_groups(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     out = rows.select("doc_id", "text_hash", "node", "n").join(known.join(degrees, "node", "left"), "node", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), own.alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("links_compared"), own.alias("component_id"))

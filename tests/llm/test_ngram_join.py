@@ -45,6 +45,20 @@ def test_components_are_those_of_brute_force(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == expected(rows)
 
 
+def test_heavy_keys_blocks_and_shared_numbers_change_nothing(spark, monkeypatch):
+    rows = cases.documents(120, seed=9)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghi", k=6))
+    passage = [word() for _ in range(200)]
+    rows += [(5000 + i, " ".join([*passage, *(word() for _ in range(rng.choice([2, 60, 120])))]), *[None] * 7) for i in range(60)]
+    want = expected(rows)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    for options in ({"bucket_keys": 3}, {"mask": 0xF}):
+        got = ngram_join.near_groups(cases.frame(spark, rows), **options).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want, options
+
+
 def test_a_passage_in_many_and_a_group_of_near_copies(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghi", k=6))

@@ -1,10 +1,13 @@
 """Exact duplicates of texts: an immutable snapshot screened by static binary-fuse filters, then byte checks in exact buckets.
 
-The snapshot's digests are dealt into buckets by their leading bits. Each bucket has one binary-fuse filter (about nine
-bits a digest) that is built once and never changed. A batch that comes in is grouped by digest first, so a text with a
-million copies is one row from there on; its digests are screened against the filter of their bucket. Digests that the
-filter rejects are surely new and are only grouped among themselves; positives are joined to the exact bucket. Wherever
-several rows share a digest their bytes are compared, and should two texts have one digest they are grouped by text.
+A snapshot is written once (build_snapshot) and kept: its digests are dealt into buckets by their last bits, each bucket
+with one binary-fuse filter (about nine bits a digest), and beside them the texts by parts of buckets, for byte checks.
+Any number of batches can be screened against it without its source being read again.
+
+A batch that comes in is grouped by digest first, so a text with a million copies is one row from there on; its digests
+are screened against the filter of their bucket. Digests that the filter rejects are surely new and are only grouped
+among themselves; positives are joined to the exact bucket. Wherever several rows share a digest their bytes are
+compared, of the snapshot only in parts that a batch hits, and should two texts have one digest they are grouped by text.
 
 No step holds more than one bucket in memory, and the number of buckets grows with the snapshot.
 """
@@ -12,16 +15,18 @@ No step holds more than one bucket in memory, and the number of buckets grows wi
 from __future__ import annotations
 
 import math
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, stored, whole_text
+from .common import passing, shared_dir, sized, stored, whole_text
 
-#: Digests of the snapshot in a bucket, on average.
-BUCKET_ROWS = 8192
+#: Digests of the snapshot in a bucket, on average, and parts into which its texts are dealt.
+BUCKET_ROWS, PARTS = 8192, 256
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -144,46 +149,116 @@ def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest binary")
 
 
-def exact_groups(snapshot: DataFrame, batch: DataFrame, bits: int = 256) -> DataFrame:
-    """Groups of equal texts over a snapshot and a batch that comes in, both with doc_id and text.
+@dataclass(frozen=True)
+class Snapshot:
+    """A snapshot's folder: ids (doc_id, digest, mark, copies), groups (digest, keep_id, group_size), filters by bucket, texts (digest, norm) by part, clashing digests."""
 
-    A row for each input row: doc_id, keep_id, group_size, kept, digest. Null texts count as empty, empty texts are equal
-    to each other. The smallest doc_id of a group stays; of rows that repeat it, one. Null doc_ids come after all others:
-    a group without any other has keep_id null, and one of its rows stays. Empty tables give no rows; other columns are
-    never read.
+    path: str
+    buckets: int
+    bits: int
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+
+
+SCHEMAS = {
+    "ids": "doc_id long, digest binary, mark long, copies long",
+    "groups": "digest binary, keep_id long, group_size long",
+    "filters": "bucket int, seed int, segment int, count int, cells binary",
+    "texts": "digest binary, norm string, part int",
+    "clashing": "digest binary",
+    "manifest": "buckets int, bits int",
+}
+
+
+def _part(digest: Column) -> Column:
+    return _bucket(digest, PARTS)
+
+
+def _counted(hashed: DataFrame) -> DataFrame:
+    """doc_id, digest, mark (another hash of the text, for digests that two texts share) and copies; rows that repeat all three are one from here on."""
+    return hashed.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "digest", F.xxhash64("norm").alias("mark")).agg(F.count("*").alias("copies"))
+
+
+def _grouped(ids: DataFrame, *by: str) -> DataFrame:
+    return ids.groupBy(*(by or ("digest",))).agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+
+
+def _several(texts: DataFrame) -> DataFrame:
+    """The digests of more than one text."""
+    return texts.groupBy("digest").count().filter("count > 1").select("digest")
+
+
+def build_snapshot(docs: DataFrame, path: str, bits: int = 256) -> Snapshot:
+    """Writes the snapshot of documents (doc_id, text) to an empty folder, which is never changed afterwards."""
+    spark = docs.sparkSession
+    hashed, made = digested(docs, bits), Snapshot(path, 1, bits)
+    _counted(hashed).write.parquet(f"{path}/ids")
+    _grouped(made.read(spark, "ids")).write.parquet(f"{path}/groups")
+    groups = made.read(spark, "groups")
+    buckets = max(1, groups.count() // BUCKET_ROWS)
+    build_filters(groups, buckets).write.parquet(f"{path}/filters")
+    texts = hashed.groupBy("digest", F.xxhash64("norm").alias("mark")).agg(F.first("norm").alias("norm")).withColumn("part", _part(F.col("digest")))
+    texts.select("digest", "norm", "part").repartition("part").sortWithinPartitions("part", "digest").write.partitionBy("part").parquet(f"{path}/texts")
+    _several(made.read(spark, "ids").select("digest", "mark").distinct()).write.parquet(f"{path}/clashing")
+    spark.createDataFrame([(buckets, bits)], SCHEMAS["manifest"]).coalesce(1).write.parquet(f"{path}/manifest")
+    return Snapshot(path, buckets, bits)
+
+
+def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """A snapshot that has been built before."""
+    buckets, bits = spark.read.schema(SCHEMAS["manifest"]).parquet(f"{path}/manifest").first()
+    return Snapshot(path, buckets, bits)
+
+
+def groups_with(snapshot: Snapshot, batch: DataFrame) -> DataFrame:
+    """The rows of exact_groups() for a snapshot that is kept and a batch (doc_id, text).
+
+    Of the snapshot, filters and digests are read, and texts only in parts in which the batch has a digest of it.
     """
-    docs = snapshot.select("doc_id", "text", F.lit(True).alias("old")).unionByName(batch.select("doc_id", "text", F.lit(False).alias("old")))
-    hashed = digested(docs.withColumn("doc_id", F.struct(F.col("old"), F.col("doc_id").alias("id"))), bits)
-    per_id = hashed.groupBy("digest", F.col("doc_id.id").alias("doc_id")).agg(F.count("*").alias("copies"), F.count_if("doc_id.old").alias("copies_old"))
-    ids = stored(per_id, "digests")
-
-    def grouped(n: Column) -> DataFrame:
-        return ids.filter(n > 0).groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum(n).alias("group_size"))
-
-    copies, copies_old = F.col("copies"), F.col("copies_old")
-    old, new = stored(grouped(copies_old), "snapshot"), stored(grouped(copies - copies_old), "batch")
-    buckets = max(1, old.count() // BUCKET_ROWS)
-    positives = screen(new, build_filters(old, buckets), buckets)
+    spark = batch.sparkSession
+    hashed, old = digested(batch, snapshot.bits), snapshot.read(spark, "groups")
+    new_ids = stored(_counted(hashed), "digests")
+    new = stored(_grouped(new_ids), "batch")
+    positives = screen(new, snapshot.read(spark, "filters"), snapshot.buckets)
     hits = new.join(positives, "digest").join(old.select("digest", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size")), "digest")
     met = stored(hits.select("digest", F.least("keep_id", "old_id").alias("keep_id"), (F.col("group_size") + F.col("old_size")).alias("group_size")), "met")
     alone = old.unionByName(new).join(met.select("digest"), "digest", "left_anti")
     groups = stored(alone.unionByName(met), "groups")
 
-    shared = groups.filter("group_size > 1").select("digest")
-    texts = hashed.join(sized(shared, 64), "digest", "left_semi").groupBy("digest", "norm").agg(F.count("*").alias("n")).select("digest")
-    clashing = stored(texts.groupBy("digest").count().filter("count > 1").select("digest"), "clashing")
-    rows = ids.join(groups, "digest")
+    parts = [r["part"] for r in met.select(_part(F.col("digest")).alias("part")).distinct().collect()]  # PARTS at most
+    shared = stored(new.filter("group_size > 1").select("digest").unionByName(met.select("digest")).distinct(), "shared")
+    own = hashed.join(sized(shared, 64), "digest", "left_semi").select("digest", "norm")
+    theirs = snapshot.read(spark, "texts").filter(F.col("part").isin(parts)).join(sized(met.select("digest"), 64), "digest", "left_semi").select("digest", "norm")
+    compared = own.unionByName(theirs).groupBy("digest", "norm").agg(F.count("*").alias("n"))
+    clashing = stored(_several(compared).unionByName(snapshot.read(spark, "clashing")).distinct(), "clashing")
+
+    ids = snapshot.read(spark, "ids").unionByName(new_ids).groupBy("doc_id", "digest", "mark").agg(F.sum("copies").alias("copies"))
     out = ["doc_id", "keep_id", "group_size", "copies", "digest"]
-    if not clashing.isEmpty():  # two texts with one digest: the text itself is the key
-        again = hashed.join(F.broadcast(clashing) if bits == 256 else clashing, "digest", "left_semi").select("digest", "norm", F.col("doc_id.id").alias("doc_id"))
-        by_text = again.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        members = again.groupBy("digest", "norm", "doc_id").agg(F.count("*").alias("copies"))
-        exact = members.join(by_text, ["digest", "norm"]).select(*out)
-        rows = rows.join(clashing, "digest", "left_anti").select(*out).unionByName(exact)
+    if clashing.isEmpty():
+        rows = ids.join(groups, "digest")
+    else:  # two texts with one digest: their marks tell them apart
+        few = sized(clashing, 64)
+        split = ids.join(few, "digest", "left_semi")
+        exact = split.join(_grouped(split, "digest", "mark"), ["digest", "mark"])
+        rows = ids.join(few, "digest", "left_anti").join(groups, "digest").select(*out).unionByName(exact.select(*out))
     place = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("place")
     return rows.select(*out, place).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("place") == 1)).alias("kept"), "digest")
 
 
+def exact_groups(snapshot: DataFrame, batch: DataFrame, bits: int = 256) -> DataFrame:
+    """Groups of equal texts over a snapshot and a batch that comes in, both with doc_id and text.
+
+    A row for each input row: doc_id, keep_id, group_size, kept, digest. Null texts count as empty, empty texts are equal
+    to each other. The smallest doc_id of a group stays; of rows that repeat it, one. Null doc_ids come after all others:
+    a group without any other has keep_id null, and one of its rows stays. A long text is one row's work. Empty tables
+    give no rows; other columns are never read.
+    """
+    folder = f"{shared_dir(batch.sparkSession)}/snapshot-{uuid.uuid4().hex}"
+    passing(batch.sparkSession, folder)
+    return groups_with(build_snapshot(snapshot, folder, bits), batch)
+
+
 def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows, once: a snapshot and a batch, by the parity of a hash of doc_id (null: the batch)."""
     even = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(False))

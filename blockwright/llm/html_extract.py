@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -52,13 +54,11 @@ HOLDERS = frozenset("article body div main section td".split())
 #: An open p ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?:" + "|".join(RAW) + r")(?:\s[^>]*)?/>(?=(?:[^<]|<(?!/?(?:" + "|".join(RAW) + r")\b))*(?:<(?:" + "|".join(RAW) + r")\b|\Z))"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: What may begin a tag, and the two raw elements' ends; each is tried at one place and never looks back.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+RAW_TAG = re.compile(r"<(/?)(?:" + "|".join(RAW) + r")\b", re.I)
+RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -67,15 +67,17 @@ class Line(NamedTuple):
     """A line, or (text None) the end of an element that may be left out."""
 
     text: str | None
-    declared: int  # how many elements of within are open around the outermost article or main, -1 outside of any
+    declared: int  # the innermost element that may be left out around the outermost article or main; NONE outside of any
     links: bool  # mostly links
-    within: tuple[int, ...]  # the elements that may be left out around it
+    within: int  # the innermost element that may be left out around it, or TOP
     block: int = 0  # the element that holds the line, and the container around that, by the order in which they begin
     around: int = 0
     kind: str = "p"  # of the block
 
 
-BLANK = Line("", -1, False, ())
+#: No declared article; no element that may be left out.
+NONE, TOP = -2, -1
+BLANK = Line("", NONE, False, TOP)
 
 
 def names(found: dict[str, str], words: frozenset[str]) -> set[str]:
@@ -107,150 +109,247 @@ def is_out(name: str, attributes: str) -> int:
     return HOLDER if words & NEVER_TEXT else WRAPPER if words or found.get("role", "").lower() in ROLES else IN
 
 
-def lines_of(page: str) -> list[Line]:
-    """The lines of a page, blank ones where an element was left out."""
-    lines: list[Line] = []
-    parts: list[str] = []
-    links = 0  # characters of parts in links
-    open_: list[str] = []
-    begun: list[int] = []  # the numbers of the open elements
-    count = 0
-    out_at = -1  # how many elements are open around the outermost one that is left out
-    inside: list[int] = []  # the same of the articles that are open
-    declared = -1
-    within: tuple[int, ...] = ()
-    media: list[tuple[int, int, list[str], int]] = []  # the same of open MEDIA, and lines, parts and links before
-    maybe: list[int] = []  # the same of the elements of within
-    grades: list[int] = []  # of all elements that may be left out
-
-    def flush() -> None:
-        nonlocal links
-        text = " ".join("".join(parts).split())
+class Tags:
+    """The end of a tag that begins at a place, in time that adds up to the page's length over all of them.
+
+    A tag ends at the first > outside of quotes; one whose quotes run to the end of the page without any is no tag, and
+    the places behind its quoted values are remembered, so that no later tag walks the same way.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set[int]()
+        self.quick, self.spots, self.same = True, list[int](), list[int]()
+
+    def end(self, at: int) -> int:
+        if self.quick:
+            if m := ATTRIBUTES.match(self.page, at):
+                return m.end()
+            self.quick = False
+            self.spots = [m.start() for m in re.finditer("[\"'>]", self.page)]
+            self.same, last = [-1] * len(self.spots), {}  # the next of the same kind
+            for k in range(len(self.spots) - 1, -1, -1):
+                c = self.page[self.spots[k]]
+                self.same[k], last[c] = last.get(c, -1), k
+        k, seen = bisect_left(self.spots, at), []
+        while k < len(self.spots):
+            if self.page[self.spots[k]] == ">":
+                return self.spots[k] + 1
+            k = self.same[k] + 1
+            if not k or k in self.dead:
+                break
+            seen.append(k)
+        self.dead.update(seen)
+        return -1
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """The page in its order: texts as ("", text, "", False), tags as (name, "", attributes, is an end tag); comments are left out, raw elements are ("script", "", "", False)."""
+    last = at = 0
+    tags, ended = Tags(page), page.rfind(">")  # behind the last > nothing is a tag
+    while (at := page.find("<", at)) >= 0:
+        begin, name, attributes, closing = at, "", "", False
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark, skip = ("-->", 4) if page[at + 2] == "-" else ("]]>", 9)
+            end = page.find(mark, at + skip)
+            at = len(page) if end < 0 else end + 3
+        elif page[at + 1 : at + 2] in ("!", "?") and at + 1 < len(page):
+            end = page.find(">", at)
+            at = len(page) if end < 0 else end + 1
+        else:
+            m = TAG.match(page, at) if at < ended else None
+            end = -1
+            if m:
+                closing, name = m[1] == "/", page[m.start(2) : min(m.end(2), m.start(2) + 64)].lower()
+                if name in RAW and not closing:
+                    end = page.find(">", m.end()) + 1
+                    behind = None
+                    if page[end - 2] == "/":  # closed in itself, unless the next raw tag is an end
+                        behind = RAW_TAG.search(page, end)
+                    if page[end - 2] != "/" or (behind and behind[1]):
+                        close = RAW_END[name].search(page, end)
+                        end = close.end() if close else len(page)
+                    else:
+                        name = ""
+                else:
+                    end = tags.end(m.end())
+                    attributes = page[m.end() : max(end - 1, m.end())]
+            if end < 0:
+                at += 1
+                continue
+            at = end
+        if begin > last:
+            yield "", page[last:begin], "", False
+        last = at
+        if name:
+            yield name, "", attributes, closing
+    if last < len(page):
+        yield "", page[last:], "", False
+
+
+class Page:
+    """A page as it is walked: the open elements, with the places of some kinds among them, and the lines so far."""
+
+    def __init__(self) -> None:
+        self.lines: list[Line] = []
+        self.parts: list[str] = []
+        self.links = 0  # characters of parts in links
+        self.open: list[str] = []
+        self.begun: list[int] = []  # the numbers of the open elements
+        self.opened: dict[str, int] = defaultdict(int)
+        self.blocks: list[int] = []  # places of open elements that aren't inline
+        self.holders: list[int] = []
+        self.lists: list[int] = []
+        self.count = 0
+        self.out_at = -1  # how many elements are open around the outermost one that is left out
+        self.inside: list[int] = []  # the same of the articles that are open
+        self.declared = NONE
+        self.media: list[tuple[int, int, list[str], int, int]] = []  # the same of open MEDIA, and lines, parts and links before
+        self.maybe: list[int] = []  # the same of the elements that may be left out
+        self.within = TOP
+        self.grades: list[int] = []  # of all elements that may be left out
+        self.parents: list[int] = []
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.parts).split())
         if text:
-            at = len(open_) - 1
-            while at >= 0 and open_[at] in INLINE:
-                at -= 1
-            up = at - 1
-            while up >= 0 and open_[up] not in HOLDERS:
-                up -= 1
-            around = 0 if up < 0 or open_[up] == "body" else begun[up]
-            lines.append(Line(text, declared, 2 * links > len(text), within, begun[at] if at >= 0 else 0, around, open_[at] if at >= 0 else "body"))
-        parts.clear()
-        links = 0
-
-    def add(text: str) -> None:
-        nonlocal links
-        parts.append(html.unescape(text))
-        if "a" in open_:
-            links += len(parts[-1].strip())
-
-    def close(to: int, ended: bool = False) -> None:
-        nonlocal out_at, declared, within, links
-        if maybe and maybe[-1] >= to:
-            flush()
-        del open_[to:], begun[to:]
-        if 0 <= to <= out_at:
-            out_at = -1
-            lines.extend([BLANK] * WINDOW)
-        while maybe and maybe[-1] >= to:
-            maybe.pop()
-            lines.extend([Line(None, -1, False, within)] * WINDOW)
-            within = within[:-1]
-        while inside and inside[-1] >= to:
-            inside.pop()
-        declared = declared if inside else -1
-        while media and media[-1][0] >= to:
-            at, n, before, linked = media.pop()
+            at = self.blocks[-1] if self.blocks else -1
+            up = -1
+            if self.holders:
+                up = self.holders[-1] if self.holders[-1] != at else self.holders[-2] if len(self.holders) > 1 else -1
+            around = 0 if up < 0 or self.open[up] == "body" else self.begun[up]
+            self.lines.append(Line(text, self.declared, 2 * self.links > len(text), self.within, self.begun[at] if at >= 0 else 0, around, self.open[at] if at >= 0 else "body"))
+        self.parts, self.links = [], 0
+
+    def add(self, text: str) -> None:
+        if self.out_at < 0:
+            self.parts.append(html.unescape(text))
+            if self.opened["a"]:
+                self.links += len(self.parts[-1].strip())
+
+    def close(self, to: int, ended: bool = False) -> None:
+        if self.maybe and self.maybe[-1] >= to:
+            self.flush()
+        for name in self.open[to:]:
+            self.opened[name] -= 1
+        del self.open[to:], self.begun[to:]
+        for places in (self.blocks, self.holders, self.lists, self.inside):
+            while places and places[-1] >= to:
+                places.pop()
+        if 0 <= to <= self.out_at:
+            self.out_at = -1
+            self.lines.extend([BLANK] * WINDOW)
+        while self.maybe and self.maybe[-1] >= to:
+            self.maybe.pop()
+            self.lines.extend([Line(None, NONE, False, self.within)] * WINDOW)
+            self.within = self.parents[self.within]
+        if not self.inside:
+            self.declared = NONE
+        while self.media and self.media[-1][0] >= to:
+            at, n, before, length, linked = self.media.pop()
             if ended and at == to:
-                del lines[n:]
-                parts[:] = [*before, " "]
-                links = linked
-
-    last = 0
-    for m in TOKEN.finditer(page):
-        if out_at < 0 and m.start() > last:
-            add(page[last : m.start()])
-        last = m.end()
-        name = m["name"]
-        if name is None:
-            if m["raw"] and out_at < 0 and m["raw"].lower() not in INLINE:
-                parts.append(" ")
+                del self.lines[n:]
+                self.parts, self.links = [*before[:length], " "], linked
+
+    def begin(self, name: str, attributes: str) -> None:
+        if self.open and self.open[-1] == "head" and name not in IN_HEAD:
+            self.close(len(self.open) - 1)
+        if name in ENDS_P and self.blocks and self.open[self.blocks[-1]] == "p":
+            self.close(self.blocks[-1])
+        elif name == "li" and self.lists and self.open[self.lists[-1]] == "li":
+            self.close(self.lists[-1])
+        grade = is_out(name, attributes) if self.out_at < 0 and name not in MEDIA else IN
+        if grade:
+            self.flush()
+        at = len(self.open)
+        if grade == OUTSIDE:
+            self.out_at = at
+        elif grade:
+            self.maybe.append(at)
+            self.parents.append(self.within)
+            self.within = len(self.grades)
+            self.grades.append(grade)
+        elif self.out_at < 0 and name in ("article", "main"):
+            self.declared = self.within if not self.inside else self.declared
+            self.inside.append(at)
+        if self.out_at < 0 and name in MEDIA:
+            self.media.append((at, len(self.lines), self.parts, len(self.parts), self.links))
+        if attributes.endswith("/"):
+            self.close(at)
+            return
+        self.count += 1
+        self.open.append(name)
+        self.opened[name] += 1
+        self.begun.append(0 if name == "body" else self.count)
+        if name not in INLINE:
+            self.blocks.append(at)
+        if name in HOLDERS:
+            self.holders.append(at)
+        if name in ("li", "ul", "ol"):
+            self.lists.append(at)
+
+    def end(self, name: str) -> None:
+        if self.opened[name]:
+            at = len(self.open) - 1
+            while self.open[at] != name:
+                at -= 1
+            self.close(at, True)
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page, blank ones where an element was left out."""
+    walk = Page()
+    for name, text, attributes, closing in pieces(page):
+        if not name:
+            walk.add(text)
             continue
-        name = name.lower()
-        if out_at < 0 and name in MEDIA:
-            parts.append(" ")
-        elif out_at < 0 and name not in INLINE:
-            flush()
-        if m["end"]:
-            for at in range(len(open_) - 1, -1, -1):
-                if open_[at] == name:
-                    close(at, True)
-                    break
+        if walk.out_at < 0:
+            if name in MEDIA or (name in RAW and not closing):
+                walk.parts.append(" ")
+            elif name not in INLINE:
+                walk.flush()
+        if name in RAW and not closing:
+            continue
+        if closing:
+            walk.end(name)
         elif name not in VOID:
-            if open_ and open_[-1] == "head" and name not in IN_HEAD:
-                close(len(open_) - 1)
-            if name in ENDS_P and "p" in open_ and not set(open_[len(open_) - open_[::-1].index("p") :]) - INLINE:
-                close(len(open_) - 1 - open_[::-1].index("p"))
-            elif name == "li" and "li" in open_ and not {"ul", "ol"} & set(open_[len(open_) - open_[::-1].index("li") :]):
-                close(len(open_) - 1 - open_[::-1].index("li"))
-            grade = is_out(name, m["attributes"]) if out_at < 0 and name not in MEDIA else IN
-            if grade:
-                flush()
-            if grade == OUTSIDE:
-                out_at = len(open_)
-            elif grade:
-                maybe.append(len(open_))
-                within += (len(grades),)
-                grades.append(grade)
-            elif out_at < 0 and name in ("article", "main"):
-                inside.append(len(open_))
-                declared = len(within) if declared < 0 else declared
-            if out_at < 0 and name in MEDIA:
-                media.append((len(open_), len(lines), parts.copy(), links))
-            if not m["attributes"].endswith("/"):
-                count += 1
-                open_.append(name)
-                begun.append(0 if name == "body" else count)
-            else:
-                close(len(open_))
-    if out_at < 0:
-        add(page[last:])
-        flush()
-    return left(lines, grades) if grades else lines
-
-
-def left(lines: list[Line], grades: list[int]) -> list[Line]:
+            walk.begin(name, attributes)
+    walk.flush()
+    return left(walk.lines, walk.grades, walk.parents) if walk.grades else walk.lines
+
+
+def left(lines: list[Line], grades: list[int], parents: list[int]) -> list[Line]:
     """The lines without the elements that may be left out.
 
     One stays if it is around at least half of the text of declared articles, or (a WRAPPER) has most of the page's text
-    that isn't links while nothing is declared outside of it.
+    that isn't links while nothing is declared outside of it. Elements' sums are those of their lines and of the elements
+    in them, which begin after them.
     """
-    text, around, inner = ([0] * len(grades) for _ in range(3))
+    text, around, inner = ([0] * (len(grades) + 1) for _ in range(3))  # the last place is that of TOP
     all_text = all_declared = own = 0
     for line in lines:
         if line.text:
             n = 0 if line.links else len(line.text)
             all_text += n
-            for k, e in enumerate(line.within):
-                text[e] += n
-                if line.declared >= 0:
-                    inner[e] += len(line.text)
-                    around[e] += len(line.text) if k < line.declared else 0
-            if line.declared >= 0:
+            text[line.within] += n
+            if line.declared != NONE:
                 all_declared += len(line.text)
-                own += len(line.text) if len(line.within) == line.declared else 0  # not in an element within the article
-    dropped = set()
+                inner[line.within] += len(line.text)
+                around[line.declared] += len(line.text)
+                own += len(line.text) if line.within == line.declared else 0  # not in an element within the article
+    for e in range(len(grades) - 1, -1, -1):
+        for sums in (text, around, inner):
+            if parents[e] != TOP:
+                sums[parents[e]] += sums[e]
+    gone = [False] * (len(grades) + 1)
     for e, grade in enumerate(grades):
         most_declared = around[e] and 2 * around[e] >= own
         most_text = grade == WRAPPER and 2 * text[e] > all_text and inner[e] == all_declared
-        if not most_declared and not most_text:
-            dropped.add(e)
+        gone[e] = gone[parents[e]] or not (most_declared or most_text)
     out = []
     for line in lines:
-        gone = not dropped.isdisjoint(line.within)
         if line.text is None:
-            out.extend([BLANK] * gone)
-        elif not gone:
+            out.extend([BLANK] * gone[line.within])
+        elif not gone[line.within]:
             out.append(line)
     return out
 
@@ -300,14 +399,14 @@ def longest_run(lengths: list[int]) -> list[int]:
 def kept(lines: list[Line]) -> list[str]:
     """The texts between surge and dive points and in their containers, or all of the declared element if it holds at least half of those between."""
     lengths = [0 if line.links else len(line.text) for line in lines]
-    inside = [i for i, line in enumerate(lines) if line.text and line.declared >= 0]
+    inside = [i for i, line in enumerate(lines) if line.text and line.declared != NONE]
     found = between(lengths)
     if found:
-        agrees = 2 * sum(lengths[i] for i in found if lines[i].declared >= 0) >= sum(lengths[i] for i in found)
+        agrees = 2 * sum(lengths[i] for i in found if lines[i].declared != NONE) >= sum(lengths[i] for i in found)
         found = found if inside and agrees else sorted({*found, *containers(lines, found)})
     else:  # no surge: the longest run of lines
         found = longest_run(lengths)
-        agrees = sum(len(lines[i].text) for i in inside) >= sum(lengths[i] for i in found if lines[i].declared < 0)
+        agrees = sum(len(lines[i].text) for i in inside) >= sum(lengths[i] for i in found if lines[i].declared == NONE)
     return [lines[i].text for i in (inside if inside and agrees else found)]
 
 
@@ -321,8 +420,10 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 def extract(pages: DataFrame) -> DataFrame:
     """A row for each page (page_id, url, html): its main text and the code points in it.
 
-    A null or empty page, or one without text, has the text "" and length 0. Null ids and urls stay null, repeated rows
-    give repeated rows, an empty table gives none; other columns are not read.
+    A null or empty page, or one without text, has the text "" and length 0. White space is what Unicode calls so (a
+    no-break space as well) and the four ASCII separators. A page is walked once, forwards: megabytes of broken markup
+    take seconds. Null ids and urls stay null, repeated rows give repeated rows, an empty table gives none; other columns
+    are not read.
     """
     arrow_batches(pages.sparkSession)
 

@@ -1,7 +1,7 @@
 """Text quality by nearest-neighbour voting in a latent-semantic space.
 
 A text's terms are its byte trigrams and, for each word, its shape and whether it repeats the word before it (capitals
-aside), all hashed to a fixed number of columns. A singular value decomposition of the weighted term counts of a bounded sample of
+aside), all hashed to a fixed number of columns. Shapes and repeats are there for junk: symbols behind words, stuttering. A singular value decomposition of the weighted term counts of a bounded sample of
 labelled texts gives the space. The sample's vectors are broadcast (their number is a parameter, so is their size);
 every document's exact cosine to all of them is a blocked matrix product, and its nearest neighbours vote with weights
 that rise with the cosine.
@@ -92,10 +92,12 @@ class Model:
         v = unit(found @ self.space)
         out = np.zeros(len(v))
         for at in range(0, len(v), BLOCK):
-            cosines = v[at : at + BLOCK] @ self.vectors.T
-            k = min(NEIGHBOURS, cosines.shape[1])
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weights = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS
+            cosines = np.maximum(v[at : at + BLOCK] @ self.vectors.T, np.float32(0))
+            n = cosines.shape[1]
+            k, shift = min(NEIGHBOURS, n), n.bit_length()
+            order = (np.ascontiguousarray(cosines, np.float32).view(np.int32).astype(np.int64) << shift) - np.arange(n)  # no two alike: of equal cosines the first
+            near = np.argpartition(-order, k - 1, axis=1)[:, :k]
+            weights = np.take_along_axis(cosines, near, 1).astype(np.float64) ** SHARPNESS
             total = weights.sum(1)
             out[at : at + BLOCK] = np.divide((weights * self.labels[near]).sum(1), total, out=np.zeros(len(total)), where=total > 0)
         return np.clip(out, 0, 1)
@@ -120,7 +122,8 @@ def sampled(labels: DataFrame, label: str, sample: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> Model:
     """The model of a bounded sample of labelled texts, with both labels in equal parts where there are enough of each.
 
-    Only the sample's term counts come to the driver: sample rows of COLUMNS half-precision numbers (9 MB by default).
+    Only the sample's term counts come to the driver: at most sample rows of COLUMNS half-precision numbers (9 MB by
+    default). Of rows that repeat a doc_id one is taken, by its terms.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     chosen = F.broadcast(sampled(labels, label, sample))  # at most sample rows
     texts = docs.select("doc_id", whole_text().cast("binary").alias("text")).join(chosen, "doc_id").select(F.col("doc_id").cast("long"), "label", "text")
-    got = texts.mapInArrow(run, "doc_id long, label int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    found = texts.mapInArrow(run, "doc_id long, label int, terms binary").groupBy("doc_id", "label").agg(F.min("terms").alias("terms"))
+    got = found.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     y = got.column("label").to_numpy().astype(np.float64)
     if not len(y):
         return Model(np.zeros((COLUMNS, dimensions), np.float32), np.zeros((0, dimensions), np.float32), y)
@@ -151,7 +155,7 @@ def scored(docs: DataFrame, model: Model) -> Column:
         out = [sent.value.scores(np.stack([terms(t) for t in texts.iloc[at : at + BLOCK]])) for at in range(0, len(texts), BLOCK)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    arrow_batches(docs.sparkSession, 2 * BLOCK)
+    arrow_batches(docs.sparkSession)
     return score(whole_text().cast("binary"))
 
 
@@ -159,8 +163,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     """A row for each document (doc_id, text): doc_id, held_out, score (0 to 1), predicted (score >= GOOD).
 
     Rows whose crc32 of doc_id is divisible by 5 are held out of the sample; so are labels that are null or not 0 or 1.
-    Null texts count as empty; an empty text has score 0, and without any labelled row all have. A null doc_id isn't held
-    out. Repeated rows give repeated rows; an empty table gives none; of documents only doc_id and text are read.
+    Null texts count as empty; an empty text has score 0, and without any labelled row all have. Of neighbours that are
+    equally near, those with the smaller doc_id vote. A null doc_id isn't held out. Repeated rows give repeated rows; a
+    long text is one row's work; an empty table gives none; of documents only doc_id and text are read.
     """
     score = scored(docs, fit(docs, labels, label, sample))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= GOOD, 1).otherwise(0))

@@ -48,3 +48,18 @@ def test_parts_may_be_empty(spark):
     for old, new in ((docs, cases.empty(spark)), (cases.empty(spark), docs)):
         assert exact_dedup.exact_groups(old, new).count() == n
     assert exact_dedup.exact_groups(cases.empty(spark), cases.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [256, 8])
+def test_a_kept_snapshot_takes_many_batches(spark, tmp_path, bits):
+    old = cases.documents(80, seed=2)
+    exact_dedup.build_snapshot(cases.frame(spark, old), str(tmp_path / "kept"), bits)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "kept").rglob("*")}
+    for seed in (2, 3):
+        new = [(1000 + i, *r[1:]) for i, r in enumerate(cases.documents(40, seed=seed))] + [(2000, "only here", *[None] * 7)]
+        kept = exact_dedup.open_snapshot(spark, str(tmp_path / "kept"))
+        got = exact_dedup.groups_with(kept, cases.frame(spark, new)).collect()
+        want, groups = expected(old + new)
+        assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=repr) == want
+        assert sum(r.kept for r in got) == groups
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "kept").rglob("*")}

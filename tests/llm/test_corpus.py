@@ -63,12 +63,13 @@ def test_raking_meets_the_targets_and_both_ways_agree(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.randint(1, 2000)), rng.choice(["en", "de", "fr", None]), rng.choice("abcd"), *[None] * 5) for i in range(400)]
     docs = cases.frame(spark, rows)
-    here = {(r.source, r.lang, r.topic): r for r in mixing.calibrated(mixing.described(docs), budget=0.3).collect()}
-    there = {(r.source, r.lang, r.topic): r for r in mixing.calibrated(mixing.described(docs), budget=0.3, cells_on_driver=0).collect()}
+    rows = mixing.described(docs, (F.col("doc_id") % 7).cast("string"))
+    here = {(r.source, r.lang, r.topic): r for r in mixing.calibrated(rows, budget=0.3).collect()}
+    there = {(r.source, r.lang, r.topic): r for r in mixing.calibrated(rows, budget=0.3, cells_on_driver=0).collect()}
     assert here.keys() == there.keys()
     for k in here:
         assert here[k].weight == pytest.approx(there[k].weight, rel=1e-9) and here[k].probability == pytest.approx(there[k].probability, rel=1e-9)
-    cells = mixing.described(docs).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
     tokens = {(r.source, r.lang, r.topic): r.tokens for r in cells.collect()}
     for at, name in enumerate(mixing.DIMENSIONS):
         want = {r["value"]: r.share for r in mixing.default_targets(cells)[name].collect()}
@@ -125,6 +126,7 @@ def test_the_mix_of_a_whole_table(spark):
 
 def test_mixing_odd_rows(spark):
     docs = cases.frame(spark)
+    docs = docs.withColumn("a.b", F.lit(1)).withColumn("topic", F.lit("x")).withColumn("tokens", F.lit(0))
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count() and all(0 <= r.probability <= 1 for r in got)
     drawn = defaultdict(set)

@@ -104,3 +104,52 @@ def font_weight(family: Column, weight: Column) -> Column:
     """A numeric weight: as given, else by the words in the family's or the weight's name."""
     name = F.lower(F.concat_ws(" ", family, weight))
     return F.coalesce(weight.try_cast("double"), F.when(name.rlike("bold|black|heavy"), 600.0).when(name.rlike("light|thin"), 200.0).otherwise(400.0))
+
+
+def word_boundary(character: Column) -> Column:
+    """Whether a character ends a word: no letter, digit, hyphen or underscore."""
+    return ~character.rlike(r"^[\p{L}\p{N}_-]")
+
+
+def trailing_number(text: Column) -> Column:
+    """The amount or number that a text ends with; null without one."""
+    found = F.regexp_extract(text, r"\$?(\d*(\d\.?|\.\d{1,2}))$", 0)
+    return F.when(found != "", found)
+
+
+def replaced(text: Column, parts: list[str], by: str = "") -> Column:
+    """A text with every one of the parts replaced, one after the other."""
+    for part in parts:
+        text = F.replace(text, F.lit(part), F.lit(by))
+    return text
+
+
+def short_words(words: Column) -> Column:
+    """Whether an array's words, without white space, have less than three characters on average; false for none."""
+    lengths = F.transform(words, lambda w: F.length(F.regexp_replace(w, r"(?U)\s+", "")))
+    total = F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
+    return F.when(F.size(words) > 0, F.floor(total / F.greatest(F.size(words), F.lit(1))) <= 2).otherwise(False)
+
+
+def same_words(a: Column, b: Column, share: float = 0.8) -> Column:
+    """Whether two arrays have at least the share of the longer one's words in common, as often as both have them; letters and digits only."""
+    bare = lambda words: F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^a-zA-Z0-9]", "")), lambda w: w != "")
+    x, y = bare(a), bare(b)
+    times = lambda words, w: F.size(F.filter(words, lambda o: o == w))
+    both = F.aggregate(F.transform(F.array_distinct(x), lambda w: F.least(times(x, w), times(y, w))), F.lit(0), lambda s, n: s + n)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.size(x) == F.size(y)).otherwise(both / F.greatest(F.size(x), F.size(y), F.lit(1)) >= share)
+
+
+def spaced_capitals(text: Column) -> Column:
+    """A space between a letter that isn't a capital and a capital behind it."""
+    return F.regexp_replace(text, r"(?<=[\p{L}&&[^\p{Lu}]])(?=\p{Lu})", " ")
+
+
+def index_prefixes(index: Column) -> Column:
+    """The prefixes of a multi-level index, the shortest first."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(index), F.lit(1))), lambda n: F.slice(index, F.lit(1), n))
+
+
+def chunk_of(place: Column, size: int) -> Column:
+    """The number of the chunk of so many rows that a place (from 0) falls into."""
+    return F.floor(place / size)

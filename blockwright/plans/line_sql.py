@@ -6,7 +6,7 @@ Each function gives common table expressions to build a query on.
 from __future__ import annotations
 
 from ..functions import lexicon
-from ..operators.features import DATE, RANGE, VALUE
+from ..functions.words import DATE, RANGE, VALUE
 
 
 def quoted(text: str) -> str:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import unicodedata
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,9 +55,31 @@ def by_document(report: DataFrame) -> DataFrame:
     return report.groupBy("vec_id").agg(F.max("is_duplicated").alias("is_duplicated"), F.max("ignore_all_after").alias("ignore_all_after"))
 
 
+@cache
+def _accents() -> tuple[str, str]:
+    """Letters of all scripts that Unicode makes of a letter and marks, and the letters without them."""
+    letters, bare = [], []
+    for point in range(0xC0, 0x2000):
+        c = chr(point)
+        apart = unicodedata.normalize("NFD", c)
+        if len(apart) > 1 and unicodedata.category(apart[0])[0] == "L" and all(unicodedata.combining(m) for m in apart[1:]):
+            letters.append(c)
+            bare.append(apart[0])
+    return "".join(letters), "".join(bare)
+
+
+def write_dictionary(phrases: DataFrame, path: str) -> None:
+    """A dictionary's phrases (phrase_id, phrase) as lines of JSON."""
+    phrases.select("phrase_id", "phrase").write.mode("overwrite").json(path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("phrase_id long, phrase string").json(path)
+
+
 def phrase_token(t: Column) -> Column:
     """A token as the dictionary knows it: accents off; plain Title-case words in lower case, others as they are."""
-    plain = F.regexp_replace(F.translate(t, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"), "ß", "ss")
+    plain = F.regexp_replace(F.translate(t, *_accents()), "ß", "ss")
     return F.when(plain.rlike("[^0-9a-zA-Z]") | (plain.rlike("[0-9]") & plain.rlike("[a-zA-Z]")), plain).when(plain.rlike("^[A-Z][a-z]*$"), F.lower(plain)).otherwise(plain)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import structure_queries, text_queries
+from . import geometry_queries, structure_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | structure_queries.QUERIES
-ORACLES: dict[str, str] = text_queries.ORACLES | structure_queries.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | structure_queries.QUERIES | geometry_queries.QUERIES
+ORACLES: dict[str, str] = text_queries.ORACLES | structure_queries.ORACLES | geometry_queries.ORACLES

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks, render
 from . import html, markdown, xml
+from .binary import extracted
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
@@ -28,12 +29,20 @@ def _markdown(docs: DataFrame) -> DataFrame:
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"text/plain": text_blocks, "text/html": _html, "text/markdown": _markdown, "text/x-markdown": _markdown, "text/xml": xml.xml_blocks, "application/xml": xml.xml_blocks}
 
 
+# Types by the endings of names; other names are plain text.
+MIMES = {"md": "text/markdown", "markdown": "text/markdown", "xml": "text/xml", "htm": "text/html", "html": "text/html", "xhtml": "text/html", "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword"}
+
+
+def mime_of(name: str) -> str:
+    return MIMES.get(name.rsplit(".", 1)[-1].lower() if "." in name else "", "text/plain")
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files as documents: doc_id (the path), mime (by its ending) and text."""
+    """Files as documents: doc_id (the path), mime (by its ending) and text; files that aren't texts by the extraction service."""
     files = spark.read.format("binaryFile").load(path)
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    mime = F.when(ending.isin("md", "markdown"), "text/markdown").when(ending == "xml", "text/xml").when(ending.isin("htm", "html", "xhtml"), "text/html").otherwise("text/plain")
-    return files.select(F.col("path").alias("doc_id"), mime.alias("mime"), F.decode("content", "UTF-8").alias("text"))
+    known = F.create_map(*(F.lit(x) for pair in MIMES.items() for x in pair))
+    return extracted(files.select(F.col("path").alias("doc_id"), F.coalesce(F.try_element_at(known, ending), F.lit("text/plain")).alias("mime"), "content"))
 
 
 def parse(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import re
+import zipfile
+from collections.abc import Iterator, Sequence
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +21,50 @@ def read_rows(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.csv(path, header=True, **options).na.fill("N/A")
 
 
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of each XLSX file, with the names in its first row; all columns are strings, empty cells N/A.
+
+    Files are read by Spark and opened in workers, one at a time; their sheets must have the same names.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+    names = sheet_rows(bytes(files.first()["content"]))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                body = [[*row, *[""] * len(names)][: len(names)] for row in sheet_rows(content)[1:]]
+                columns = list(zip(*body, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array([v or "N/A" for v in c], pa.string()) for c in columns], names=names)
+
+    return files.mapInArrow(run, ", ".join(f"`{n}` string" for n in names))
+
+
+# Namespaces of workbooks.
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(content: bytes) -> list[list[str]]:
+    """The cells of a workbook's first sheet as texts, by their places; cells that aren't there are empty."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        inside = book.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in inside:
+            shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+        sheet = ElementTree.fromstring(book.read(min((n for n in inside if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))))
+    rows = []
+    for row in sheet.iter(f"{_MAIN}row"):
+        cells: dict[int, str] = {}
+        for cell in row.iter(f"{_MAIN}c"):
+            column = 0
+            for letter in re.match("[A-Z]*", cell.get("r", ""))[0]:
+                column = column * 26 + ord(letter) - 64
+            value = cell.find(f"{_MAIN}v")
+            text = value.text or "" if value is not None else "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+            cells[column - 1 if column else len(cells)] = shared[int(text)] if cell.get("t") == "s" else text
+        rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
+    return rows
+
+
 def row_documents(rows: DataFrame, key: str, title_range: Sequence[int] = (1, 2), columns: Sequence[str] | None = None) -> DataFrame:
     """key, block_idx, block_type, block_text, level and header_text of each row: title (level 0, of the columns in the 1-based range), column headers (1), values (2).
 

@@ -43,6 +43,7 @@ def stem(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words without punctuation, numbers with units, numbers, shares and amounts; ['unknown'] if none is left."""
+    # Characters that count as spaces and those that go, and numbers with units.
     low = F.translate(F.translate(F.lower(F.coalesce(text, F.lit(""))), "-/", "  "), "�\\(*,.?•➢ƒ–)'\"—", "")
     words = F.split(stem(F.regexp_replace(low, "[0-9]+[a-zA-Z’]+", "")), r"\s+")
     kept = F.filter(words, lambda w: (w != "") & ~w.rlike(r"^\p{Nd}+$") & ~w.endswith("%") & ~w.startswith("$") & ~w.endswith("$"))

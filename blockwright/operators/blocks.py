@@ -69,22 +69,25 @@ def titles(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), length: int = 5
     return first.select(*keys, F.when(F.length("t") > length, F.concat(F.substring("t", 1, length), F.lit("..."))).otherwise(F.col("t")).alias("title"))
 
 
-def level_chain(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), levels: int = 8) -> DataFrame:
+def level_chain(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), levels: Sequence[int] | None = None) -> DataFrame:
     """Blocks (keys, block_idx, block_type, block_text, level) with level_chain: the headers above, nearest first, without the block itself.
 
-    For each level below `levels`, the last header of that level counts if it is also the last of that or any smaller
-    level. Conditional running maxima; no stack.
+    For each level, the last header of that level counts if it is also the last of that or any smaller level.
+    Conditional running maxima; no stack. The levels are those that headers have, found by an aggregation unless given.
     """
     w = Window.partitionBy(*keys).orderBy("block_idx")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_header = F.col("block_type") == "header"
+    if levels is None:  # a row a level
+        levels = sorted(r["level"] for r in blocks.filter(is_header & F.col("level").isNotNull()).select("level").distinct().collect())
     out = blocks
-    for k in range(levels):
+    for k in levels:
         out = out.withColumn(f"__at{k}", F.last(F.when(is_header & (F.col("level") == k), F.struct("block_idx", "block_text")), ignorenulls=True).over(so_far))
         out = out.withColumn(f"__to{k}", F.max(F.when(is_header & (F.col("level") <= k), F.col("block_idx"))).over(so_far))
-    found = [F.when(F.col(f"__at{k}.block_idx") == F.col(f"__to{k}"), F.col(f"__at{k}")) for k in reversed(range(levels))]
-    chain = F.filter(F.array(*found), lambda x: x.isNotNull() & ~(is_header & (x["block_idx"] == F.col("block_idx"))))
-    return out.withColumn("level_chain", chain).drop(*(f"__{n}{k}" for n in ("at", "to") for k in range(levels)))
+    found = [F.when(F.col(f"__at{k}.block_idx") == F.col(f"__to{k}"), F.col(f"__at{k}")) for k in reversed(levels)]
+    none = F.filter(F.array(F.struct("block_idx", "block_text")), lambda x: F.lit(False))
+    chain = F.filter(F.array(*found), lambda x: x.isNotNull() & ~(is_header & (x["block_idx"] == F.col("block_idx")))) if found else none
+    return out.withColumn("level_chain", chain).drop(*(f"__{n}{k}" for n in ("at", "to") for k in levels))
 
 
 def page_blocks(blocks: DataFrame, types: Sequence[str] = ("list_item", "para", "numbered_list_item", "header")) -> DataFrame:

@@ -8,13 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import centered
+from ..functions.stacks import levels
 from ..functions.strings import UPPER
 from .features import numbering
 
-#: A look's fields, the weightier first.
-LOOK = "struct<size:double,weight:double,caps:int,kind:int,list:string>"
-
-
 def list_kind(text: Column) -> Column:
     """roman, letter, integer, dot or bullet of a list item's marker; empty without one."""
     token = F.element_at(F.split(F.concat(F.trim(text), F.lit(" ")), r"\s+"), 1)
@@ -22,28 +19,6 @@ def list_kind(text: Column) -> Column:
     return F.when(n["roman"], "roman").when(n["letter"], "letter").when(n["integer"], "integer").when(n["dot"], "dot").when(~token.rlike(r"^[\p{L}\p{N}(\"“'‘$]"), "bullet").otherwise("")
 
 
-def _rank(look: Column) -> Column:
-    """Looks by weight: headers over others, then size, weight, capitals."""
-    return F.struct(look["kind"], look["size"], look["weight"], look["caps"])
-
-
-def levels(looks: Column) -> Column:
-    """The level of each look in an array: a fold with a stack.
-
-    A look that is on the stack closes what is above it and has its level. Otherwise what it outranks, or equals in rank
-    with another list marker of no more weight, is closed, and it goes on top.
-    """
-    start = F.struct(F.array().cast(f"array<{LOOK}>").alias("stack"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        at = F.array_position(s["stack"], x).cast("int")
-        greater = F.filter(s["stack"], lambda e: (_rank(e) > _rank(x)) | ((_rank(e) == _rank(x)) & (e["list"] != x["list"])))
-        kept = F.when(at > 0, F.slice(s["stack"], F.lit(1), at - 1)).otherwise(greater)
-        return F.struct(F.concat(kept, F.array(x)).alias("stack"), F.concat(s["out"], F.array(F.size(kept))).alias("out"))
-
-    return F.aggregate(looks, start, step, lambda s: s["out"])
-
-
 def indent_levels(blocks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Blocks (block_idx, block_type, block_text, font_size, font_weight) with level and is_centered.
 
@@ -62,7 +37,7 @@ def indent_levels(blocks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataF
     )
     rows = blocks.withColumn("__look", look)
     by_doc = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block_idx", F.col("__look").alias("look")))).alias("x"))
-    found = by_doc.select(*keys, F.explode(F.arrays_zip(F.col("x.block_idx").alias("block_idx"), levels(F.col("x.look")).alias("level"))).alias("z")).select(*keys, "z.block_idx", "z.level")
+    found = by_doc.withColumn("level", levels(F.col("x.look"))).select(*keys, F.explode(F.arrays_zip(F.col("x.block_idx").alias("block_idx"), F.col("level"))).alias("z")).select(*keys, "z.block_idx", "z.level")
     page = F.col("page_width") if "page_width" in blocks.columns else F.lit(None).cast("double")
     middle = F.coalesce(centered(F.col("box.left"), F.col("box.width"), page, 0.015), F.lit(False)) if "box" in blocks.columns else F.lit(False)
     return rows.drop("__look", *(["level"] if "level" in blocks.columns else [])).join(found, [*keys, "block_idx"]).withColumn("is_centered", middle)

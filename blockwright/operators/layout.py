@@ -133,8 +133,10 @@ def layout_blocks(lines: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFr
     """Blocks of positioned lines: keys, page_idx, block_idx, block_type, block_text, box and the style of the first line.
 
     A row of cells is a table row. Other rows join the one above unless the style changes, the space above is more than
-    1.2 times the usual one of the style, or the line begins a list, a numbered item or follows a header.
+    1.2 times the usual one of the style, or the line begins a list, a numbered item or follows a header. Lines are dealt
+    by document once; all windows and groupings stand on that.
     """
+    lines = lines.repartition(*keys)
     kept = rows_and_cells(without_margins(lines, keys), keys)
     row = [*keys, "page_idx", "row_idx"]
     parts = F.sort_array(F.collect_list(F.struct("line_no", "text", "left")))

@@ -109,6 +109,7 @@ def _css() -> str:
     rules = "".join(
         f".{name} {{\nfont-family: {s[0]};font-style: {s[1]};font-size: {s[2] * SCALE}px;font-weight: {s[3]};margin-left: {level * 20}px;text-transform: {s[4]};text-align: {s[5]}\n}}\n" for level, (name, s) in enumerate(STYLES.items())
     )
+    # Fixed value: the style sheet's rules for tables, lists and headers.
     return f"<style>\n{rules}table {{border-collapse: collapse; margin-top: 10px}}table, th, td {{border: 1px solid lightgray;padding: 5px;}}th {{background: #337ab773}}li {{padding-left: 30px; list-style: none; margin-top: 10px}}li::first-letter {{color: #5656a3}}h4 {{color: #337ab7}}.{FULL_ROW} {{background: #dfe5e7; font-weight: 600; color: #5656a3}}</style>"
 
 

@@ -99,29 +99,64 @@ def index_choice(rows: DataFrame, key: str = "table_id", names: DataFrame | None
 
 
 def table_records(rows: DataFrame, key: str = "table_id") -> DataFrame:
-    """Search records of each table: key, type (row, col, index), idx, index_text and text; three groupings of the same cells."""
-    names = column_names(rows, key)
-    choice = index_choice(rows, key, names)
+    """Search records of each table: key, type (row, col, index), idx, index_text and text.
+
+    One shuffle: the rows' groups are a window and the tables a grouping by the same key; names, index and records are
+    columns over a table's rows, as a table is what a record is about.
+    """
     order = Window.partitionBy(key).orderBy("row_idx")
-    body_rows = rows.filter("not is_header").withColumn("group", F.last(F.when(F.col("is_row_group"), F.trim(F.array_join("cell_values", " "))), ignorenulls=True).over(order)).filter("not is_row_group")
-    grouped = body_rows.groupBy(key).agg(F.size(F.collect_set(F.coalesce("group", F.lit("_UNKNOWN_INDEX_")))).alias("groups"))
-    body_rows = body_rows.join(grouped, key).withColumn("idx", F.row_number().over(order) - 1).withColumn("group", F.when(F.col("groups") > 1, F.coalesce("group", F.lit("_UNKNOWN_INDEX_"))))
-    width = names.groupBy(key).agg(F.max("col_idx").alias("last"))
-    cells = body_rows.select(key, "idx", "group", F.posexplode("cell_values").alias("col_idx", "raw")).withColumn("value", F.trim("raw"))
-    cells = cells.join(choice, key).join(width, key).join(names, [key, "col_idx"])
-    is_index = F.col("index_col").isNotNull() & (F.col("col_idx") == F.when(F.col("index_col") == -1, F.col("last")).otherwise(F.col("index_col")))
-    cells = cells.withColumn("is_index", is_index)
+    group = F.last(F.when(~F.col("is_header") & F.col("is_row_group"), F.trim(F.array_join("cell_values", " "))), ignorenulls=True).over(order)
+    one = F.struct("row_idx", "is_header", "is_row_group", "cell_values", "col_spans", group.alias("group"))
+    made = rows.select(key, one.alias("r")).groupBy(key).agg(F.sort_array(F.collect_list("r")).alias("t"))
+    spread = lambda r: F.flatten(F.zip_with(r["cell_values"], F.coalesce(r["col_spans"], F.transform(r["cell_values"], lambda _: F.lit(1))), lambda v, n: F.array_repeat(v, n)))
+    made = made.withColumn("heads", F.transform(F.filter("t", lambda r: r["is_header"]), spread)).withColumn("body", F.filter("t", lambda r: ~r["is_header"] & ~r["is_row_group"]))
+    made = made.withColumn("width", F.coalesce(F.array_max(F.transform("body", lambda r: F.size(r["cell_values"]))), F.lit(0))).filter("width > 0")
+    places = F.sequence(F.lit(0), F.col("width") - 1)
+    made = made.withColumn("named", F.transform(places, lambda c: F.trim(F.array_join(F.transform("heads", lambda h: F.trim(F.get(h, c))), " "))))
+    unknown = lambda c: F.size(F.filter(F.slice("named", F.lit(1), c + 1), lambda n: n == "")) - 1
+    made = made.withColumn("names", F.transform("named", lambda n, c: F.when(n == "", F.concat(F.lit("_UNKNOWN_COLUMN_"), unknown(c).cast("string"), F.lit("_"))).otherwise(n)))
+    made = made.withColumn("at", _index_place(F.col("body"), F.col("names"), F.col("width")))
+
     said = lambda c: F.trim(F.replace(c, F.lit(":"), F.lit("")))
     known = lambda c: c.isNotNull() & ~c.startswith("_UNKNOWN")
-    in_order = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("col_idx", "value")))), lambda x: x["value"])
-    per_row = cells.groupBy(key, "idx", "group").agg(F.max(F.when(F.col("is_index"), F.col("value"))).alias("own"), in_order(~F.col("is_index")).alias("values"))
-    parts = F.filter(F.array(F.when(known(F.col("group")), said(F.col("group"))), F.when(known(F.col("own")), said(F.col("own")))), lambda x: x.isNotNull())
-    row = per_row.select(key, F.lit("row").alias("type"), "idx", F.array_join(parts, " ").alias("index_text"), F.array_join(F.concat(parts, "values"), " ").alias("text"))
-    by_col = cells.filter("not is_index").groupBy(key, "col_idx", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("values"))
-    heading = F.when(known(F.col("name")), said(F.col("name"))).otherwise("")
-    col = by_col.select(key, F.lit("col").alias("type"), (F.row_number().over(Window.partitionBy(key).orderBy("col_idx")) - 1).alias("idx"), heading.alias("index_text"), F.trim(F.concat_ws(" ", heading, F.array_join("values", " "))).alias("text"))
-    index = cells.filter(F.col("is_index") & known(F.col("name"))).select(key, F.lit("index").alias("type"), F.lit(0).alias("idx"), F.col("name").alias("index_text"), F.col("name").alias("text")).distinct()
-    return row.unionByName(col).unionByName(index)
+    grouped = F.size(F.array_distinct(F.transform("body", lambda r: F.coalesce(r["group"], F.lit("_UNKNOWN_INDEX_"))))) > 1
+    made = made.withColumn("grouped", grouped)
+
+    def row_record(r: Column, i: Column) -> Column:
+        cells = F.filter(F.transform(r["cell_values"], lambda v, c: F.struct(c.alias("c"), F.trim(v).alias("v"))), lambda x: F.col("at").isNull() | (x["c"] != F.col("at")))
+        own = F.when(F.col("at").isNotNull(), F.trim(F.get(r["cell_values"], F.col("at"))))
+        parts = F.filter(F.array(F.when(F.col("grouped") & known(r["group"]), said(r["group"])), F.when(known(own), said(own))), lambda x: x.isNotNull())
+        return _record("row", i, F.array_join(parts, " "), F.array_join(F.concat(parts, F.transform(cells, lambda x: x["v"])), " "))
+
+    def column_record(c: Column, i: Column) -> Column:
+        name = F.get("names", c)
+        heading = F.when(known(name), said(name)).otherwise("")
+        return _record("col", i, heading, F.trim(F.concat_ws(" ", heading, F.array_join(F.transform("body", lambda r: F.trim(F.get(r["cell_values"], c))), " "))))
+
+    others = F.filter(places, lambda c: F.col("at").isNull() | (c != F.col("at")))
+    name = F.get("names", F.col("at"))
+    index = F.when(F.col("at").isNotNull() & known(name), F.array(_record("index", F.lit(0), name, name))).otherwise(F.array().cast("array<struct<type:string,idx:int,index_text:string,text:string>>"))
+    records = F.concat(F.transform("body", row_record), F.transform(others, column_record), index)
+    return made.select(key, F.explode(records).alias("r")).select(key, "r.type", "r.idx", "r.index_text", "r.text")
+
+
+def _record(kind: str, i: Column, index_text: Column, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("type"), i.cast("int").alias("idx"), index_text.alias("index_text"), text.alias("text"))
+
+
+def _index_place(body: Column, names: Column, width: Column) -> Column:
+    """The place of the index column among the cells of a table's rows, as index_choice() has it; null for none."""
+    number = lambda c: F.regexp_replace(F.regexp_replace(c, "N/A", ""), r"[$€,%()/]", "").try_cast("double")
+    first = F.filter(F.transform(body, lambda r: number(F.get(r["cell_values"], F.lit(0)))), lambda x: x.isNotNull())
+    last = F.filter(F.transform(body, lambda r: F.when(F.size(r["cell_values"]) == width, number(F.element_at(r["cell_values"], -1)))), lambda x: x.isNotNull())
+    unnamed = F.get(names, F.lit(0)).contains("_UNKNOWN_") & F.element_at(names, -1).contains("_UNKNOWN_")
+    possible = (F.size(first) == 0) | F.forall(first, lambda x: x.between(1900, 2500))
+    return (
+        F.when(width < 2, F.lit(None).cast("int"))
+        .when(possible & (unnamed | ((F.size(first) == 0) & (F.size(last) > 0))), 0)
+        .when(unnamed | ((F.size(last) == 0) & (F.size(first) > 0)), width - 1)
+        .when(possible, 0)
+    )
 
 
 def column_spans(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:

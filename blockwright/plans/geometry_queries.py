@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from ..operators import blocks, geometry, lines, spacing, tables
+from ..operators import geometry, lines, pages, spacing, tables
 from ..operators.features import with_features
 from . import line_sql
 from .structure_queries import _ITEMS, _items
@@ -346,3 +346,69 @@ def index_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = items.select(F.col("l_orderkey").alias("table_id")).distinct().select("table_id", F.lit(0).alias("row_idx"), F.lit(True).alias("is_header"), F.array(F.lit("First"), F.lit("Second"), F.lit("Third")).alias("cell_values"))
     made = head.unionByName(body).withColumn("is_row_group", F.lit(False)).withColumn("col_spans", F.lit(None).cast("array<int>"))
     return tables.index_choice(made)
+
+
+# ---- pages ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH {_LINES}, ig AS (SELECT doc_id, page_idx, line_no, floor((line_no - 1) / 3) * 12 AS t, ((line_no - 1) % 3 * 100)::DOUBLE + l AS a, ((line_no - 1) % 3 * 100)::DOUBLE + l + 70 AS z, text, tabs = 1 AND line_no % 4 > 0 AS ig, line_no % 9 = 0 AS mark FROM st),"
+    " nb AS (SELECT *, max(line_no) FILTER (NOT ig) OVER (PARTITION BY doc_id, page_idx ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_kept, lag(t) OVER w AS pt, lag(z) OVER w AS pz FROM ig WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY line_no)),"
+    " ad AS (SELECT n.*, coalesce(n.ig AND NOT n.mark AND abs(n.t - k.t) <= 10 AND abs(k.z - n.a) <= 20, false) AS f, coalesce(n.ig AND NOT n.mark AND abs(n.t - n.pt) <= 10 AND abs(n.pz - n.a) <= 20, false) AS x FROM nb n LEFT JOIN ig k ON k.doc_id = n.doc_id AND k.page_idx = n.page_idx AND k.line_no = n.last_kept),"
+    " ru AS (SELECT *, max(line_no) FILTER (f) OVER u AS b, coalesce(max(line_no) FILTER (NOT f AND NOT x) OVER u, 0) AS e FROM ad WINDOW u AS (PARTITION BY doc_id, page_idx ORDER BY line_no ROWS UNBOUNDED PRECEDING)) SELECT doc_id, page_idx, line_no, ig AND NOT (f OR (x AND coalesce(b > e, false))) AS ignored FROM ru"
+)
+def retained_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lines to a row; some are ignored, and some of these are a mark alone."""
+    n = F.col("line_no") - 1
+    left = n % 3 * 100.0 + F.col("left")
+    made = spacing.line_steps(_lines(spark, sf_dir)).select("doc_id", "page_idx", "line_no", (F.floor(n / 3) * 12.0).alias("top"), left.alias("left"), (left + 70).alias("right"), F.lit(10.0).alias("height"), F.when(F.col("line_no") % 9 == 0, "-").otherwise(F.col("text")).alias("text"), ((F.col("tabs") == 1) & (F.col("line_no") % 4 > 0)).alias("ignored"))
+    return pages.retained(made).select("doc_id", "page_idx", "line_no", "ignored")
+
+
+_FRAMES = "fr AS (SELECT l_orderkey % 400 AS doc_id, (l_partkey % 500)::DOUBLE AS t, (l_partkey % 500)::DOUBLE + 40 AS b, (l_suppkey % 60)::DOUBLE AS a, (l_suppkey % 60)::DOUBLE + 30 AS z FROM lineitem WHERE l_linenumber = 1)"
+
+
+@query(f"WITH {_PLACED}, {_FRAMES} SELECT doc_id, block_idx FROM b SEMI JOIN fr ON b.doc_id = fr.doc_id AND b.top BETWEEN fr.t - 9 AND fr.b + 9 AND b.l BETWEEN fr.a AND fr.z")
+def blocks_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top, left = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 60).cast("double")
+    box = F.struct(left.alias("left"), top.alias("top"), (left + 30).alias("right"), (top + 40).alias("bottom"))
+    boxes = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 400).alias("doc_id"), F.lit(0).alias("page_idx"), box.alias("box"))
+    return pages.in_boxes(_placed(spark, sf_dir).withColumn("height", F.lit(9.0)), boxes).select("doc_id", "block_idx")
+
+
+@query(
+    f"WITH {_PLACED}, {_FRAMES}, sf AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t, a, b, z) AS stray_idx FROM fr), m AS (SELECT *, lag(top) OVER (PARTITION BY doc_id ORDER BY block_idx) AS p FROM b)"
+    " SELECT s.doc_id, s.stray_idx, min(m.block_idx) FILTER ((m.top >= s.t AND (m.p IS NULL OR s.t > m.p) AND NOT (abs(m.top - s.t) < 0.1 AND m.l < s.a)) OR (m.top < s.t AND m.l > s.z AND s.b <= m.top + 50) OR (abs(m.top - s.t) < 0.1 AND m.l >= s.a)) AS before FROM sf s LEFT JOIN m ON m.doc_id = s.doc_id GROUP BY s.doc_id, s.stray_idx"
+)
+def placed_strays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top, left = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 60).cast("double")
+    stray = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 400).alias("doc_id"), F.lit(0).alias("page_idx"), top.alias("top"), left.alias("left"), (left + 30).alias("right"), (top + 40).alias("bottom"))
+    stray = stray.withColumn("stray_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("top", "left", "bottom", "right")).cast("long"))
+    main = _placed(spark, sf_dir).withColumn("bottom", F.col("top") + 50)
+    return pages.placed(main, stray).select("doc_id", "stray_idx", "before")
+
+
+@query(
+    f"WITH {line_sql.lines()}, w AS (SELECT doc_id, n // 20 AS page, unnest(regexp_split_to_array(lower(regexp_replace(line, '([a-zäöüßàâçéèêëîïôùûñáíóú])([A-ZÄÖÜÀÂÇÉÈÊËÎÏÔÙÛÑÁÍÓÚ])', '\\1 \\2', 'g')), '\\s+')) AS word FROM lines) SELECT doc_id, word, max(page)::INTEGER AS page_idx FROM w WHERE word <> '' GROUP BY doc_id, word"
+)
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty lines to a page."""
+    made = lines.split_lines(table(spark, sf_dir, "documents")).select("doc_id", F.floor(F.col("line_no") / 20).cast("int").alias("page_idx"), F.col("line").alias("text"))
+    return pages.page_words(made).select("doc_id", "word", "page_idx")
+
+
+@query(
+    f"WITH {_LINES}, p AS (SELECT doc_id, page_idx, line_no, size, [l, l + 10, l + 20 + line_no % 3, l + 30] AS ss, [l + 8 + size, l + 21 + line_no % 5, l + 28, l + 90] AS es, CASE WHEN parts = 2 THEN 1 ELSE 0 END AS sp FROM st),"
+    " k AS (SELECT *, sp + list_sum(list_transform(ss, lambda s: len(list_filter(es, lambda e: abs(s + size - e) < 1.5)))) AS n FROM p) SELECT doc_id, page_idx, line_no, n >= 2 AND 4 // greatest(n::INTEGER, 1) <= 2 AS split FROM k"
+)
+def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, n, size = F.col("left"), F.col("line_no"), F.col("font_size")
+    starts, ends = F.array(left, left + 10, left + 20 + n % 3, left + 30), F.array(left + 8 + size, left + 21 + n % 5, left + 28, left + 90)
+    texts = F.array(F.lit("a"), F.lit("b"), F.when(F.size("texts") == 2, " c").otherwise("c"), F.lit("d"))
+    return _lines(spark, sf_dir).select("doc_id", "page_idx", "line_no", pages.split_words(texts, starts, ends, size).alias("split"))
+
+
+@query(f"WITH {_PLACED} SELECT doc_id, block_idx AS part_idx, round_even(top / 4, 0) AS row_top, row_number() OVER (PARTITION BY doc_id, round_even(top / 4, 0) ORDER BY block_idx) - 1 AS place FROM b")
+def parts_by_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _placed(spark, sf_dir).select("doc_id", "page_idx", F.col("block_idx").alias("part_idx"), (F.col("top") / 4).alias("top"))
+    return pages.tops(made).select("doc_id", "part_idx", "row_top", "place")

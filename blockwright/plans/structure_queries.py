@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scalars, strings
+from ..functions import lexicon, scalars, strings
 from ..functions.sentences import sentences as split
 from ..operators import blocks, indent, layout, lines, matching, merging, render, tables
 from ..sources import html, markdown, rows, xml
@@ -50,7 +50,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def level_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     leveled = _blocks(spark, sf_dir).withColumn("level", F.col("block_idx") % 3)
-    chained = blocks.level_chain(leveled, levels=3)
+    chained = blocks.level_chain(leveled)
     return chained.select("doc_id", "block_idx", F.array_join(F.transform("level_chain", lambda x: x["block_idx"].cast("string")), ",").alias("chain"))
 
 
@@ -165,9 +165,18 @@ def table_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table_islands(_blocks(spark, sf_dir)).select("doc_id", "block_idx", "block_type", "table_idx")
 
 
-@query()
+@query(
+    f"WITH {line_sql.lines()}, w AS (SELECT doc_id, n, list_transform(list_filter(string_split(replace(line, ' $ ', ' $'), ' '), lambda x: x <> ''), lambda x: {{'w': x, 'cells': []::VARCHAR[], 'buffer': '', 'before': ''}}) AS ws FROM lines),"
+    " s AS (SELECT doc_id, n, list_reduce(ws, lambda s, x: (list_transform([{'s': s, 'x': x, 'back': x.w = 'of' AND len(s.cells) > 0 AND s.before <> 'str',"
+    " 'kind': CASE WHEN regexp_matches(x.w, '^[-($%]*\\d[\\d.,]*[$%)]*$') THEN 'num' WHEN lower(x.w) IN ('yes', 'no') THEN 'yes_no' WHEN regexp_matches(x.w, '^-+\\$*$') THEN '-' WHEN x.w IN ('NA', 'N/A') THEN 'na' WHEN x.w LIKE '%:' THEN ':' ELSE 'str' END}], lambda v:"
+    " (list_transform([{'v': v, 'cells': CASE WHEN v.back THEN v.s.cells[:-2] ELSE v.s.cells END, 'buffer': CASE WHEN v.back THEN v.s.buffer || v.s.cells[-1] ELSE v.s.buffer END, 'alone': v.kind IN ('num', 'yes_no', '-', 'na'), 'was': v.s.before = 'str'}], lambda y:"
+    " {'w': y.v.x.w, 'cells': CASE WHEN y.alone THEN list_append(CASE WHEN y.was THEN list_append(y.cells, trim(y.buffer)) ELSE y.cells END, y.v.x.w) WHEN y.v.kind = ':' AND y.was THEN list_append(y.cells, trim(y.buffer) || ' ' || y.v.x.w) WHEN y.v.kind = ':' THEN list_append(y.cells, trim(y.buffer)) ELSE y.cells END,"
+    " 'buffer': CASE WHEN y.alone AND NOT y.was THEN y.buffer WHEN y.alone OR y.v.kind = ':' THEN '' ELSE y.buffer || ' ' || y.v.x.w END, 'before': CASE WHEN y.v.kind = ':' THEN y.v.s.before ELSE y.v.kind END}))[1]))[1], {'w': '', 'cells': []::VARCHAR[], 'buffer': '', 'before': ''}) AS s FROM w)"
+    " SELECT doc_id, n::INTEGER AS line_no, array_to_string(CASE WHEN s.buffer <> '' THEN list_append(s.cells, trim(s.buffer)) ELSE s.cells END, '|') AS cells FROM s"
+)
 def row_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocks(spark, sf_dir).filter("block_type = 'table_row'").select("doc_id", "block_idx", tables.row_cells(F.col("block_text")).alias("cells"))
+    """The cells of every line, as if it were a table row."""
+    return lines.split_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.array_join(tables.row_cells(F.col("line")), "|").alias("cells"))
 
 
 _ITEMS = "it AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate)::INTEGER AS n FROM lineitem)"
@@ -196,11 +205,6 @@ def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table_records(_order_tables(spark, sf_dir)).select("table_id", "type", F.col("idx").cast("long"), "index_text", "text")
 
 
-@query("SELECT DISTINCT l_orderkey AS table_id, 0 AS index_col FROM lineitem")
-def table_index_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.index_choice(_order_tables(spark, sf_dir))
-
-
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = (F.col("l_partkey") * 7 % 500).cast("double")
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row_idx"), left.alias("left"), (left + F.col("l_quantity").cast("double") * 3).alias("right"), F.col("l_linenumber").cast("string").alias("text"))
@@ -241,14 +245,28 @@ def similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.check_duplicates(vectors, settings).withColumn("score", F.round("score", 5))
 
 
-@query()
+_STOP = line_sql.listed(lexicon.STOP_WORDS)
+_CONTENT = f"list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '' AND lower(x[1]) || x[2:] NOT IN {_STOP})"
+_BARE = "replace(strip_accents(x), 'ß', 'ss')"
+_TOKEN = f"lambda x: CASE WHEN regexp_matches({_BARE}, '[^0-9a-zA-Z]') OR (regexp_matches({_BARE}, '[0-9]') AND regexp_matches({_BARE}, '[a-zA-Z]')) THEN {_BARE} WHEN regexp_matches({_BARE}, '^[A-Z][a-z]*$') THEN lower({_BARE}) ELSE {_BARE} END"
+
+
+@query(
+    f"WITH RECURSIVE bt AS (SELECT item_id, {_CONTENT} AS t FROM benchmark), ev AS (SELECT DISTINCT item_id, unnest(list_concat([t], list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: t[i:i + 4]))) AS p FROM bt WHERE len(t) > 0),"
+    f" pt AS (SELECT item_id, list_transform(p, {_TOKEN}) AS tokens FROM ev), di AS (SELECT tokens, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS meta FROM pt WHERE len(tokens) > 1 OR length(regexp_replace(tokens[1], '[^0-9a-zA-Z]', '', 'g')) > 1 GROUP BY tokens),"
+    f" rw AS (SELECT doc_id, {_CONTENT} AS raw FROM documents), dt AS (SELECT doc_id, raw, list_transform(raw, {_TOKEN}) AS t FROM rw), po AS (SELECT doc_id, unnest(t) AS head, unnest(range(1, len(t) + 1)) AS i FROM dt), he AS (SELECT DISTINCT tokens[1] AS head FROM di), st AS (SELECT po.* FROM po SEMI JOIN he USING (head)),"
+    " hi AS (SELECT st.doc_id, st.i, len(di.tokens) AS n, array_to_string(dt.raw[st.i:st.i + len(di.tokens) - 1], ' ') AS result, di.meta FROM st JOIN dt USING (doc_id) JOIN di ON di.tokens[1] = st.head AND dt.t[st.i:st.i + len(di.tokens) - 1] = di.tokens QUALIFY row_number() OVER (PARTITION BY st.doc_id, st.i ORDER BY len(di.tokens) DESC) = 1),"
+    " nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hi), go AS (SELECT doc_id, k, i + n AS free, true AS taken FROM nu WHERE k = 1 UNION ALL SELECT nu.doc_id, nu.k, CASE WHEN nu.i >= go.free THEN nu.i + nu.n ELSE go.free END, nu.i >= go.free FROM go JOIN nu ON nu.doc_id = go.doc_id AND nu.k = go.k + 1)"
+    ' SELECT nu.doc_id, (nu.i - 1)::INTEGER AS "start", nu.result, nu.meta FROM nu JOIN go ON go.doc_id = nu.doc_id AND go.k = nu.k WHERE taken'
+)
 def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The content words of each benchmark passage, whole and each five in a row, as phrases in all documents."""
     passages = table(spark, sf_dir, "benchmark").select("item_id", matching.content_tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
     fives = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 4, F.lit(1))), lambda i: F.slice("t", i, F.lit(5)))
     every = passages.select("item_id", F.explode(F.array_distinct(F.concat(F.array("t"), fives))).alias("t"))
     phrases = every.select(F.col("item_id").alias("phrase_id"), F.array_join("t", " ").alias("phrase"))
-    return matching.dictionary_hits(table(spark, sf_dir, "documents"), phrases)
+    found = matching.dictionary_hits(table(spark, sf_dir, "documents"), phrases)
+    return found.withColumn("meta", F.array_join(F.sort_array(F.transform("meta", lambda i: i.cast("string"))), ","))
 
 
 @query(
@@ -308,9 +326,31 @@ def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.headers_and_footers(_layout(spark, sf_dir))
 
 
-@query()
+_LAYOUT_ROWS = (
+    _LAYOUT + ", z AS (SELECT doc_id, page_idx, line_no, CASE WHEN top < 144 THEN 'header' WHEN top > 720 THEN 'footer' END AS zone, trim(regexp_replace(CASE WHEN regexp_matches(text, '^\\s*([ivxlcIVXLC]+|\\d+)\\s*$') THEN '' ELSE text END, '(?i)\\b(page)\\s+\\d+(\\s+of\\s+\\d+)?', '\\1', 'g')) AS key_text, top::INTEGER AS top, l::INTEGER AS l FROM layout),"
+    " k AS (SELECT * FROM z WHERE zone IS NOT NULL), q AS (SELECT DISTINCT doc_id, zone, key_text, top, l FROM k),"
+    " g AS (SELECT q.doc_id, q.zone, q.key_text, q.top, q.l, count(DISTINCT k.page_idx) AS n_pages, min(k.page_idx) AS first_page, max(k.page_idx) AS last_page FROM q JOIN k ON k.doc_id = q.doc_id AND k.zone = q.zone AND k.key_text = q.key_text AND abs(k.top - q.top) < 20 AND abs(k.l - q.l) < 20 GROUP BY ALL),"
+    " t AS (SELECT doc_id, count(DISTINCT page_idx) AS pages FROM layout GROUP BY doc_id), hf AS (SELECT g.* FROM g JOIN t USING (doc_id) WHERE n_pages > 1 AND (last_page - first_page) / (n_pages - 1) <= 2 AND (n_pages > pages * 0.5 OR n_pages > 5 OR (key_text = '' AND n_pages > pages * 0.2))),"
+    " gone AS (SELECT doc_id, page_idx, line_no FROM k WHERE key_text = '' OR EXISTS (SELECT 1 FROM hf WHERE hf.doc_id = k.doc_id AND hf.zone = k.zone AND hf.key_text = k.key_text AND hf.top = k.top AND hf.l = k.l)),"
+    " body2 AS (SELECT layout.* FROM layout ANTI JOIN gone USING (doc_id, page_idx, line_no)), seen AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY line_no) - 1 AS n FROM body2), kept_rows AS (SELECT doc_id, page_idx, n, text AS line FROM seen),"
+    " ss AS (SELECT *, lag(top) OVER w AS pt, lag(height) OVER w AS ph, lag(weight) OVER w AS pw FROM layout WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY line_no)),"
+    " sp AS (SELECT doc_id, height, weight, round(top - pt - ph, 2) AS space, count(*) AS c FROM ss WHERE pt IS NOT NULL AND ph = height AND pw = weight AND NOT abs(top - pt) < ph / 4 AND top - pt - ph > 0 GROUP BY ALL), md AS (SELECT doc_id, height, weight, arg_max(space, (c, -space)) AS modal FROM sp GROUP BY ALL), "
+)
+_LAYOUT_BLOCKS = (
+    _LAYOUT_ROWS + line_sql.features("doc_id, page_idx", "kept_rows")
+    + ", j AS (SELECT typed.doc_id, typed.page_idx, typed.n, typed.line, typed.line_type, ends_with_period, incomplete_line, numbered_line, top, l, width, height, weight, modal FROM typed JOIN seen USING (doc_id, page_idx, n) LEFT JOIN md USING (doc_id, height, weight)),"
+    " e AS (SELECT *, lag(page_idx) OVER w AS ppage, lag(top + height) OVER w AS pbottom, lag(line_type) OVER w AS ptype, lag(ends_with_period) OVER w AS pend, lag(incomplete_line) OVER w AS pinc, lag(height) OVER w AS ph, lag(weight) OVER w AS pw FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY page_idx, n)),"
+    " nb AS (SELECT *, ppage IS NULL OR ph <> height OR pw <> weight OR (ppage = page_idx AND top - pbottom > coalesce(modal, 0) * 1.2 + 0.5) OR line_type = 'list_item' OR numbered_line OR (ptype = 'header' AND NOT pinc) OR (ppage <> page_idx AND pend) AS new FROM e),"
+    " ib AS (SELECT *, (sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_idx, n ROWS UNBOUNDED PRECEDING) - 1)::INTEGER AS block_idx FROM nb),"
+    " lb AS (SELECT doc_id, block_idx, arg_min(page_idx, (page_idx, n)) AS page_idx, arg_min(line_type, (page_idx, n)) AS t, count(*) AS c, replace(string_agg(line, ' ' ORDER BY page_idx, n), '- ', '-') AS block_text, min(top) AS top, min(l) AS begins, max(l + width) - min(l) AS width, max(top + height) - min(top) AS height, arg_min(height, (page_idx, n)) AS font_size, arg_min(weight, (page_idx, n)) AS font_weight FROM ib GROUP BY doc_id, block_idx),"
+    " laid AS (SELECT doc_id, page_idx, block_idx, CASE WHEN t = 'table_row' THEN 'para' WHEN c > 1 AND t <> 'list_item' THEN 'para' ELSE t END AS block_type, block_text, top, begins, width, height, font_size, font_weight FROM lb)"
+)
+
+
+@query(f"{_LAYOUT_BLOCKS} SELECT * FROM laid")
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.layout_blocks(_layout(spark, sf_dir))
+    made = layout.layout_blocks(_layout(spark, sf_dir))
+    return made.select("doc_id", "page_idx", "block_idx", "block_type", "block_text", "box.top", F.col("box.left").alias("begins"), "box.width", "box.height", "font_size", "font_weight")
 
 
 def _scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +366,15 @@ def reading_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_runs(_scattered(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+@query(
+    f"WITH {_ITEMS}, b AS (SELECT l_orderkey AS doc_id, n AS block_idx, (l_partkey % 700)::DOUBLE AS top, (l_suppkey % 300)::DOUBLE AS l, (l_suppkey % 300)::DOUBLE + 200 AS r FROM it), m AS (SELECT *, lag(top) OVER (PARTITION BY doc_id ORDER BY block_idx) AS p FROM b),"
+    " x AS (SELECT *, sum(CASE WHEN top < p - 15 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_idx) AS run FROM m), g AS (SELECT doc_id, run, count(*) AS n, min(l) AS l, max(r) AS r FROM x GROUP BY doc_id, run), h AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id) AS ratio FROM g),"
+    " k AS (SELECT *, max(r) OVER (PARTITION BY doc_id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h WHERE ratio >= 0.2), c AS (SELECT *, sum(CASE WHEN reach IS NULL OR l >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS col FROM k),"
+    " cs AS (SELECT doc_id, col, min(l) AS f, max(r) AS t FROM c GROUP BY doc_id, col), pg AS (SELECT doc_id, count(*) AS runs, max(l) AS pl, min(r) AS pr FROM g GROUP BY doc_id), nc AS (SELECT doc_id, count(*) AS cols FROM cs GROUP BY doc_id),"
+    " o AS (SELECT x.*, runs, pl, pr, coalesce(cols, 0) AS cols, (SELECT arg_max(col, (least(x.r, cs.t) - greatest(x.l, cs.f), -col)) FROM cs WHERE cs.doc_id = x.doc_id) AS best FROM x JOIN pg USING (doc_id) LEFT JOIN nc USING (doc_id)),"
+    " z AS (SELECT *, cols > 1 AND runs > 1 AS side, NOT (cols > 1 AND runs > 1) AND runs = 2 AND pl < pr AS merges FROM o)"
+    " SELECT doc_id, 0 AS page_idx, block_idx, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN side THEN best ELSE 0 END, CASE WHEN side OR merges THEN floor(top / 15) ELSE 0 END, CASE WHEN side OR merges THEN l ELSE 0 END, block_idx) - 1 AS order FROM z".replace(" AS order FROM", ' AS "order" FROM')
+)
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_order(_scattered(spark, sf_dir)).select("doc_id", "page_idx", "block_idx", "order")
 
@@ -350,13 +398,28 @@ def organised_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.organise(layout.font_headers(made, layout.style_stats(lines_)))
 
 
-@query()
+_NUMBERED = line_sql.quoted(merging.NUMBERED)
+
+
+@query(
+    f"{_LAYOUT_BLOCKS}, h AS (SELECT doc_id, block_idx, block_text, font_size, font_weight, begins, width, regexp_matches(block_text, {_NUMBERED}) AS m, trim(regexp_extract(block_text, {_NUMBERED}, 1)) AS p1, trim(regexp_extract(block_text, {_NUMBERED}, 2)) AS p2, trim(regexp_extract(block_text, {_NUMBERED}, 3)) AS p3 FROM laid WHERE block_type = 'header'),"
+    f" hc AS (SELECT *, CASE WHEN m THEN p1 ELSE 'no_prefix' END AS prefix, CASE WHEN m THEN p2 END AS number_part, CASE WHEN NOT m THEN regexp_matches(block_text, {line_sql.UPPER}) WHEN p3 <> '' THEN regexp_matches(p3, {line_sql.UPPER}) ELSE regexp_matches(p1, {line_sql.UPPER}) END AS caps, abs(begins + width / 2 - 300) < 6 AND width * 2 < 600 AS mid FROM h),"
+    " hl AS (SELECT *, CASE WHEN mid THEN 0.0 ELSE begins END AS l0 FROM hc WHERE prefix <> ''), ct AS (SELECT doc_id, prefix, mid, caps, font_size, font_weight, l0, count(*) AS n FROM hl GROUP BY ALL),"
+    " cm AS (SELECT doc_id, prefix, arg_max({'mid': mid, 'caps': caps, 's': font_size, 'w': font_weight, 'l': l0}, (n, font_size, font_weight, -l0, mid, caps)) AS x FROM ct WHERE prefix <> 'no_prefix' GROUP BY doc_id, prefix),"
+    " sy AS (SELECT doc_id, prefix, x.mid AS mid, x.caps AS caps, x.s AS font_size, x.w AS font_weight, x.l AS l0 FROM cm UNION ALL SELECT doc_id, prefix, mid, caps, font_size, font_weight, l0 FROM ct WHERE prefix = 'no_prefix'), pf AS (SELECT *, CASE WHEN prefix = 'no_prefix' THEN '' ELSE prefix END AS p FROM sy),"
+    " rk AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY (mid AND caps AND p <> '') DESC, font_size DESC, font_weight DESC, p <> '' DESC, regexp_matches(p, '^\\p{Lu}') DESC, caps DESC, mid, l0) - 1 AS level FROM pf)"
+    " SELECT hl.doc_id, hl.block_idx, hl.prefix, hl.number_part, rk.level::INTEGER AS level FROM hl JOIN rk ON rk.doc_id = hl.doc_id AND rk.prefix = hl.prefix AND (hl.prefix <> 'no_prefix' OR (rk.mid = hl.mid AND rk.caps = hl.caps AND rk.font_size = hl.font_size AND rk.font_weight = hl.font_weight AND rk.l0 = hl.l0))"
+)
 def header_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = layout.layout_blocks(_layout(spark, sf_dir)).withColumn("page_width", F.lit(600.0))
     return merging.numbered_levels(made).select("doc_id", "block_idx", "prefix", "number_part", "level")
 
 
-@query()
+@query(
+    f"{_LAYOUT}, r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY height DESC) AS rank FROM layout WHERE page_idx < 2 AND top < 400 AND length(trim(text)) > 2), k AS (SELECT * FROM r WHERE rank <= 2),"
+    " n AS (SELECT *, CASE WHEN line_no - lag(line_no) OVER w > 1 OR page_idx <> lag(page_idx) OVER w THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY doc_id, rank ORDER BY page_idx, line_no)), u AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, rank ORDER BY page_idx, line_no ROWS UNBOUNDED PRECEDING) AS run FROM n),"
+    " t AS (SELECT doc_id, rank, string_agg(text, ' ' ORDER BY page_idx, line_no) AS t FROM u WHERE run = 0 GROUP BY doc_id, rank) SELECT doc_id, max(t) FILTER (rank = 1) AS title, max(t) FILTER (rank = 2) AS subtitle FROM t GROUP BY doc_id"
+)
 def layout_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.titles(_layout(spark, sf_dir))
 
@@ -382,12 +445,20 @@ def indent_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indent.indent_levels(made).select("doc_id", "block_idx", "block_type", "level")
 
 
-@query()
+@query(
+    f"WITH {_ITEMS}, i AS (SELECT l_orderkey AS doc_id, n AS row_idx, unnest(['part ' || l_partkey, l_quantity::BIGINT::VARCHAR, l_shipdate::VARCHAR]) AS text, unnest([0, 1, 2]) AS c FROM it UNION ALL SELECT DISTINCT l_orderkey, 0, unnest(['Quantity', 'Shipped:']), unnest([1, 2]) FROM it),"
+    " b AS (SELECT doc_id, row_idx, text, c * 150.0 + length(text) % 3 AS l, c * 150.0 + 60 + length(text) * 2 AS r FROM i), pr AS (SELECT doc_id, row_idx, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) AS k FROM b GROUP BY doc_id, row_idx), mo AS (SELECT doc_id, max(n) FILTER (k <= 5) AS most FROM pr GROUP BY doc_id),"
+    " hd AS (SELECT doc_id, min(row_idx) AS head, arg_min(n, row_idx) AS n_head FROM pr JOIN mo USING (doc_id) WHERE n >= most - 1 GROUP BY doc_id), sp AS (SELECT b.doc_id, row_number() OVER w - 1 AS s, coalesce((lag(r) OVER w + l) / 2, '-inf'::DOUBLE) AS f, coalesce((lead(l) OVER w + r) / 2, 'inf'::DOUBLE) AS t FROM b JOIN hd ON hd.doc_id = b.doc_id AND row_idx = head WINDOW w AS (PARTITION BY b.doc_id ORDER BY l)),"
+    " pl AS (SELECT b.doc_id, row_idx, text, l, arg_max(s, (least(r, t) - greatest(l, f), -s)) AS s, count(*) FILTER (f >= l AND t <= r) AS below FROM b JOIN sp USING (doc_id) GROUP BY ALL), gr AS (SELECT doc_id, row_idx, s, string_agg(text, ' ' ORDER BY l) AS cell, max(greatest(below, 1)) AS span FROM pl GROUP BY ALL),"
+    " al AS (SELECT r.doc_id, r.row_idx, sp.s, coalesce(cell, '') AS cell, coalesce(span, 1) AS span FROM pr r JOIN sp USING (doc_id) LEFT JOIN gr ON gr.doc_id = r.doc_id AND gr.row_idx = r.row_idx AND gr.s = sp.s), ou AS (SELECT doc_id, row_idx, string_agg(cell, '|' ORDER BY s) AS cells, string_agg(span::VARCHAR, '|' ORDER BY s) AS spans, count(*) AS columns FROM al GROUP BY ALL),"
+    " nn AS (SELECT doc_id, row_idx, count(*) AS n FROM gr GROUP BY ALL) SELECT ou.doc_id, ou.row_idx, cells, spans, ou.row_idx <= head AND n_head > 1 AS is_header, NOT (ou.row_idx <= head AND n_head > 1) AND nn.n = 1 AND columns > 1 AS is_row_group FROM ou JOIN hd USING (doc_id) JOIN nn ON nn.doc_id = ou.doc_id AND nn.row_idx = ou.row_idx"
+)
 def positioned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's items as positioned cells: three columns of texts under a header row."""
     rows_ = _order_tables(spark, sf_dir).select(F.col("table_id").alias("doc_id"), F.lit(0).alias("table_idx"), "row_idx", F.posexplode("cell_values").alias("c", "text"))
     cells = rows_.filter("text <> ''").select("doc_id", "table_idx", "row_idx", "text", (F.col("c") * 150.0 + F.length("text") % 3).alias("left"), (F.col("c") * 150.0 + 60 + F.length("text") * 2).alias("right"))
-    return tables.positioned_table(cells)
+    made = tables.positioned_table(cells)
+    return made.select("doc_id", "row_idx", F.array_join("cell_values", "|").alias("cells"), F.array_join(F.transform("col_spans", lambda n: n.cast("string")), "|").alias("spans"), "is_header", "is_row_group")
 
 
 # ---- scalars -------------------------------------------------------------------------------------------------------------
@@ -408,18 +479,6 @@ def mixed_case_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distinct_words(spark, sf_dir).select("word", strings.fix_mixed_case(F.col("word")).alias("fixed"))
 
 
-@query("SELECT * FROM (VALUES ('l_orderkey', 'L Orderkey'), ('country', 'Country'), ('BriefSummary', 'Brief Summary'), ('XMLData', 'Xml Data'), ('official_title', 'Official Title')) t(name, header)")
-def camel_case_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in ("l_orderkey", "country", "BriefSummary", "XMLData", "official_title")], "name string")
-    return names.select("name", scalars.make_header(F.col("name")).alias("header"))
-
-
-@query("SELECT * FROM (VALUES ('i.', 1), ('iv)', 4), ('(xii)', 12), ('1.2', 102), ('10.', 10), ('a)', 97), ('(b)', 98::BIGINT)) t(marker, ordinal)")
-def roman_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    markers = spark.createDataFrame([(m,) for m in ("i.", "iv)", "(xii)", "1.2", "10.", "a)", "(b)")], "marker string")
-    return markers.select("marker", scalars.marker_ordinal(F.col("marker")).alias("ordinal"))
-
-
 def _token_text(c: Column) -> Column:
     return F.array_join(scalars.tokens(c), " ")
 

@@ -57,38 +57,18 @@ def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.clean_lines(table(spark, sf_dir, "conversations"), keys=("conv_id", "turn"))
 
 
-#: Lines with numbers, lists, addresses, headers and table rows, of which the tables have few.
-CASES = [
-    "10. Testing", "10.12 Testing", "i. Testing", "a. Testing", "10.b Testing", "i do", "$0.7656 per share (the “Price”).", "iv) Testing", "(iv) Testing", "1.3.4 is a numbered line", "441.44 is NOT a numbered line",
-    "(a) a “person” or “group” within Section 13(d) of the Act, other than the", "S1", "(MM)", "A. Notwithstanding the foregoing", "(ii)(A) mixed", "3.15 Vacancies", "P.o. Box 81226", "Seattle, WA 98108-1226", "New York, New York 10166",
-    "Green Bay, WI 54303", "of 101 North Phillips Avenue, Sioux Falls, SD 57104", "• CONCRETE CAST-IN-PLACE", "▪ item: one", "Net Debt (685,365,480)$ (685,145,818)$", "Net Site Area 2.08 Acres", "NYC LPC Approval Feb-17-2019", "NYC LPC Approval 02/30/2019",
-    "NYC LPC Approval Feb-29-2020", "NYC LPC Approval Feb-29-19", "Securities Exchange Act of 1934", "Section 2.08. Cancellation of Notes Paid, Converted, Etc.", "% PER KEY", "Estreich & Company Page 35", "30,000 square feet ................. 28 weeks", "Free Rent (665,908) - - - -",
-    "Visit http://x.org Now", "Our name is XYZ Inc.", "at 601 N.w.", "& Parson and Sons", "D n B", "Half ½ cup", "Total 10-20 4.5% 12$", "© 2020 Company", "Hello World:", "End of it...", "Yes; no;", "The Terms “Quoted.”",
-]
-
-
-def _cases(spark: SparkSession) -> DataFrame:
-    return features.line_features(spark.createDataFrame(list(enumerate(CASES)), "doc_id int, line string"))
-
-
-def line_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark).select("doc_id", "line", "line_type", *FLAGS, *(F.col(c).cast("long").alias(c) for c in COUNTS))
-
-
 def line_noun_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.exploded(table(spark, sf_dir, "documents"))
     return features.line_features(kept, chunks=True).select("doc_id", "line_no", "noun_chunks", "quoted_words")
 
 
-QUERIES = {f.__name__: f for f in (line_cases, line_noun_chunks, text_lines, line_dedup, line_counters, line_types, line_type_by_lang, text_blocks, block_headers, doc_title, conversation_blocks)}
+QUERIES = {f.__name__: f for f in (line_noun_chunks, text_lines, line_dedup, line_counters, line_types, line_type_by_lang, text_blocks, block_headers, doc_title, conversation_blocks)}
 
 _LINES = "WITH " + line_sql.lines()
 _TYPED = f"{_LINES}, {line_sql.features()}"
 _BLOCKS = f"{_TYPED}, {line_sql.blocks()}"
 _HEADER = "coalesce(last_value(CASE WHEN block_type = 'header' THEN {} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING), {})"
-_CASES = "WITH kept AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {i}, {line_sql.quoted(c)})" for i, c in enumerate(CASES)) + f") v(doc_id, n, line)), {line_sql.features()}"
 ORACLES = {
-    "line_cases": f"{_CASES} SELECT doc_id, line, line_type, {', '.join([*FLAGS, *COUNTS])} FROM typed",
     "text_lines": f"{_LINES} SELECT doc_id, n AS line_no, line, length(line) > 2 AS kept FROM lines",
     "line_dedup": f"{_LINES} SELECT doc_id, n AS line_no, line FROM kept",
     "line_counters": f"{_TYPED} SELECT doc_id, line, {', '.join(COUNTS)} FROM typed",

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stacks import chains
+from ..functions.strings import UPPER
 from ..operators.features import line_features
 
 HEADERS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -18,7 +20,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")} | {k: ("p",) for k in (*HEADERS, "ul", "ol", "div", "table", "article", "section", "footer", "header", "nav", "blockquote", "pre", "form")}
 BARRIER = {"li": ("ul", "ol"), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
 #: A cell: its text, span and whether it is a th or holds a b.
-NODE = "ord int, tag string, depth int, first string, text string, rows array<array<struct<text:string,span:int,head:boolean,spanned:boolean>>>"
+NODE = "ord int, tag string, depth int, first string, bold boolean, text string, rows array<array<struct<text:string,span:int,head:boolean,spanned:boolean>>>"
 
 
 class _Cell:
@@ -55,7 +57,8 @@ class Nodes(HTMLParser):
                 break
         depth = len(self.open)
         if self.node is None and tag in (*HEADERS, *PARAGRAPHS, "li", "table"):
-            self.node = {"tag": tag, "depth": depth, "first": None, "text": [], "rows": []}
+            style = (dict(attrs).get("style") or "").replace(" ", "").lower()
+            self.node = {"tag": tag, "depth": depth, "first": None, "text": [], "rows": [], "bold": "font-weight:bold" in style}
         elif self.node is not None:
             self.node["first"] = self.node["first"] or tag
             if self.node["tag"] == "table":
@@ -98,16 +101,16 @@ class Nodes(HTMLParser):
             text = "".join(node["text"])
             if text.strip():
                 rows = [[{"text": "".join(c.text).replace("\xa0", "").strip(), "span": c.span, "head": c.head, "spanned": c.spanned} for c in row] for row in node["rows"]]
-                out.append({"ord": len(out), "tag": node["tag"], "depth": node["depth"], "first": node["first"], "text": text, "rows": rows})
+                out.append({"ord": len(out), "tag": node["tag"], "depth": node["depth"], "first": node["first"], "bold": node["bold"], "text": text, "rows": rows})
         return out
 
 
 def html_nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key and ord, tag, depth, first (the first tag inside), text and rows of each node with text; a page without any gives none."""
+    """key and ord, tag, depth, first (the first tag inside), bold (by its style), text and rows of each node with text; a page without any gives none."""
     kind = pages.schema[key].dataType.simpleString()
     fields = [f.split(" ", 1) for f in NODE.split(", ")]
     cell = pa.struct([("text", pa.string()), ("span", pa.int32()), ("head", pa.bool_()), ("spanned", pa.bool_())])
-    types = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(cell))]
+    types = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.list_(cell))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,43 +144,33 @@ def table_rows(rows: Column) -> Column:
     )
 
 
-def _levels(nodes: Column) -> Column:
-    """The fold over a page's nodes: header tags keep those of smaller rank above them, paragraph headers go on top of one another, and the rest stand below all."""
-    entry = "struct<key:string,rank:int,text:string>"
-    start = F.struct(F.array().cast(f"array<{entry}>").alias("stack"), F.array().cast("array<struct<ord:int,level:int,header_text:string,level_chain:array<string>>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        stack = s["stack"]
-        at = F.array_position(F.transform(stack, lambda e: e["key"]), x["key"]).cast("int")
-        kept = F.when(x["rank"] > 0, F.filter(stack, lambda e: (e["rank"] > 0) & (e["rank"] < x["rank"]))).when(x["key"].isNotNull() & (at > 0), F.slice(stack, F.lit(1), at - 1)).otherwise(stack)
-        now = F.when(x["key"].isNotNull(), F.concat(kept, F.array(F.struct(x["key"].alias("key"), x["rank"].alias("rank"), x["text"].alias("text"))))).otherwise(stack)
-        chain = F.reverse(F.transform(now, lambda e: e["text"]))
-        out = F.struct(x["ord"].alias("ord"), F.size(kept).alias("level"), F.coalesce(F.get(chain, F.lit(0)), F.lit("")).alias("header_text"), chain.alias("level_chain"))
-        return F.struct(now.alias("stack"), F.concat(s["out"], F.array(out)).alias("out"))
-
-    return F.aggregate(nodes, start, step, lambda s: s["out"])
-
-
-def html_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def html_blocks(pages: DataFrame, key: str = "page_id", filing: bool = False) -> DataFrame:
     """key, block_idx, block_type, block_text, level, header_text, level_chain and the table columns of each block of each page.
 
     A table of several rows gives a table_row for each that has text, with is_table_start and is_table_end; one of a
-    single row gives a paragraph or list item.
+    single row gives a paragraph or list item. A filing has no header tags: its bold paragraphs that read as headers are
+    h3, in capitals h2; its tables are rows even if they have one, and cells' texts are joined without spaces.
     """
     nodes = html_nodes(pages, key).withColumn("n_rows", F.size("rows")).withColumn("rows", table_rows(F.col("rows")))
-    judged = line_features(nodes.select(key, "ord", "tag", "first", F.col("text").alias("raw"), "rows", "n_rows"), "raw")
+    judged = line_features(nodes.select(key, "ord", "tag", "first", "bold", F.col("text").alias("raw"), "rows", "n_rows"), "raw")
+    if filing:
+        heading = F.col("tag").isin(*PARAGRAPHS) & F.col("bold") & F.col("is_header")
+        judged = judged.withColumn("tag", F.when(heading & F.col("raw").rlike(UPPER), "h2").when(heading, "h3").otherwise(F.col("tag")))
+        judged = judged.withColumn("rows", F.transform("rows", lambda r: r.withField("block_text", F.array_join(r["cell_values"], ""))))
     rank = F.when(F.col("tag").isin(*HEADERS), F.substring("tag", 2, 1).cast("int")).otherwise(0)
     para_header = (F.col("tag") == "p") & F.col("first").isNotNull() & F.col("is_header")
     stack_key = F.when(rank > 0, F.col("tag")).when(para_header, F.concat(F.lit("p_"), "first"))
     flat = judged.select(key, "ord", "tag", "raw", "rows", "n_rows", "is_list_item", rank.alias("rank"), stack_key.alias("key"))
     by_page = flat.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "rank", "key", F.col("raw").alias("text"), "tag", "rows", "n_rows", "is_list_item"))).alias("nodes"))
-    leveled = by_page.select(key, F.explode(F.arrays_zip("nodes", _levels(F.transform("nodes", lambda n: F.struct(n["ord"].alias("ord"), n["key"].alias("key"), n["rank"].alias("rank"), n["text"].alias("text")))).alias("at"))).alias("x"))
+    headed = F.transform("nodes", lambda n: F.struct(n["key"].alias("key"), n["rank"].alias("rank"), F.when(n["key"].isNotNull(), n["text"]).alias("text")))
+    found = by_page.withColumn("at", chains(headed))
+    leveled = found.select(key, F.explode(F.arrays_zip("nodes", "at")).alias("x"))
     c = F.col
-    single = (c("x.nodes.tag") == "table") & (c("x.nodes.n_rows") <= 1)
+    single = (c("x.nodes.tag") == "table") & (c("x.nodes.n_rows") <= (0 if filing else 1))
     kind = F.when(c("x.nodes.key").isNotNull(), "header").when((c("x.nodes.tag") == "li") | (single & c("x.nodes.is_list_item")), "list_item").when((c("x.nodes.tag") == "table") & ~single, "table_row").otherwise("para")
     none = F.struct(F.array().cast("array<string>").alias("cell_values"), F.array().cast("array<int>").alias("col_spans"), F.lit(False).alias("is_header_group"), F.lit(False).alias("is_header"), c("x.nodes.text").alias("block_text"))
     parts = F.when(c("x.nodes.tag") == "table", c("x.nodes.rows")).otherwise(F.array(none))
-    rows = leveled.select(key, c("x.at.*"), kind.alias("block_type"), F.size(parts).alias("of"), F.posexplode(parts).alias("part", "p"))
+    rows = leveled.select(key, c("x.nodes.ord").alias("ord"), c("x.at.*"), kind.alias("block_type"), F.size(parts).alias("of"), F.posexplode(parts).alias("part", "p"))
     table = c("block_type") == "table_row"
     order = F.row_number().over(_page_order(key)) - 1
     return rows.select(

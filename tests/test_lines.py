@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from blockwright.functions.strings import fix_mixed_case
 from blockwright.operators import blocks, features, lines
 
+# Example lines and what they are.
 TRUE = {
     "incomplete_line": [
         "This is a incomplete line,",
@@ -53,6 +54,7 @@ TRUE = {
     ],
     "is_zipcode_or_po": ["P.o. Box 81226", "Seattle, WA 98108-1226", "New York, New York 10166", "Green Bay, WI 54303"],
 }
+# Example lines and what they are not.
 FALSE = {
     "incomplete_line": ["Apple Computers has reported the best quarter ever.", "Apple Revenue.", "Apple Revenue: 2,000 3,000"],
     "numbered_line": ["i do", "$0.7656 per share (the “Per Share Purchase Price”)."],
@@ -75,6 +77,7 @@ FALSE = {
     ],
     "is_zipcode_or_po": ["of 101 North Phillips Avenue, Sioux Falls, SD 57104"],
 }
+# Example lines and their parts.
 EQUAL = [
     ("10. MY TESTING", "title_word_count", 2),
     ("I am a Disco Dancer", "stop_word_count", 3),
@@ -114,6 +117,7 @@ def test_values(found):
     assert [(t, k, found[t][k]) for t, k, v in EQUAL if found[t][k] != v] == []
 
 
+# Example lines and the blocks that they make.
 JOINED = [
     (["Times Square Theater, located at 215 West 42nd Street", '(the "PROPERTY").'], 1),
     (["(a) a “person” or", "“group” within the meaning of Section 13(d) of the Exchange Act, other than the Company, its Subsidiaries"], 1),
@@ -191,5 +195,5 @@ def test_level_chain_is_that_of_a_stack(spark):
             else:
                 want[doc, i] = [s[0] for s in reversed(stack)]
     df = spark.createDataFrame(rows, "doc_id int, block_idx int, block_type string, block_text string, level int")
-    got = blocks.level_chain(df, levels=4).collect()
+    got = blocks.level_chain(df).collect()
     assert {(r.doc_id, r.block_idx): [c.block_idx for c in r.level_chain] for r in got} == want

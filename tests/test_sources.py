@@ -5,6 +5,7 @@ import pytest
 from blockwright.functions.sentences import split_sentences
 from blockwright.sources import html
 
+# Example texts of one sentence.
 WHOLE = [
     "Effective September 1, 2017, John Smith (“Advisor”) and XYZ, Inc. (“Company”) agree as follows:",
     "Fig. 2 shows a U.S.A. map.",
@@ -29,6 +30,7 @@ def test_sentences():
     assert split_sentences(". , Start here. End") == ["Start here.", "End"]
 
 
+# Fixed value: an example page.
 PAGE = """<html><head><title>T</title></head><body><h1>A</h1><p>Plain words are here, and end.</p><h2>B</h2><li>item <b>one</b></li><h2>C</h2><p><b>Bold Title</b><p>para text follows this.
 <h1>D</h1><table><tr><th>H1</th><th></th><th colspan=2>H2</th></tr><tr><td>a</td><td> </td><td>b</td><td>c</td></tr><tr><td></td></tr></table><table><tr><td>only</td><td>one</td></tr></table><div>lost</div></body></html>"""
 

@@ -554,9 +554,10 @@ def near_groups(docs: DataFrame, threshold: Fraction = THRESHOLD, bucket_keys: i
         links = links.unionByName(more)
         groups = components(links)
 
-    of = nodes.select("node", F.col("doc_id").alias("least")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = of.join(lowest, "component").select("node", "component_id")
+    grouped = stored(nodes.select("node", F.col("doc_id").alias("least")).join(groups, "node"), "grouped")
+    lowest = stored(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "lowest")
+    found = grouped.join(sized(lowest, 24), "component").select("node", "component_id")
+    known = nodes.select("node", F.col("doc_id").alias("least")).join(found, "node", "left").select("node", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     out = rows.select("doc_id", "text_hash", "node", "n").join(known.join(degrees, "node", "left"), "node", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

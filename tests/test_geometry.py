@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from blockwright import service, settings
 from blockwright.functions import cells, scalars, stacks
-from blockwright.operators import geometry, matching, spacing
+from blockwright.operators import geometry, matching, pages, spacing
+from blockwright.plans import structure_queries
 from blockwright.sources import binary, html, rows
 
 CELL = "array<struct<top:double,left:double,right:double,height:double,text:string>>"
@@ -166,3 +167,24 @@ def test_the_service_parses_what_it_gets(spark):
         assert ask.getresponse().status == 500
     finally:
         running.shutdown()
+
+
+def test_lines_without_styles_and_joinable_parts(spark):
+    docs = spark.createDataFrame([(1, "ﬁrst  LINE heLLo\n\n12\nSecond"), (2, "1234"), (3, None)], "doc_id int, text string")
+    assert sorted((r.doc_id, r.line_no, r.line) for r in pages.plain_lines(docs).collect()) == [(1, 0, "first LINE hello"), (1, 2, "12"), (1, 3, "Second")]
+    parts = spark.createDataFrame([(1, ["and this goes on with a", "long text of words"]), (2, ["Title Of It", "All"]), (3, ["alone"])], "i int, texts array<string>")
+    assert {r.i: r.joinable for r in pages.joinable(parts).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_lines_of_pages_become_leveled_blocks(spark, sf):
+    lines = structure_queries._layout(spark, sf).filter("doc_id < 40")
+    for by_prefix in (False, True):
+        got = pages.page_blocks(lines, by_prefix=by_prefix).collect()
+        assert got and all(r.level is not None and r.level >= 0 for r in got)
+        assert len({(r.doc_id, r.block_idx) for r in got}) == len(got)
+
+
+def test_footers_below_a_page_number(spark):
+    footers = [(1, "", 700, 0, 9), (1, "Company", 710, 2, 5), (1, "Draft", 690, 2, 5), (2, "Company", 710, 2, 5)]
+    frame = spark.createDataFrame(footers, "doc_id int, key_text string, top int, first_page int, last_page int")
+    assert {(r.doc_id, r.key_text): r.below_number for r in pages.below_numbers(frame).collect()} == {(1, ""): True, (1, "Company"): True, (1, "Draft"): False, (2, "Company"): False}

@@ -171,3 +171,11 @@ def test_mixed_types_and_rendering(spark):
     assert page.startswith("<!DOCTYPE html><html><head><style>") and "<h4 style='margin-left: 0px;' page_idx=0 class=\"" + f'{render.HEADER_CLASS} {render.SENTENCE_MARK}0"> PROJECT OVERVIEW </h4>' in page
     assert f'<span class="{render.SENTENCE_MARK}1">This project started out really well. </span><span class="{render.SENTENCE_MARK}2">It goes on. </span>' in page
     assert got["h"].html.count("<tr ") == 2 and got["h"].html.count("</tbody></table>") == 1 and "colspan=2>H2</th>" in got["h"].html
+
+
+def test_sentences_keep_all_text():
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist():
+        for line in (text or "").split("\n"):
+            assert "".join("".join(split_sentences(line)).split()) == "".join(line.split())

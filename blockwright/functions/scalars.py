@@ -107,6 +107,12 @@ def font_weight(family: Column, weight: Column) -> Column:
     return F.coalesce(weight.try_cast("double"), F.when(name.rlike("bold|black|heavy"), 600.0).when(name.rlike("light|thin"), 200.0).otherwise(400.0))
 
 
+def spaced_letters(line: Column) -> Column:
+    """Whether more than four in five of a line's words are single characters."""
+    words = F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
+    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.length(w) == 1)) / F.greatest(F.size(words), F.lit(1)) > 0.8).otherwise(False)
+
+
 def word_boundary(character: Column) -> Column:
     """Whether a character ends a word: no letter, digit, hyphen or underscore."""
     return ~character.rlike(r"^[\p{L}\p{N}_-]")

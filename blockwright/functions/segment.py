@@ -79,3 +79,14 @@ def nearest_words(words: DataFrame, dictionary: DataFrame, distance: int = 2) ->
     scored = met.withColumn("d", F.levenshtein("word", "near")).filter(F.col("d") <= distance)
     best = scored.groupBy("word").agg(F.min_by("near", F.struct("d", -F.col("frequency"), "near")).alias("near"), F.min("d").alias("distance"))
     return asked.join(best, "word", "left").select("word", F.coalesce("near", "word").alias("corrected"), "distance")
+
+
+def corrected_texts(texts: DataFrame, dictionary: DataFrame, key: str = "doc_id", distance: int = 2) -> DataFrame:
+    """key and text with each word as its nearest dictionary word, in the case that it had; numbers, signs and words with either stay."""
+    place = texts.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("at", "said"))
+    place = place.withColumn("word", F.when(F.col("said").rlike(r"^\p{L}+$"), F.lower("said")))
+    known = nearest_words(place.filter("word is not null"), dictionary, distance).select("word", "corrected")
+    said, fixed = F.col("said"), F.col("corrected")
+    cased = F.when(fixed.isNull(), said).when(said.rlike(r"^\p{Lu}{2,}$"), F.upper(fixed)).when(said.rlike(r"^\p{Lu}"), F.initcap(fixed)).otherwise(fixed)
+    made = place.join(known, "word", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", cased.alias("w")))).alias("x"))
+    return made.select(key, F.array_join(F.transform("x", lambda p: p["w"]), " ").alias("text"))

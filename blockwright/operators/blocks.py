@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import spaced_letters
+from ..functions.segment import fix_spaced_characters
 from ..functions.strings import connected
 from .features import with_features
 from .lines import exploded
@@ -20,13 +22,16 @@ from .lines import exploded
 _LEADING = "�\\*,.?•➢ƒ–'\"—"
 
 
-def clean_lines(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", xml: bool = False) -> DataFrame:
+def clean_lines(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", xml: bool = False, words: list[str] | None = None) -> DataFrame:
     """keys, block_idx, block_text, block_type, header_block_idx of every block of every text (a text of no lines: none).
 
     header_block_idx is the last header block so far (a header's own), -1 if there is none; as in the reference
-    behaviour, the last block does not count as a header for itself, and loses a bullet before it.
+    behaviour, the last block does not count as a header for itself, and loses a bullet before it. With words (by
+    frequency), lines written letter by letter are read as words first, but for XML.
     """
     lines = exploded(docs, keys, text, xml)
+    if words and not xml:
+        lines = lines.withColumn("line", F.when(spaced_letters(F.col("line")), fix_spaced_characters(F.col("line"), words)).otherwise(F.col("line")))
     columns = ["line_no", "text", "line_type", "incomplete_line", "continuing_line", "ends_with_period", "is_list_or_row"]
     return join_lines(with_features(lines).select(*keys, *columns), keys)
 

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockwright import service, settings
-from blockwright.functions import cells, scalars, stacks
-from blockwright.operators import geometry, matching, pages, spacing
+from blockwright.functions import cells, scalars, segment, stacks
+from blockwright.operators import blocks, geometry, matching, pages, spacing
 from blockwright.plans import structure_queries
 from blockwright.sources import binary, html, rows
 
@@ -186,3 +186,13 @@ def test_footers_below_a_page_number(spark):
     footers = [(1, "", 700, 0, 9), (1, "Company", 710, 2, 5), (1, "Draft", 690, 2, 5), (2, "Company", 710, 2, 5)]
     frame = spark.createDataFrame(footers, "doc_id int, key_text string, top int, first_page int, last_page int")
     assert {(r.doc_id, r.key_text): r.below_number for r in pages.below_numbers(frame).collect()} == {(1, ""): True, (1, "Company"): True, (1, "Draft"): False, (2, "Company"): False}
+
+
+def test_letters_apart_are_words_and_words_are_corrected(spark):
+    docs = spark.createDataFrame([(1, "E x e c u t i v e s u m m a r y\nThe text that follows it, which is long"), (2, "Plain words here")], "doc_id int, text string")
+    words = ["the", "executive", "summary", "text"]
+    got = {(r.doc_id, r.block_idx): r.block_text for r in blocks.clean_lines(docs, words=words).collect()}
+    assert got[1, 0].startswith("Executive Summary") and got[2, 0] == "Plain words here"
+    dictionary = spark.createDataFrame([(w, 10 - i) for i, w in enumerate(words)], "word string, frequency long")
+    wrong = spark.createDataFrame([(1, "Exectuive SUMARY of teh txt 12"), (2, None)], "doc_id int, text string")
+    assert {r.doc_id: r.text for r in segment.corrected_texts(wrong, dictionary).collect()} == {1: "Executive SUMMARY of the text 12", 2: ""}

@@ -108,7 +108,14 @@ def loader_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("c_custkey", F.col("block_idx").cast("long"), "block_type", "block_text", "level")
 
 
-@query()
+@query(
+    "WITH xd AS (SELECT doc_id, source, lang, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND NOT regexp_matches(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')),"
+    f" {line_sql.lines('xd', xml=True)}, {line_sql.features()}, {line_sql.blocks()}, bd AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM blocks), ty AS (SELECT doc_id, block_idx, block_text, CASE WHEN k = 1 THEN 'para' ELSE block_type END AS block_type FROM bd),"
+    " hd AS (SELECT *, last_value(CASE WHEN block_type = 'header' THEN block_text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inner_header FROM ty),"
+    " every AS (SELECT doc_id, 0 AS ord, -1 AS sub, 'header' AS block_type, 'Doc Title' AS block_text, 0 AS level, 'Doc Title' AS header_text FROM xd WHERE source <> '' UNION ALL SELECT doc_id, 0, 0, 'para', trim(source), 1, 'Doc Title' FROM xd WHERE source <> ''"
+    " UNION ALL SELECT doc_id, 1, -1, 'header', trim('Full Text ' || lang), 0, trim('Full Text ' || lang) FROM xd UNION ALL SELECT hd.doc_id, 2, block_idx, block_type, block_text, CASE WHEN inner_header IS NOT NULL AND block_type = 'para' THEN 2 ELSE 1 END, CASE WHEN inner_header IS NOT NULL AND block_type = 'para' THEN inner_header ELSE trim('Full Text ' || lang) END FROM hd JOIN xd USING (doc_id))"
+    " SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord, sub) - 1)::INTEGER AS block_idx, block_type, block_text, level::INTEGER AS level, header_text FROM every"
+)
 def xml_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents wrapped as XML: a title and a textblock each."""
     docs = table(spark, sf_dir, "documents")

@@ -18,7 +18,11 @@ _BRACKETS = re.compile(r"\(([^)]+)\)")
 _LEADING = re.compile(r"^(?:[.,?!]\s+)+")
 _SPACED = re.compile(r"\s([.'](?:\s|$|\D))")
 _QUOTES = re.compile(r"[”“\"‘’']")
-_STOP = re.compile(r"(\S*)([.?!])(?=([?!)\";}\]*:@'({\[])|\s+(\S))")
+#: A word with a mark in it, tried at the begin of words only; the next word's first character.
+_MARKED = re.compile(r"(?<!\S)[^\s.?!]*+[.?!]\S*")
+_NEXT = re.compile(r"\s+(\S)")
+#: What may follow a mark at once.
+_FOLLOWERS = frozenset("?!)\";}]*:@'({[")
 _CLOSERS = re.compile(r"[\"')\]}]+(?=\s|$)")
 _INITIAL = re.compile(r"(?:^|[^\w])[^\W\d]$")
 _NUMBER = re.compile(r"^-?[.,]?\d[\d,.-]*$")
@@ -26,7 +30,8 @@ _NUMBER = re.compile(r"^-?[.,]?\d[\d,.-]*$")
 
 def _masked(line: str) -> str:
     """The line with periods that end nothing replaced; of the same length."""
-    line = _BRACKETS.sub(lambda m: "_" + m[1].replace(".", "_") + "_", line)
+    closed = line.rfind(")") + 1  # behind the last bracket none closes
+    line = _BRACKETS.sub(lambda m: "_" + m[1].replace(".", "_") + "_", line[:closed]) + line[closed:]
     line = _ABBREVIATION.sub(lambda m: m[1].replace(".", "_") + "_", line)
     return _QUOTES.sub('"', _INC.sub(r"\1_", line))
 
@@ -42,21 +47,34 @@ def _ends(before: str, mark: str, follower: str) -> bool:
     return not (_NUMBER.match(before) and follower.islower())
 
 
+def _mark(word: str, last: bool) -> int:
+    """The place of a word's last mark that something may follow: at once, or (last: not for the line's last word) behind white space; -1 for none."""
+    at = len(word)
+    while (at := max(word.rfind(c, 0, at) for c in ".?!")) >= 0:
+        if word[at + 1] in _FOLLOWERS if at + 1 < len(word) else not last:
+            return at
+    return -1
+
+
 def spans(line: str) -> list[tuple[int, int]]:
     """(begin, end) of each sentence in a masked line; closing quotes and brackets stay with the sentence before them."""
-    found, begin, at = [], 0, 0
-    while m := _STOP.search(line, at):
-        at = m.end()
-        if not _ends(m[1], m[2], m[4] or ""):
+    found, begin = [], 0
+    for m in _MARKED.finditer(line):
+        word, after = m[0], _NEXT.match(line, m.end())
+        at = _mark(word, after is None)
+        if at < 0 or m.start() + at < begin:
+            continue
+        behind = at + 1 == len(word)
+        if not _ends(word[:at], word[at], after[1] if behind else ""):
             continue
-        end = m.end()
-        if m[3]:
+        end = m.start() + at + 1
+        if not behind:
             closing = _CLOSERS.match(line, end)
             if not closing:
                 continue
-            end = at = closing.end()
+            end = closing.end()
         found.append((begin, end))
-        begin = end + len(line[end:]) - len(line[end:].lstrip())
+        begin = after.start(1) if after and end == m.end() else end
     if line[begin:].strip():
         found.append((begin, len(line.rstrip())))
     return found

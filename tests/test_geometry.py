@@ -5,12 +5,15 @@ import io
 import json
 import threading
 import zipfile
+from collections import defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from blockwright import service, settings
-from blockwright.functions import cells, scalars, segment, stacks
+from blockwright.functions import cells, scalars, segment, stacks, strings, words
+from blockwright.functions.sentences import split_sentences
 from blockwright.operators import blocks, geometry, matching, pages, spacing
 from blockwright.plans import structure_queries
 from blockwright.sources import binary, html, rows
@@ -190,9 +193,45 @@ def test_footers_below_a_page_number(spark):
 
 def test_letters_apart_are_words_and_words_are_corrected(spark):
     docs = spark.createDataFrame([(1, "E x e c u t i v e s u m m a r y\nThe text that follows it, which is long"), (2, "Plain words here")], "doc_id int, text string")
-    words = ["the", "executive", "summary", "text"]
-    got = {(r.doc_id, r.block_idx): r.block_text for r in blocks.clean_lines(docs, words=words).collect()}
+    known = ["the", "executive", "summary", "text"]
+    got = {(r.doc_id, r.block_idx): r.block_text for r in blocks.clean_lines(docs, words=known).collect()}
     assert got[1, 0].startswith("Executive Summary") and got[2, 0] == "Plain words here"
-    dictionary = spark.createDataFrame([(w, 10 - i) for i, w in enumerate(words)], "word string, frequency long")
+    dictionary = spark.createDataFrame([(w, 10 - i) for i, w in enumerate(known)], "word string, frequency long")
     wrong = spark.createDataFrame([(1, "Exectuive SUMARY of teh txt 12"), (2, None)], "doc_id int, text string")
     assert {r.doc_id: r.text for r in segment.corrected_texts(wrong, dictionary).collect()} == {1: "Executive SUMMARY of the text 12", 2: ""}
+
+
+def test_levels_of_a_whole_table_are_those_of_a_plain_stack(spark, sf):
+    made = structure_queries.layout_blocks(spark, sf).collect()
+    got = {(r.doc_id, r.block_idx): r.level for r in structure_queries.indent_levels(spark, sf).collect()}
+    by_doc = defaultdict(list)
+    for r in made:
+        by_doc[r.doc_id].append(r)
+    assert len(got) == len(made)
+    for rows_ in by_doc.values():
+        stack = []
+        for r in sorted(rows_, key=lambda r: r.block_idx):
+            head, mark = r.block_type == "header", ""
+            if r.block_type == "list_item":
+                token = (r.block_text.strip().split() or [""])[0]
+                _, integer, roman, letter, dot, _ = words.numbered(token)
+                mark = "roman" if roman else "letter" if letter else "integer" if integer else "dot" if dot else "" if regex.match(r"[\p{L}\p{N}(\"“'‘$]", token) else "bullet"
+            look = ((1, r.font_size, float(r.font_weight), int(bool(regex.search(strings.UPPER, r.block_text)))), "") if head else ((0, 0.0, 0.0, 0), mark)
+            if look in stack:
+                stack = stack[: stack.index(look)]
+            else:
+                stack = [e for e in stack if e[0] > look[0] or (e[0] == look[0] and e[1] != look[1])]
+            assert got[r.doc_id, r.block_idx] == len(stack)
+            stack.append(look)
+
+
+def test_rendered_documents_hold_their_blocks(spark, sf):
+    made = defaultdict(list)
+    for r in blocks.with_headers(blocks.clean_lines(spark.read.parquet(f"{sf}/documents.parquet"))).collect():
+        made[r.doc_id].append(r)
+    kinds = {"header": "header", "list_item": "list_item"}
+    rendered = {r.doc_id: json.loads(r.json) for r in structure_queries.render_json_docs(spark, sf).collect()}
+    assert rendered.keys() == made.keys()
+    for doc_id, said in rendered.items():
+        want = [(kinds.get(b.block_type, "para"), b.block_idx, [b.block_text] if b.block_type in ("header", "table_row") else split_sentences(b.block_text)) for b in sorted(made[doc_id], key=lambda b: b.block_idx)]
+        assert [(b["tag"], b["block_idx"], b["sentences"]) for b in said["return_dict"]["result"]["document"]["blocks"]] == [w for w in want if w[2]]

@@ -197,7 +197,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     Documents follow one another by doc_id (nulls first), equal ids by a hash of the text and the text; a single document
     follows itself. Null texts count as empty, and an empty text is like another empty one only. common_prefix is the
     longest common extension of a text and its edited form from their beginnings, same_next that of a text and the next
-    document's. A long text takes some 40 bytes a code point while it is worked on. An empty table gives no rows; columns
+    document's. A long text takes some 50 bytes a code point while it is worked on. An empty table gives no rows; columns
     other than doc_id and text are not read.
     """
     arrow_batches(docs.sparkSession)

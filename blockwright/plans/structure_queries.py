@@ -124,13 +124,17 @@ def xml_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml.xml_blocks(docs.select("doc_id", wrapped.alias("text")))
 
 
-@query()
+@query(
+    "WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, turn, role, array_to_string(list_transform(string_split(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9))), chr(10)) AS said FROM conversations),"
+    " e AS (SELECT conv_id, k, 0 AS i, 'header' AS block_type, 'Turn ' || turn AS block_text, 1 AS level FROM t UNION ALL SELECT conv_id, k, 1, 'list_item', role, 2 FROM t UNION ALL SELECT conv_id, k, 2, 'para', said, 2 FROM t WHERE said <> '')"
+    " SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY k, i) - 1)::INTEGER AS part, (row_number() OVER (PARTITION BY conv_id ORDER BY k, i) - 1)::INTEGER AS block_idx, block_type, block_text, level::INTEGER AS level FROM e"
+)
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as Markdown: a heading a turn, the role as a list item, the text as a paragraph."""
     turns = table(spark, sf_dir, "conversations")
     said = F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit("\n\n- "), F.col("role"), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
     docs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", said.alias("t")))).alias("x")).select("conv_id", F.array_join("x.t", "\n").alias("text"))
-    return markdown.markdown_blocks(docs, "conv_id")
+    return markdown.markdown_blocks(docs, "conv_id").select("conv_id", "part", "block_idx", "block_type", "block_text", "level")
 
 
 # ---- rendering ------------------------------------------------------------------------------------------------------

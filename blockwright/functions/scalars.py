@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,12 +143,23 @@ def short_words(words: Column) -> Column:
 
 
 def same_words(a: Column, b: Column, share: float = 0.8) -> Column:
-    """Whether two arrays have at least the share of the longer one's words in common, as often as both have them; letters and digits only."""
-    bare = lambda words: F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^a-zA-Z0-9]", "")), lambda w: w != "")
-    x, y = bare(a), bare(b)
-    times = lambda words, w: F.size(F.filter(words, lambda o: o == w))
-    both = F.aggregate(F.transform(F.array_distinct(x), lambda w: F.least(times(x, w), times(y, w))), F.lit(0), lambda s, n: s + n)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.size(x) == F.size(y)).otherwise(both / F.greatest(F.size(x), F.size(y), F.lit(1)) >= share)
+    """Whether two arrays have at least the share of the longer one's words in common, as often as both have them; letters and digits only.
+
+    Counted in an Arrow pass, linear in the words.
+    """
+
+    def counted(words: list[str] | None) -> Counter:
+        return Counter(w for w in (re.sub("[^a-zA-Z0-9]", "", x or "") for x in words or ()) if w)
+
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            c, d = counted(x), counted(y)
+            n, m = c.total(), d.total()
+            out.append((c & d).total() / max(n, m) >= share if n and m else n == m)
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(a, b)
 
 
 def spaced_capitals(text: Column) -> Column:

@@ -14,15 +14,19 @@ verified on the sets.
 
 Equal sets are one class throughout; a class is known by a 64-bit hash, and where a second one tells two sets with the
 same number apart, they get numbers of their own. Candidates are never all pairs of those that share a key: first each
-is compared to the smallest of them, then only those whose components still differ are compared to each other. A key
-that very many classes have is dealt over several tasks, and so are the classes around one center.
+is compared to the smallest of them, then only those whose components still differ are compared to each other. Where
+more of these pairs pass the screen than classes meet, the pairs are not written out: the meeting gets the sets
+themselves, nearest pairs are verified first, and what is joined by then is not compared. It gives fewer links than it
+has classes. A key that very many classes have is dealt over several tasks, and so are the classes around one center.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -52,6 +56,8 @@ HELD = 1 << 20
 CHUNK = 1024
 #: Classes around one center that are compared in one task; more are dealt in blocks, two by two.
 BLOCK = 512
+#: Screened pairs for each class of a meeting, at most; meetings with more verify them on the spot.
+PAIRS = 2
 #: Powers that a worker keeps; those of longer texts are made for them and dropped.
 KEPT = 1 << 20
 
@@ -381,16 +387,7 @@ def screened(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFra
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fraction, classes: Classes) -> DataFrame:
     """The pairs (a, b) of classes that link, by their sets; only texts of classes in a pair are read for them."""
     left = stored(pairs, "pairs")
-    involved = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "involved")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [tokens(text) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([classes(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "found"])
-
-    wanted = involved.select("doc_id").distinct()
-    texts = docs.join(sized(wanted, 16), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = stored(_sets(texts).select("text").mapInArrow(gather, "node long, found binary").join(sized(involved.select(F.col("node").alias("own")), 16), F.col("node") == F.col("own"), "left_semi").dropDuplicates(["node"]), "sets")
+    sets = sets_of(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, classes)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,12 +398,26 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fra
     return stored(both.select("a", "b", "found_a", "found_b").mapInArrow(verify, "a long, b long"), "links")
 
 
-def across(found: DataFrame, groups: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
-    """Screened pairs of classes that share a key and are in different components so far.
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, classes: Classes) -> DataFrame:
+    """node and found (its sorted tokens) of the classes wanted (node); only their texts are read."""
+    involved = stored(wanted.join(nodes.select("node", "doc_id"), "node"), "involved")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tokens(text) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([classes(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "found"])
+
+    ids = involved.select("doc_id").distinct()
+    texts = docs.join(sized(ids, 16), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    return stored(_sets(texts).select("text").mapInArrow(gather, "node long, found binary").join(sized(involved.select(F.col("node").alias("own")), 16), F.col("node") == F.col("own"), "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def across(found: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fraction, classes: Classes) -> DataFrame:
+    """Links (a, b) between classes that share a key and are in different components so far, as many as join those that links join.
 
     Lists are taken by their center, so that classes which share many keys meet once and not once a key; a center has no
     more lists than keys. Of lists longer than CHUNK, chunks meet two by two. Lists of two are left out: their pair has
-    been compared.
+    been compared. What a meeting writes is at most proportional to its classes, see PAIRS.
     """
     to = groups.select("node", "component")
     members = found.select("run", "chunk", F.explode("nodes").alias("node")).join(to, "node", "left").select("run", "chunk", F.coalesce("component", "node").alias("component"))
@@ -429,26 +440,86 @@ def across(found: DataFrame, groups: DataFrame, nodes: DataFrame, threshold: Fra
     dealt = dealt.select(*where, "run", F.explode(sides).alias("s")).select(*where, "run", "s.side", "s.nodes").filter("size(nodes) > 0")
     dealt = stored(dealt, "lists")
     sketches = nodes.join(to, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n", "bits")
-    meet = dealt.select(*where, F.explode("nodes").alias("node")).distinct().join(sketches, "node")
-    columns = [*where, "run", "side", "nodes", "component", "n", "bits"]
-    rows = dealt.select(*columns[:8], *(F.lit(None).cast(t).alias(c) for c, t in (("component", "long"), ("n", "int"), ("bits", "binary"))))
-    rows = rows.unionByName(meet.select(*where, F.lit(None).cast("long").alias("run"), F.lit(None).cast("int").alias("side"), F.array("node").alias("nodes"), "component", "n", "bits"))
+    classes_of = stored(dealt.select(*where, F.explode("nodes").alias("node")).distinct(), "meetings")
+    meet = classes_of.join(sketches, "node")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt_out(lists: DataFrame, meet: DataFrame, own: dict[str, str]) -> DataFrame:
+        """Rows of lists and of classes with their own columns, a meeting's in a row."""
+        empty = [F.lit(None).cast(t).alias(c) for c, t in own.items()]
+        rows = lists.select(*where, "run", "side", "nodes", *empty)
+        rows = rows.unionByName(meet.select(*where, F.lit(None).cast("long").alias("run"), F.lit(None).cast("int").alias("side"), F.array("node").alias("nodes"), *own))
+        return rows.repartition(parts, *where).sortWithinPartitions(*where)
+
+    def meetings(batches: Iterator[pa.RecordBatch], sets: Sets | None = None) -> Iterator[tuple[tuple, Meeting]]:
         now, group = None, ([], [])
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:5] != now:
                     if now:
-                        yield from Meeting(*group, threshold).pairs()
+                        yield now, Meeting(*group, threshold)
                     now, group = row[:5], ([], [])
-                group[row[5] is not None].append(row)
+                    if sets:
+                        sets.clear()
+                if sets and row[5] is None:
+                    sets.add(row[7][0], row[11])
+                group[row[5] is not None].append(row[:11])
         if now:
-            yield from Meeting(*group, threshold).pairs()
+            yield now, Meeting(*group, threshold)
 
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.select(*columns).repartition(parts, *where).sortWithinPartitions(*where)
-    return met.mapInArrow(cross, "a long, b long").distinct()
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, meeting in meetings(batches):
+            a, b = meeting.pairs(PAIRS * len(meeting.node))
+            many = a is None
+            k = 1 if many else len(a)
+            ends = [pa.nulls(1, pa.int64())] * 2 if many else [pa.array(a), pa.array(b)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x] * k, t) for x, t in zip(place, types, strict=True)), *ends], names=[*where, "a", "b"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as file:
+            sets = Sets(file)
+            for _, meeting in meetings(batches, sets):
+                a, b = meeting.links(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    own = {"component": "long", "n": "int", "bits": "binary"}
+    met = stored(dealt_out(dealt, meet, own).mapInArrow(cross, "center long, i int, j int, p int, q int, a long, b long"), "met")
+    links = verified(met.filter("a is not null").select("a", "b").distinct(), nodes, docs, threshold, classes)
+    crowded = met.filter("a is null").select(*where)
+    if crowded.isEmpty():
+        return links
+    here = sized(crowded, 40)
+    lists = stored(dealt.join(here, where, "left_semi"), "lists")
+    crowd = classes_of.join(here, where, "left_semi")
+    sets = sets_of(crowd.select("node").distinct(), nodes, docs, classes)
+    meet = crowd.join(sketches, "node").join(sets, "node")
+    settled = dealt_out(lists, meet, own | {"found": "binary"}).mapInArrow(settle, "a long, b long").distinct()
+    return links.unionByName(stored(settled, "links"))
+
+
+class Sets:
+    """The sets of a meeting's classes in a file of the worker's, as those of long texts are large; true, however few."""
+
+    def __init__(self, file: BinaryIO):
+        self.file, self.at = file, {}
+
+    def __bool__(self) -> bool:
+        return True
+
+    def clear(self) -> None:
+        self.at.clear()
+        self.file.seek(0)
+        self.file.truncate()
+
+    def add(self, node: int, found: bytes) -> None:
+        self.at[node] = self.file.tell(), len(found)
+        self.file.write(found)
+
+    def __getitem__(self, node: int) -> np.ndarray:
+        at, size = self.at[node]
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(size), np.uint64)
 
 
 class Meeting:
@@ -479,22 +550,49 @@ class Meeting:
             sides[run][side] = np.searchsorted(self.node, np.array(members, np.int64))
         self.lists = [(s[0], s[0]) if within else (s[0], s[1]) for s in sides.values() if within or len(s) == 2]
 
-    def pairs(self) -> Iterator[pa.RecordBatch]:
-        """The pairs that the screen passes, as batches (a, b)."""
+    def _meet(self) -> np.ndarray:
+        """Who meets whom."""
         meet = np.zeros((len(self.node), len(self.node)), bool)
         for one, two in self.lists:
             meet[np.ix_(one, two)] = True
-        meet |= meet.T
-        for k in range(len(self.node)):
-            found = self._from(k, k + 1 + np.flatnonzero(meet[k, k + 1 :]))
-            if len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+        return meet | meet.T
 
-    def _from(self, k: int, others: np.ndarray) -> np.ndarray:
+    def pairs(self, most: int) -> tuple[np.ndarray, np.ndarray] | tuple[None, None]:
+        """The pairs a < b that the screen passes; none if there are more than most."""
+        meet, found, n = self._meet(), [np.zeros((2, 0), np.int64)], 0
+        for k in range(len(self.node)):
+            others, _ = self._from(k, k + 1 + np.flatnonzero(meet[k, k + 1 :]))
+            n += len(others)
+            if n > most:
+                return None, None
+            found.append(np.stack([np.full(len(others), self.node[k]), self.node[others]]))
+        a, b = np.sort(np.concatenate(found, axis=1), axis=0)
+        return a, b
+
+    def links(self, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+        """Links (a < b) that join what all links of the meeting and the components would; of each class the nearest pairs first."""
+        meet, joined = self._meet(), np.unique(self.component, return_inverse=True)[1]
+        out: list[tuple[int, int]] = []
+        for k in range(len(self.node)):
+            others, far = self._from(k, k + 1 + np.flatnonzero(meet[k, k + 1 :]))
+            others = others[np.argsort(far / (self.n[k] + self.n[others]), kind="stable")]
+            mine = sets[int(self.node[k])] if len(others) else None
+            while len(others := others[joined[others] != joined[k]]):
+                at = next((i for i, x in enumerate(self.node[others].tolist()) if linked(mine, sets[x], self.t)), None)
+                if at is None:
+                    break
+                out.append((k, int(others[at])))
+                joined[joined == joined[others[at]]] = joined[k]
+                others = others[at + 1 :]
+        a, b = np.sort(self.node[np.array(out, np.int64).reshape(-1, 2).T], axis=0)
+        return a, b
+
+    def _from(self, k: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the others, of other components, that the screen leaves room for a link with, and their distances."""
         p, q = self.t.numerator, self.t.denominator
         n, m = self.n[k], self.n[others]
         others = others[(self.component[others] != self.component[k]) & (np.minimum(n, m) * q >= np.maximum(n, m) * p)]
-        kept = []
+        kept = [np.zeros((2, 0), np.int64)]
         size, mine = int(self.length[k]), self.bits[k]
         for other in set(self.length[others].tolist()):
             at = others[self.length[others] == other]
@@ -505,9 +603,10 @@ class Meeting:
                 far = np.array([distance(self.bits[x].tobytes(), mine.tobytes()) for x in at])
             else:
                 far = np.bitwise_count(theirs ^ own).sum(1).astype(np.int64)
-            kept.append(at[far * (p + q) <= (q - p) * (n + self.n[at])])
-        found = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-        return np.sort(np.stack([np.full(len(found), self.node[k]), self.node[found]]), axis=0)
+            room = far * (p + q) <= (q - p) * (n + self.n[at])
+            kept.append(np.stack([at[room], far[room]]))
+        found, far = np.concatenate(kept, axis=1)
+        return found, far
 
 
 def near_groups(docs: DataFrame, threshold: Fraction = THRESHOLD, bucket_keys: int = BUCKET_KEYS, mask: int = -1) -> DataFrame:
@@ -549,7 +648,7 @@ def near_groups(docs: DataFrame, threshold: Fraction = THRESHOLD, bucket_keys: i
     stars = found.select(F.col("center").alias("a"), F.explode("nodes").alias("b")).filter("a <> b").distinct()
     links = verified(screened(stars, nodes, threshold), nodes, docs, threshold, classes)
     groups = components(links)
-    more = verified(across(found, groups, nodes, threshold), nodes, docs, threshold, classes)
+    more = across(found, groups, nodes, docs, threshold, classes)
     if not more.isEmpty():
         links = links.unionByName(more)
         groups = components(links)

@@ -73,6 +73,19 @@ def test_a_passage_in_many_and_a_group_of_near_copies(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == expected(rows)
 
 
+def test_what_a_meeting_writes_does_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghi", k=6))
+    passage = [word() for _ in range(160)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(29 if i % 10 else 24))]), *[None] * 7) for i in range(120)]  # just below the threshold, or with the shorter ones just above
+    written = []
+    kept = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: (made := kept(df, name), written.append((name, made.count())))[0])
+    got = ngram_join.near_groups(cases.frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == expected(rows)
+    assert max(n for name, n in written if name in ("met", "pairs")) <= 10 * len(rows)  # of 7140 pairs
+
+
 def test_empty(spark):
     assert ngram_join.near_groups(cases.empty(spark)).count() == 0
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,8 @@ from .features import with_features
 PAGE = ("doc_id", "page_idx")
 #: Points between a kept line and an ignored one that stands in its row.
 NEAR = 20
+#: Stray blocks that are compared at a time to blocks: to STEP of them first, then to twice as many each time, up to STRAYS.
+STRAYS, STEP = 1024, 32
 
 
 def retained(lines: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
@@ -56,17 +60,48 @@ def below_numbers(footers: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Data
 def placed(blocks: DataFrame, stray: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """Where stray blocks (stray_idx, top, left, right, bottom) go among a page's blocks (block_idx, top, left, bottom): before, the block_idx that they precede, null for the end.
 
-    Before the first block that isn't above them (of those in one row by the left edge), or one to the right that ends lower.
+    Before the first block that isn't above them (of those in one row by the left edge), or one to the right that ends
+    lower. A page's blocks are met in order by one task, and a stray block leaves at its first: pairs are never rows.
     """
     w = Window.partitionBy(*page).orderBy("block_idx")
     main = blocks.select(*page, "block_idx", F.col("top").alias("t"), F.col("left").alias("l"), F.col("bottom").alias("b"), F.lag("top").over(w).alias("p"))
-    met = stray.join(main, list(page))
-    same = F.abs(F.col("t") - F.col("top")) < 0.1
-    here = (F.col("t") >= F.col("top")) & (F.col("p").isNull() | (F.col("top") > F.col("p"))) & ~(same & (F.col("l") < F.col("left")))
-    beside = (F.col("t") < F.col("top")) & (F.col("l") > F.col("right")) & (F.col("bottom") <= F.col("b"))
-    row = same & (F.col("l") >= F.col("left"))
-    found = met.groupBy(*page, "stray_idx").agg(F.min(F.when(here | beside | row, F.col("block_idx"))).alias("before"))
-    return stray.join(found, [*page, "stray_idx"], "left")
+    number = {f.name: f.dataType.simpleString() for f in [*stray.schema, *main.schema]}
+    schema = ", ".join([*(f"`{c}` {number[c]}" for c in page), f"stray_idx {number['stray_idx']}", f"before {number['block_idx']}"])
+
+    def place(key: tuple, some: pa.Table, every: pa.Table) -> pa.Table:
+        every = every.filter(pc.is_valid(every["block_idx"])).sort_by("block_idx").combine_chunks()
+        known = all(k.is_valid for k in key)  # a page without a key meets none
+        at = _first_below(*(_numbers(some[c]) for c in ("top", "left", "right", "bottom")), *(_numbers(every[c]) for c in ("t", "l", "b", "p"))) if known else np.full(len(some), -1)
+        before = every["block_idx"].take(pa.array(at, pa.int64(), mask=at < 0))
+        return pa.table({**{c: some[c] for c in page}, "stray_idx": some["stray_idx"], "before": before})
+
+    found = stray.select(*page, "stray_idx", "top", "left", "right", "bottom").groupBy(*page).cogroup(main.groupBy(*page)).applyInArrow(place, schema)
+    return stray.join(found.groupBy(*page, "stray_idx").agg(F.min("before").alias("before")), [*page, "stray_idx"], "left")
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers as comparisons in SQL have them: nulls as NaN, which is never less nor more, and NaN as larger than all."""
+    got = column.cast(pa.float64())
+    return np.where(got.is_null().to_numpy(), np.nan, np.where(pc.is_nan(got).fill_null(False).to_numpy(), np.inf, got.fill_null(0.0).to_numpy()))
+
+
+def _first_below(top: np.ndarray, left: np.ndarray, right: np.ndarray, bottom: np.ndarray, t: np.ndarray, l: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:  # noqa: E741
+    """For each stray block the place of the first block (t, l, b; p: the top of the one before) that it goes before, or -1."""
+    out = np.full(len(top), -1, np.int64)
+    with np.errstate(invalid="ignore"):
+        for begin in range(0, len(top), STRAYS):
+            open_, at, step = np.arange(begin, min(begin + STRAYS, len(top))), 0, STEP
+            while at < len(t) and len(open_):
+                now = slice(at, at + step)
+                top_, left_, right_, bottom_ = (x[open_, None] for x in (top, left, right, bottom))
+                same = np.abs(t[now] - top_) < 0.1
+                row = same & (l[now] >= left_)
+                here = (t[now] >= top_) & (np.isnan(p[now]) | (top_ > p[now])) & (row | ~same)
+                hit = here | row | ((t[now] < top_) & (l[now] > right_) & (bottom_ <= b[now]))
+                any_ = hit.any(1)
+                out[open_[any_]] = at + hit[any_].argmax(1)
+                open_, at, step = open_[~any_], at + step, min(step * 2, STRAYS)
+    return out
 
 
 def page_words(pages: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

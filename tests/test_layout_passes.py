@@ -1,8 +1,10 @@
 """Positions, merging passes, rules and header levels."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from blockwright.operators import merging
+from blockwright.operators import merging, pages
 from blockwright.sources import positions
 
 BLOCK = "doc_id int, page_idx int, block_idx int, block_type string, block_text string, box struct<top:double,left:double,width:double,height:double>, font_family string, font_size double, font_weight int, font_style string, page_width double"
@@ -130,3 +132,22 @@ def test_columns_side_by_side(spark):
     df = spark.createDataFrame([(1, 0, i, top, left, 250.0) for i, top, left in rows], "doc_id int, page_idx int, block_idx int, top double, left double, width double")
     got = {r.block_idx: r.order for r in layout.reading_order(df).collect()}
     assert [got[i] for i in (0, 6, 1, 2, 3, 4, 5)] == [0, 1, 2, 3, 4, 5, 6]
+
+
+def test_stray_blocks_are_placed_without_a_row_for_each_pair(spark):
+    rng = random.Random(12)
+    some = lambda n: rng.choice([None, float("nan"), *(float(rng.randrange(n)) for _ in range(20))])
+    blocks = [(rng.choice([1, 2, None]), 0, i, some(30), some(9), some(40)) for i in range(300)]
+    stray = [(rng.choice([1, 2, 3, None]), 0, i, some(40), some(9), some(12), some(60)) for i in range(200)]
+    main = spark.createDataFrame(blocks, "doc_id long, page_idx int, block_idx long, top double, left double, bottom double")
+    away = spark.createDataFrame(stray, "doc_id long, page_idx int, stray_idx long, top double, left double, right double, bottom double")
+    main.createOrReplaceTempView("main_blocks")
+    away.createOrReplaceTempView("stray_blocks")
+    want = spark.sql(
+        "WITH m AS (SELECT *, lag(top) OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx) AS p FROM main_blocks) SELECT s.doc_id, s.stray_idx, min(m.block_idx) FILTER (WHERE (m.top >= s.top AND (m.p IS NULL OR s.top > m.p) AND NOT (abs(m.top - s.top) < 0.1 AND m.left < s.left))"
+        " OR (m.top < s.top AND m.left > s.right AND s.bottom <= m.bottom) OR (abs(m.top - s.top) < 0.1 AND m.left >= s.left)) AS before FROM stray_blocks s LEFT JOIN m ON m.doc_id = s.doc_id AND m.page_idx = s.page_idx GROUP BY s.doc_id, s.stray_idx"
+    )
+    got = pages.placed(main, away)
+    assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "stray_idx", "before").collect()), key=repr)
+    assert rows(got) == rows(want)

@@ -5,18 +5,19 @@ its target share. A document's probability is its cell's weight over the cell's
 at most 1; it is drawn if a hash of its id falls below. Only cells are gathered, never documents; more cells than
 CELLS are raked by DataFrame operations, step by step with the same arithmetic.
 
-Documents without a topic column get one: the nearest of TOPICS centers in a latent space of their words, found by
-k-means over a bounded sample.
+Documents without a topic column get one: the nearest of TOPICS centers in a latent space of their words. Both are found
+over all documents: each step adds up matrices of a fixed size, by task and then by slice, and only sums are gathered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,12 @@ BUDGET = 0.6
 CELLS = 200_000
 ROUNDS, TOLERANCE = 200, 1e-10
 SEED = 20
-#: Topics, documents that they are found on (those with the smallest hashes), hashed words and dimensions of their space.
-TOPICS, SAMPLE, COLUMNS, AXES = 12, 2000, 2048, 24
+#: Topics, hashed words and dimensions of their space.
+TOPICS, COLUMNS, AXES = 12, 2048, 24
+#: Steps towards the space's directions and, at most, towards the centers; each reads what is known of all documents.
+SPACE_ROUNDS, CENTER_ROUNDS = 4, 12
+#: Slices of a matrix that is added up.
+SLICES = 16
 
 
 def token_count(text: Column) -> Column:
@@ -62,59 +67,117 @@ class Topics:
         return [f"topic {k:02d}" if some else "none" for k, some in zip(nearest.tolist(), found.any(1).tolist(), strict=True)]
 
 
-def principal(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
-    """The k directions in which rows reach farthest (columns by k), the farthest first; subspace iteration from fixed random ones."""
-    wide = min(k + 16, *x.shape)
-    q = np.linalg.qr(np.random.default_rng(SEED).normal(size=(x.shape[1], wide)))[0]
-    for _ in range(rounds):
-        q = np.linalg.qr(x.T @ (x @ q))[0]
-    return (q @ np.linalg.svd(x @ q, full_matrices=False)[2].T)[:, :k]
+def _packed(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of word_shares() without their zeros, as one row: sizes, at and shares."""
+    x = np.stack(found)
+    row, at = np.nonzero(x)
+    parts = (np.bincount(row, minlength=len(x)).astype(np.int32), at.astype(np.uint16), x[row, at].astype(np.float16))
+    return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["sizes", "at", "shares"])
 
 
-def centers(points: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
-    """k-means on the unit sphere. Each first center is the point farthest from those before, from the first point on; ties go to the earlier point."""
-    chosen, best = [0], points @ points[0]
-    while len(chosen) < min(k, len(points)):
-        chosen.append(int(best.argmin()))
-        best = np.maximum(best, points @ points[chosen[-1]])
-    now, owner = points[chosen], None
-    for _ in range(rounds):
-        nearest = (points @ now.T).argmax(1)
-        if owner is not None and (nearest == owner).all():
-            break
-        owner = nearest
-        sums = np.zeros_like(now)
-        np.add.at(sums, owner, points)
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        now = np.where(norms > 0, sums / np.maximum(norms, 1e-30), now)
-    return now
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for sizes, at, shares in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = np.frombuffer(sizes, np.int32)
+            x = np.zeros((len(n), COLUMNS), np.float32)
+            x[np.repeat(np.arange(len(n)), n), np.frombuffer(at, np.uint16)] = np.frombuffer(shares, np.float16)
+            yield x
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sum of what part makes of each task's batches: matrices of a shape, dealt by slices of their rows and added up there, in the order of the tasks."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = np.array_split(np.asarray(part(batches), np.float64).reshape(shape), SLICES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32()), pa.array([m.tobytes() for m in made], pa.binary())], names=["slice", "task", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, one in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                now[at] = now.get(at, 0.0) + np.frombuffer(one, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(now), pa.int32()), pa.array([m.tobytes() for m in now.values()], pa.binary())], names=["slice", "part"])
+
+    dealt = rows.mapInArrow(parts, "slice int, task int, part binary").repartition(SLICES, "slice").sortWithinPartitions("slice", "task")
+    got = dict(dealt.mapInArrow(add, "slice int, part binary").toPandas().itertuples(index=False, name=None))
+    return np.concatenate([np.frombuffer(got[k], np.float64) for k in range(SLICES) if k in got] or [np.zeros(shape[0] * shape[1])]).reshape(shape)
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = SAMPLE) -> Topics:
-    """Topics of at most sample documents: word counts by inverse document frequency, their principal directions, k-means there.
+def fit_topics(docs: DataFrame, topics: int = TOPICS) -> Topics:
+    """Topics of all documents: word counts by inverse document frequency, their principal directions, k-means there.
 
-    The first direction is left out: it is what all texts share. Only the sample's counts come to the driver (8 MB).
+    Directions are found by subspace iteration from fixed random ones, each round over all documents; the first one is
+    left out: it is what all texts share. Centers begin at both ends of the first axes left. Words without their zeros
+    and places in the space are written to the shared folder; sums of 2048 by 41 numbers at most come to the driver.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_shares(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["h", "found"])
+            if batch.num_rows:
+                yield _packed([word_shares(t) for t in batch.column(0).to_pylist()])
 
-    hashed = docs.filter(whole_text().rlike(r"[^\x20\x09-\x0D]")).select(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), whole_text()).alias("h"), whole_text().cast("binary").alias("text"))
-    limit = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if limit is None:
-        return Topics(np.zeros((COLUMNS, 0), np.float32))
     arrow_batches(docs.sparkSession)
-    got = hashed.filter(F.col("h") <= limit).mapInArrow(run, "h long, found binary").orderBy("h", "found").limit(sample).toArrow()
-    x = np.stack([np.frombuffer(t, np.float16) for t in got.column("found").to_pylist()]).astype(np.float64)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
-    weighted = x * idf
-    weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-30)
-    space = principal(weighted, AXES + 1)[:, 1:]
+    texts = docs.filter(whole_text().rlike(r"[^\x20\x09-\x0D]")).select(whole_text().cast("binary").alias("text"))
+    words = stored(texts.mapInArrow(count, "sizes binary, at binary, shares binary"), "words")
+
+    def occur(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(COLUMNS + 1)
+        for x in _unpacked(batches):
+            total += np.append((x > 0).sum(0), len(x))
+        return total
+
+    *occurs, n = summed(words, occur, (COLUMNS + 1, 1)).ravel()
+    if not n:
+        return Topics(np.zeros((COLUMNS, 0), np.float32))
+    idf = np.log((1 + n) / (1 + np.array(occurs))) + 1
+    wide = int(min(AXES + 17, n))
+    q = np.linalg.qr(np.random.default_rng(SEED).normal(size=(COLUMNS, wide)))[0]
+    for _ in range(SPACE_ROUNDS):
+        start = q
+
+        def reach(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> np.ndarray:
+            total = np.zeros((COLUMNS, wide))
+            for x in _unpacked(batches):
+                y = _unit(x * idf)
+                total += y.T @ (y @ start)
+            return total
+
+        y = summed(words, reach, (COLUMNS, wide))
+        q = np.linalg.qr(y)[0]
+    inner = start.T @ y  # how far texts reach along the last start, squared
+    space = (start @ np.linalg.eigh((inner + inner.T) / 2)[1][:, ::-1])[:, 1 : AXES + 1]
     space = space * np.where(space[np.abs(space).argmax(0), np.arange(space.shape[1])] < 0, -1, 1)
-    points = weighted @ space
-    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-30)
-    return Topics((idf[:, None] * (space @ centers(points, topics).T)).astype(np.float32))
+    axes = space.shape[1]
+    if not axes:
+        return Topics(np.zeros((COLUMNS, 1), np.float32))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_unit(_unit(x * idf) @ space).astype(np.float32).tobytes()], pa.binary())], names=["points"])
+
+    points = stored(words.mapInArrow(place, "points binary"), "points")
+    now = np.concatenate([np.eye(axes), -np.eye(axes)], axis=1).reshape(-1, axes)[:topics]
+    for _ in range(CENTER_ROUNDS):
+        centers = now
+
+        def gather(batches: Iterator[pa.RecordBatch], centers: np.ndarray = centers) -> np.ndarray:
+            total = np.zeros((len(centers), axes))
+            for batch in batches:
+                for block in batch.column(0).to_pylist():
+                    x = np.frombuffer(block, np.float32).reshape(-1, axes).astype(np.float64)
+                    np.add.at(total, (x @ centers.T).argmax(1), x)
+            return total
+
+        sums = summed(points, gather, now.shape)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        now = np.where(norms > 1e-12, sums / np.maximum(norms, 1e-30), now)
+        if np.abs(now - centers).max() < 1e-6:
+            break
+    return Topics((idf[:, None] * (space @ now.T)).astype(np.float32))
 
 
 def topic_of(docs: DataFrame, topics: Topics) -> Column:

@@ -197,3 +197,11 @@ def test_pieces_and_best_fit():
 def test_both_encoders_agree(text):
     path, ranks = queries.tokenizer_files()
     assert packing.encoder(path, ranks)(text) == packing.encoder(path)(text)
+
+
+def test_topics_are_found_on_all_documents(spark):
+    docs = cases.frame(spark, [(i, f"{'common words of all ' * 3} {' '.join(f'w{i % 9}x{k}' for k in range(i % 7 + 3))}", *[None] * 7) for i in range(2600)])
+    whole = mixing.fit_topics(docs).directions
+    least = docs.orderBy(F.xxhash64(F.lit(mixing.SEED), F.col("doc_id").cast("long"), F.col("text"))).limit(2000)
+    assert whole.shape == (mixing.COLUMNS, mixing.TOPICS) and np.abs(whole - mixing.fit_topics(docs.repartition(5)).directions).max() < 1e-3
+    assert np.abs(whole - mixing.fit_topics(least).directions).max() > 1e-3

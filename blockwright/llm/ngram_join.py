@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,7 +54,7 @@ BUCKET_KEYS = 1 << 20
 HELD = 1 << 20
 #: Classes in a row of those that share a key.
 CHUNK = 1024
-#: Classes around one center that are compared in one task; more are dealt in blocks, two by two.
+#: Classes around one center that are compared in one task; more are dealt in blocks: each by itself, then two by two.
 BLOCK = 512
 #: Screened pairs for each class of a meeting, at most; meetings with more verify them on the spot.
 PAIRS = 2
@@ -412,37 +412,70 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, classes: Class
     return stored(_sets(texts).select("text").mapInArrow(gather, "node long, found binary").join(sized(involved.select(F.col("node").alias("own")), 16), F.col("node") == F.col("own"), "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def across(found: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fraction, classes: Classes) -> DataFrame:
-    """Links (a, b) between classes that share a key and are in different components so far, as many as join those that links join.
+def within(found: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fraction, classes: Classes) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between classes that share a key and are in different components so far, as many as join those of a block that links join; and the lists that have more to compare, for across().
 
     Lists are taken by their center, so that classes which share many keys meet once and not once a key; a center has no
-    more lists than keys. Of lists longer than CHUNK, chunks meet two by two. Lists of two are left out: their pair has
-    been compared. What a meeting writes is at most proportional to its classes, see PAIRS.
+    more lists than keys. Lists of two are left out: their pair has been compared. Each class around a center is in one
+    block only, whatever their number. Of lists longer than CHUNK, each chunk is for itself here.
     """
     to = groups.select("node", "component")
     members = found.select("run", "chunk", F.explode("nodes").alias("node")).join(to, "node", "left").select("run", "chunk", F.coalesce("component", "node").alias("component"))
     by_run = members.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("chunk").alias("chunks"), F.count("*").alias("n"))
-    other = F.explode(F.sequence(F.lit(0), "chunks")).alias("other")
-    lists = found.join(by_run.filter("low <> high and n > 2").select("run", "chunks"), "run").select("center", "run", "chunk", "nodes", other)
-    lists = stored(lists.select("center", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "run", "chunk", "nodes"), "lists")
+    lists = stored(found.join(by_run.filter("low <> high and n > 2").select("run", "chunks"), "run").select("center", "run", "chunk", "chunks", "nodes"), "lists")
+    around = lists.select("center", "chunk", F.explode("nodes").alias("node")).distinct().groupBy("center", "chunk").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    lists = lists.join(sized(stored(around, "around"), 24), ["center", "chunk"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = lists.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = F.filter("nodes", lambda n: F.pmod(F.xxhash64(n), F.col("blocks")) == F.col("p"))
+    dealt = dealt.select("center", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "p", F.col("p").alias("q"), "run", F.lit(0).alias("side"), mine.alias("nodes")).filter("size(nodes) > 1")
+    return met(stored(dealt, "lists"), to, nodes, docs, threshold, classes), lists.filter("blocks > 1 or chunks > 0").select("center", "run", "chunk", "blocks", "nodes")
+
+
+def across(found: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fraction, classes: Classes) -> DataFrame:
+    """The links (a, b) that join what within() left apart, of its lists (center, run, chunk, nodes; blocks that the chunk was dealt in).
+
+    Blocks around a center, and chunks of a list, meet two by two. Classes in the center's component by now have blocks
+    of their own, which do not meet each other: where all but a few classes of a group are joined, each of these meets
+    those few only.
+    """
+    to = groups.select("node", "component")
+    home = found.join(to.select(F.col("node").alias("center"), F.col("component").alias("home")), "center", "left")
+    members = home.select("center", "run", "chunk", "blocks", F.coalesce("home", "center").alias("home"), F.explode("nodes").alias("node")).join(to, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = F.col("component") == F.col("home")
+    halves = members.groupBy("center", "run", "chunk", "blocks").agg(F.collect_list(F.when(own, F.col("node"))).alias("inner"), F.collect_list(F.when(~own, F.col("node"))).alias("outer"), F.min("component").alias("low"), F.max("component").alias("high"))
+    halves = stored(halves, "lists")
+    by_run = halves.groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("chunk").alias("chunks"))
+    lists = halves.join(by_run.filter("low <> high").select("run", "chunks"), "run").withColumn("other", F.explode(F.sequence(F.lit(0), "chunks"))).filter("blocks > 1 or other <> chunk")
+    lists = stored(lists.select("center", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "run", "chunk", "inner", "outer"), "lists")
+    marked = F.concat(F.transform("inner", lambda n: F.struct(n.alias("node"), F.lit(True).alias("own"))), F.transform("outer", lambda n: F.struct(n.alias("node"), F.lit(False).alias("own"))))
     where = ["center", "i", "j"]
-    around = lists.select(*where, F.explode("nodes").alias("node")).distinct().groupBy(*where).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    dealt = lists.join(sized(stored(around, "around"), 32), where, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    ends = F.sequence(F.lit(0), F.col("blocks") - 1)
+    around = lists.select(*where, F.explode(marked).alias("x")).select(*where, "x.*").distinct().groupBy(*where).agg(F.count("*").alias("n"), F.ceil(F.count_if("own") / BLOCK).cast("int").alias("a"), F.ceil(F.count_if(~F.col("own")) / BLOCK).cast("int").alias("b"))
+    dealt = lists.join(sized(stored(around.filter(F.col("n") > BLOCK).drop("n"), "around"), 40), where, "left")
+    dealt = dealt.withColumn("a", F.coalesce("a", F.lit(0))).withColumn("b", F.coalesce("b", F.lit(1)))  # few classes: all in one block
+    ends = F.sequence(F.lit(0), F.col("a") + F.col("b") - 1)
     pairs = F.flatten(F.transform(ends, lambda p: F.transform(ends, lambda q: F.struct(p.alias("p"), q.alias("q")))))
-    two = F.filter(pairs, lambda x: (F.col("i") < F.col("j")) | (x["p"] <= x["q"]))  # blocks that meet
-    dealt = dealt.select(*where, "run", "chunk", "nodes", "blocks", F.explode(two).alias("x")).select(*where, "x.p", "x.q", "run", "chunk", "nodes", "blocks")
-    of = lambda block: F.filter("nodes", lambda n: F.pmod(F.xxhash64(n), F.col("blocks")) == block)
+    two = F.filter(pairs, lambda x: ((F.col("i") < F.col("j")) | (x["p"] <= x["q"])) & (F.greatest(x["p"], x["q"]) >= F.col("a")))  # blocks that meet
+    dealt = dealt.withColumn("x", F.explode(two)).select(*where, "x.p", "x.q", "run", "chunk", "inner", "outer", "a", "b")
+
+    def of(block: Column) -> Column:
+        in_block = lambda number, blocks: lambda n: F.pmod(F.xxhash64(n), F.greatest(blocks, F.lit(1))) == number
+        outer = F.when(F.col("a") == 0, F.concat("inner", "outer")).otherwise(F.col("outer"))
+        return F.when(block < F.col("a"), F.filter("inner", in_block(block, F.col("a")))).otherwise(F.filter(outer, in_block(block - F.col("a"), F.col("b"))))
+
     one_side = F.array(F.struct(F.lit(0).alias("side"), of(F.col("p")).alias("nodes")))
     both_sides = F.array(F.struct(F.lit(0).alias("side"), of(F.col("p")).alias("nodes")), F.struct(F.lit(1).alias("side"), of(F.col("q")).alias("nodes")))
     sides = F.when((F.col("i") == F.col("j")) & (F.col("p") == F.col("q")), one_side).when(F.col("i") == F.col("j"), both_sides).when(F.col("chunk") == F.col("i"), one_side).otherwise(F.slice(both_sides, 2, 1))
+    dealt = dealt.withColumn("sides", sides).filter(~F.exists("sides", lambda s: F.size(s["nodes"]) == 0))
+    return met(stored(dealt.select(*where, "p", "q", "run", F.inline("sides")), "lists"), to, nodes, docs, threshold, classes)
+
+
+def met(dealt: DataFrame, to: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: Fraction, classes: Classes) -> DataFrame:
+    """Links (a, b) of meetings, of lists (center, i, j, p, q: the meeting; run, side, nodes). What a meeting writes is at most proportional to its classes, see PAIRS."""
     where = ["center", "i", "j", "p", "q"]
-    dealt = dealt.select(*where, "run", F.explode(sides).alias("s")).select(*where, "run", "s.side", "s.nodes").filter("size(nodes) > 0")
-    dealt = stored(dealt, "lists")
     sketches = nodes.join(to, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n", "bits")
     classes_of = stored(dealt.select(*where, F.explode("nodes").alias("node")).distinct(), "meetings")
     meet = classes_of.join(sketches, "node")
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt_out(lists: DataFrame, meet: DataFrame, own: dict[str, str]) -> DataFrame:
         """Rows of lists and of classes with their own columns, a meeting's in a row."""
@@ -484,9 +517,9 @@ def across(found: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFram
 
     types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
     own = {"component": "long", "n": "int", "bits": "binary"}
-    met = stored(dealt_out(dealt, meet, own).mapInArrow(cross, "center long, i int, j int, p int, q int, a long, b long"), "met")
-    links = verified(met.filter("a is not null").select("a", "b").distinct(), nodes, docs, threshold, classes)
-    crowded = met.filter("a is null").select(*where)
+    found = stored(dealt_out(dealt, meet, own).mapInArrow(cross, "center long, i int, j int, p int, q int, a long, b long"), "met")
+    links = verified(found.filter("a is not null").select("a", "b").distinct(), nodes, docs, threshold, classes)
+    crowded = found.filter("a is null").select(*where)
     if crowded.isEmpty():
         return links
     here = sized(crowded, 40)
@@ -523,7 +556,7 @@ class Sets:
 
 
 class Meeting:
-    """Classes (rows of across() with sketches) and the lists, of one center, in which they come together.
+    """Classes (rows of met() with sketches) and the lists, of one center, in which they come together.
 
     There are at most a few BLOCKs of classes, so a table of all pairs marks who meets whom: within a list that has one
     side, between the sides of one that has two.
@@ -648,10 +681,13 @@ def near_groups(docs: DataFrame, threshold: Fraction = THRESHOLD, bucket_keys: i
     stars = found.select(F.col("center").alias("a"), F.explode("nodes").alias("b")).filter("a <> b").distinct()
     links = verified(screened(stars, nodes, threshold), nodes, docs, threshold, classes)
     groups = components(links)
-    more = across(found, groups, nodes, docs, threshold, classes)
+    more, wide = within(found, groups, nodes, docs, threshold, classes)
     if not more.isEmpty():
         links = links.unionByName(more)
         groups = components(links)
+    if not wide.isEmpty() and not (more := across(wide, groups, nodes, docs, threshold, classes)).isEmpty():
+        links = links.unionByName(more)
+        groups = components(links)
 
     grouped = stored(nodes.select("node", F.col("doc_id").alias("least")).join(groups, "node"), "grouped")
     lowest = stored(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "lowest")

@@ -86,6 +86,28 @@ def test_what_a_meeting_writes_does_not_grow_with_the_square_of_a_group(spark, m
     assert max(n for name, n in written if name in ("met", "pairs")) <= 10 * len(rows)  # of 7140 pairs
 
 
+@pytest.mark.parametrize("strays", [0, 6])
+def test_classes_that_meet_do_not_grow_with_the_square_of_a_group(spark, monkeypatch, strays):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghi", k=6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(160):  # up to four changed words in two texts together leave a link, more don't
+        text = list(base)
+        for at in rng.sample(range(150), 12 if i < strays else 1 + i % 3):
+            text[at] = word()
+        rows.append((i, " ".join(text), *[None] * 7))
+    want, written, kept = expected(rows), [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: (made := kept(df, name), written.append((name, made.count())))[0])
+    met = []
+    for block in (512, 8):
+        written.clear()
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        got = ngram_join.near_groups(cases.frame(spark, rows)).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+        met.append(sum(n for name, n in written if name == "meetings"))
+    assert met[1] <= 3 * met[0] + 20 * strays  # 20 blocks
+
+
 def test_empty(spark):
     assert ngram_join.near_groups(cases.empty(spark)).count() == 0
 
